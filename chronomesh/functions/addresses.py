@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Special-purpose networks of the public registries. Addresses in PRIVATE_*
@@ -21,7 +21,7 @@ PRIVATE_V4 = [
 GLOBAL_V4 = ["192.0.0.9/32", "192.0.0.10/32"]
 PRIVATE_V6 = [
     "::1/128", "::/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32",
-    "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10",
+    "2002::/16", "fc00::/7", "fe80::/10",
 ]
 GLOBAL_V6 = [
     "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28",
@@ -33,77 +33,81 @@ _V4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 _V4_TAIL = rf"^(.*:){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
-def _any_range(value: Column, networks: list[str], bound) -> Column:
-    hit = F.lit(False)
-    for text in networks:
-        net = ipaddress.ip_network(text)
-        hit = hit | value.between(F.lit(bound(net[0])), F.lit(bound(net[-1])))
-    return hit
+def _inside(value: Column, networks: list[str], bound) -> Column:
+    """Whether a value column lies in one of the networks."""
+    nets = [ipaddress.ip_network(text) for text in networks]
+    ranges = F.array(*[F.struct(F.lit(bound(n[0])).alias("lo"), F.lit(bound(n[-1])).alias("hi")) for n in nets])
+    return F.exists(ranges, lambda r: value.between(r["lo"], r["hi"]))
 
 
-def _v4_number(text: Column, pattern: str, first: int) -> Column:
+def _octets(text: Column, pattern: str, first: int) -> Column:
     octet = [F.regexp_extract(text, pattern, first + i).cast("bigint") for i in range(4)]
     return ((octet[0] * 256 + octet[1]) * 256 + octet[2]) * 256 + octet[3]
 
 
-def ipv4_value(host: Column) -> Column:
-    """Address as a number, null when ``host`` is no dotted version 4 address."""
-    return F.when(host.rlike(_V4), _v4_number(host, _V4, 1))
+def _hex128(address) -> str:
+    return f"{int(address):032x}"
 
 
-def ipv6_value(host: Column) -> Column:
-    """Address as 32 lower-case hex digits, null when ``host`` is no version 6 address."""
-    scoped = F.split_part(host, F.lit("%"), F.lit(1))
-    scope_ok = ~host.contains("%") | host.rlike("^[^%]+%[^%]+$")
-    lower = F.lower(scoped)
-    tail = _v4_number(lower, _V4_TAIL, 2)
-    hex_tail = F.concat(
-        F.regexp_extract(lower, _V4_TAIL, 1),
+def with_ipv4_value(df: DataFrame, host: str, out: str) -> DataFrame:
+    """Add the address as a number, null when ``host`` is no dotted version 4 address."""
+    text = F.col(host)
+    return df.withColumn(out, F.when(text.rlike(_V4), _octets(text, _V4, 1)))
+
+
+def with_ipv6_value(df: DataFrame, host: str, out: str) -> DataFrame:
+    """Add the address as 32 lower-case hex digits, null when ``host`` is no version 6 address.
+
+    Each step is a column of its own, so that later steps refer to it by name.
+    """
+    text = F.col(host)
+    low = F.col("_low")
+    scope_ok = ~text.contains("%") | text.rlike("^[^%]+%[^%]+$")
+    df = df.withColumn("_low", F.when(text.contains(":") & scope_ok, F.lower(F.split_part(text, F.lit("%"), F.lit(1)))))
+    df = df.withColumn("_tail", F.when(low.rlike(_V4_TAIL), _octets(low, _V4_TAIL, 2)))
+    tail = F.col("_tail")
+    rewritten = F.concat(
+        F.regexp_extract(low, _V4_TAIL, 1),
         F.lower(F.hex(F.shiftright(tail, 16))), F.lit(":"), F.lower(F.hex(tail.bitwiseAND(F.lit(65535)))),
     )
-    plain = F.when(lower.rlike(_V4_TAIL), hex_tail).otherwise(lower)
-    halves = F.split(plain, "::")
+    df = df.withColumn("_plain", F.when(tail.isNotNull(), rewritten).otherwise(low))
+    df = df.withColumn("_halves", F.split("_plain", "::"))
+    halves = F.col("_halves")
 
     def groups(part: Column) -> Column:
         return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
 
-    left = groups(F.element_at(halves, 1))
-    right = groups(F.element_at(halves, 2))
-    short = F.size(halves) == 2
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    full = F.when(
-        short, F.when(missing >= 1, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
-    ).otherwise(F.split(plain, ":"))
-    valid = F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$")) & (F.size(full) == 8)
-    digits = F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), "")
-    shaped = scope_ok & plain.contains(":") & (F.size(halves) <= 2)
-    return F.when(shaped, F.when(valid, digits))
-
-
-def address_flags(host: Column) -> dict[str, Column]:
-    """Flag columns by name; a host name or malformed address gets all false."""
-    v4, v6 = ipv4_value(host), ipv6_value(host)
-    is_v4, is_v6 = v4.isNotNull(), v6.isNotNull()
+    df = df.withColumns({
+        "_left": groups(F.get(halves, 0)),
+        "_right": F.coalesce(groups(F.get(halves, 1)), F.array().cast("array<string>")),
+    })
+    missing = F.lit(8) - F.size("_left") - F.size("_right")
+    zeros = F.array_repeat(F.lit("0"), missing)
+    full = F.when((F.size(halves) == 2) & (missing >= 1), F.concat("_left", zeros, "_right")).when(
+        F.size(halves) == 1, F.col("_left")
+    )
+    df = df.withColumn("_full", full)
+    valid = (F.size("_full") == 8) & F.forall("_full", lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    digits = F.array_join(F.transform("_full", lambda g: F.lpad(g, 4, "0")), "")
+    return df.withColumn(out, F.when(valid, digits)).drop("_low", "_tail", "_plain", "_halves", "_left", "_right", "_full")
+
+
+def with_address_flags(df: DataFrame, host: str = "host") -> DataFrame:
+    """Add the six flags; a host name or malformed address gets all false."""
+    df = with_ipv6_value(with_ipv4_value(df, host, "_v4"), host, "_v6")
+    v6 = F.col("_v6")
     mapped = v6.startswith("00000000000000000000ffff")
-    mapped_v4 = F.conv(F.substring(v6, 25, 8), 16, 10).cast("bigint")
-
-    def private_v4(value: Column) -> Column:
-        return _any_range(value, PRIVATE_V4, int) & ~_any_range(value, GLOBAL_V4, int)
-
-    def multicast_v4(value: Column) -> Column:
-        return _any_range(value, ["224.0.0.0/4"], int)
-
-    def hex128(address) -> str:
-        return f"{int(address):032x}"
-
-    private_v6 = _any_range(v6, PRIVATE_V6, hex128) & ~_any_range(v6, GLOBAL_V6, hex128)
-    internal = F.when(is_v4, private_v4(v4)).when(mapped, private_v4(mapped_v4)).when(is_v6, private_v6)
-    multicast = F.when(is_v4, multicast_v4(v4)).when(mapped, multicast_v4(mapped_v4)).when(is_v6, v6.startswith("ff"))
-    return {
-        "internal": F.coalesce(internal, F.lit(False)),
-        "broadcast": F.coalesce(v4 == F.lit(4294967295), F.lit(False)),
-        "multicast": F.coalesce(multicast, F.lit(False)),
-        "ipv4": F.coalesce(is_v4, F.lit(False)),
-        "ipv6": F.coalesce(is_v6, F.lit(False)),
-        "valid": F.coalesce(is_v4 | is_v6, F.lit(False)),
+    # the version 4 address itself, or the one a mapped version 6 address stands for
+    df = df.withColumn("_as4", F.coalesce(F.col("_v4"), F.when(mapped, F.conv(F.substring(v6, 25, 8), 16, 10).cast("bigint"))))
+    as4 = F.col("_as4")
+    internal = F.when(as4.isNotNull(), _inside(as4, PRIVATE_V4, int) & ~_inside(as4, GLOBAL_V4, int)).otherwise(
+        _inside(v6, PRIVATE_V6, _hex128) & ~_inside(v6, GLOBAL_V6, _hex128)
+    )
+    v4 = F.col("_v4")
+    multicast = F.when(v4.isNotNull(), _inside(v4, ["224.0.0.0/4"], int)).otherwise(v6.startswith("ff"))
+    is_v4, is_v6 = F.col("_v4").isNotNull(), v6.isNotNull()
+    flags = {
+        "internal": internal, "broadcast": F.col("_v4") == F.lit(4294967295), "multicast": multicast,
+        "ipv4": is_v4, "ipv6": is_v6, "valid": is_v4 | is_v6,
     }
+    return df.withColumns({n: F.coalesce(f, F.lit(False)) for n, f in flags.items()}).drop("_v4", "_v6", "_as4")

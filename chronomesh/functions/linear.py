@@ -17,7 +17,7 @@ Matrix = list[list[float]]
 
 def weight_matrix(rows: int, cols: int, seed: int) -> Matrix:
     """A fixed, well-spread example matrix for queries and tests."""
-    return [[((i * 7 + j * 11 + seed * 5) % 13 - 6) / 10.0 for j in range(cols)] for i in range(rows)]
+    return [[((i * 7 + j * 11 + seed * 5) % 13 - 6) / 11.3 for j in range(cols)] for i in range(rows)]
 
 
 def weight_vector(size: int, seed: int) -> list[float]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.functions.addresses import address_flags
+from chronomesh.functions.addresses import with_address_flags
 from chronomesh.operators.scaling import dense_index
 
 
@@ -65,7 +65,7 @@ def encode_services(df: DataFrame, services: DataFrame) -> DataFrame:
 
 def enrich_hosts(hosts: DataFrame, host: str = "host") -> DataFrame:
     """Add internal, broadcast, multicast, ipv4, ipv6 and valid flags."""
-    return hosts.withColumns(address_flags(F.col(host)))
+    return with_address_flags(hosts, host)
 
 
 def enrich_services(services: DataFrame) -> DataFrame:

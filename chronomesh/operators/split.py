@@ -77,11 +77,11 @@ def bin_permutation_shuffle(df: DataFrame, width: float, seed: int = 42, ts: str
 
 def even_parts(df: DataFrame, parts: int, order_by: list[str], name: str = "part") -> DataFrame:
     """Cut the sorted rows into ``parts`` runs of nearly equal size, larger ones first."""
-    indexed = dense_index(df, order_by, "_pos")
+    indexed = dense_index(df, order_by, "_at")
     total = indexed.count()
     small, large = divmod(total, parts)
     edge = large * (small + 1)
-    pos = F.col("_pos")
+    pos = F.col("_at")
     tail = F.lit(large) + F.floor((pos - edge) / F.lit(max(small, 1)))
     head = F.floor(pos / F.lit(small + 1))
-    return indexed.withColumn(name, F.when(pos < edge, head).otherwise(tail).cast("int")).drop("_pos")
+    return indexed.withColumn(name, F.when(pos < edge, head).otherwise(tail).cast("int")).drop("_at")

@@ -132,7 +132,7 @@ def combined_datasets(spark, sf_dir):
 
 
 @query("shuffled_dataset", """
-SELECT part, count(*) AS events, min(conn_id) AS first_id, sum(conn_id) AS id_sum, round(sum(ts), 3) AS ts_sum, max(maps) AS map_rows
+SELECT part, count(*) AS events, min(conn_id) AS first_id, CAST(sum(conn_id) AS BIGINT) AS id_sum, round(sum(ts), 3) AS ts_sum, max(maps) AS map_rows
 FROM (SELECT ntile(5) OVER (ORDER BY ts, conn_id) - 1 AS part, conn_id, ts FROM shuffled) CROSS JOIN
      (SELECT (SELECT count(*) FROM hosts) + (SELECT count(*) FROM services) AS maps) GROUP BY part
 """)

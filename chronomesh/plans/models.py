@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chronomesh.functions.linear import weight_matrix, weight_vector
-from chronomesh.operators import dims, graph, propagate, score, sequence
+from chronomesh.operators import dims, graph, propagate, score, sequence, timebin
 from chronomesh.operators.split import with_stage
 from chronomesh.plans import inputs
 from chronomesh.plans.graphs import timelines
@@ -151,7 +151,44 @@ TYPED = propagate.TypedWeights(
 _TYPED_SOURCE = {"a0": ("status_code", 1.0), "a1": ("orig_pkts", 50.0), "a2": ("resp_pkts", 50.0)}
 
 
-@query("typed_aggregate", None)
+part("typed_flat", "".join([
+    "SELECT file_id, batch, bin, src, ssv + n AS dst, 0 AS kind, 0.0::DOUBLE AS a0, 0.0::DOUBLE AS a1, 0.0::DOUBLE AS a2 FROM typed, host_total",
+    " UNION ALL SELECT file_id, batch, bin, ssv + n, dsv + n, 1, ",
+    ", ".join(f"a{graph.HETERO_FEATURES.index(c)} / {by}::DOUBLE" for c, by in _TYPED_SOURCE.values()), " FROM typed, host_total",
+    " UNION ALL SELECT file_id, batch, bin, dsv + n, dst, 2, 0, 0, 0 FROM typed, host_total",
+]))
+part("host_total", "SELECT count(*) AS n FROM hosts")
+part("typed_known", f"""
+SELECT host_id AS node, 0 AS node_type, {', '.join(f'CAST(CAST({f} AS INT) AS DOUBLE) AS x{i}' for i, f in enumerate(graph.HOST_FLAGS))} FROM flags
+UNION ALL SELECT service_id + n, 1, port / 2000.0::DOUBLE, CAST(CAST(port < 1024 AS INT) AS DOUBLE), 0, 0, 0, 0 FROM services, host_total
+""")
+_by_type = [_project_sql(_xs(_TX), m, b) for m, b in zip(TYPED.node, TYPED.node_bias)]
+part("typed_nodes", "SELECT file_id, batch, bin, node, " + ", ".join(
+    f"CASE WHEN node_type = 0 THEN {h0} ELSE {h1} END AS h{i}" for i, (h0, h1) in enumerate(zip(*_by_type))
+) + """ FROM (SELECT file_id, batch, bin, src AS node FROM typed_flat UNION SELECT file_id, batch, bin, dst FROM typed_flat) JOIN typed_known USING (node)""")
+_emb_attr = [_leaky_sql(v) for v in _project_sql([f"e.{a}" for a in TYPED_ATTRS], TYPED.attr)]
+_type_case = "CASE kind " + " ".join(
+    f"WHEN {i} THEN CAST({sum((v if v >= 0 else 0.2 * v) * s for v, s in zip(emb, TYPED.score[2 * HIDDEN:2 * HIDDEN + _TE]))!r} AS DOUBLE)"
+    for i, emb in enumerate(TYPED.edge_type)
+) + " END"
+_raw = " + ".join([
+    _dot_sql([f"t.{h}" for h in _xs(HIDDEN, "h")], TYPED.score[:HIDDEN]), _dot_sql([f"s.{h}" for h in _xs(HIDDEN, "h")], TYPED.score[HIDDEN:2 * HIDDEN]),
+    _type_case, _dot_sql(_emb_attr, TYPED.score[2 * HIDDEN + _TE:]),
+])
+part("typed_raw", f"SELECT e.file_id, e.batch, e.bin, e.dst, {_raw} AS r, {', '.join(f's.h{i} AS h{i}' for i in range(HIDDEN))}, " + ", ".join(
+    f"{v} AS e{i}" for i, v in enumerate(_emb_attr)) + """ FROM typed_flat e
+JOIN typed_nodes s ON s.file_id = e.file_id AND s.batch = e.batch AND s.bin = e.bin AND s.node = e.src
+JOIN typed_nodes t ON t.file_id = e.file_id AND t.batch = e.batch AND t.bin = e.bin AND t.node = e.dst""")
+_carried = [*_xs(HIDDEN, "h"), *_xs(_TA, "e")]
+part("typed_sums", f"SELECT file_id, batch, bin, dst AS node, " + ", ".join(f"sum(exp(s - top) * {c}) / sum(exp(s - top)) AS {c}" for c in _carried) + f"""
+FROM (SELECT *, max(s) OVER (PARTITION BY file_id, batch, bin, dst) AS top FROM (SELECT *, {_leaky_sql('r')} AS s FROM typed_raw)) GROUP BY ALL""")
+part("typed_mapped", "SELECT n.file_id, n.batch, n.bin, n.node, " + ", ".join(
+    f"coalesce({v}, 0) AS y{i}" for i, v in enumerate(_project_sql([f"m.{c}" for c in _carried], TYPED.out, TYPED.out_bias))
+) + " FROM typed_nodes n LEFT JOIN typed_sums m ON m.file_id = n.file_id AND m.batch = n.batch AND m.bin = n.bin AND m.node = n.node")
+part("typed_out", "SELECT file_id, batch, bin, node, " + ", ".join(f"{v} AS x{i}" for i, v in enumerate(_norm_sql(_xs(HIDDEN, "y")))) + " FROM typed_mapped")
+
+
+@query("typed_aggregate", _out_sql("typed_out", HIDDEN))
 def typed_aggregate(spark, sf_dir):
     """One typed attention layer over the flattened host-service graph."""
     conn = views.conn(spark, sf_dir)
@@ -311,11 +348,15 @@ def link_class_score(spark, sf_dir):
 
 @query("edge_classifier_predictions", None)
 def edge_classifier_predictions(spark, sf_dir):
-    """Fit on the training batches, choose on validation, score the test batches."""
+    """Fit on the training batches, choose on validation, score the test batches.
+
+    Batches of eight bins, so that every weekly file has some for each stage.
+    """
     from pyspark.ml.feature import VectorAssembler
 
     hosts = inputs.hosts(spark, sf_dir)
-    events = inputs.edges(spark, sf_dir, hosts)
+    coded = inputs.expanded(graph.conn_codes(dims.encode_hosts(inputs.relative(spark, sf_dir), hosts)))
+    events = timebin.bin_events(coded, "ts", views.CONN_BIN, 8)
     columns = graph.feature_columns(graph.CONN_FEATURES)
     edges = events.select(*KEYS, "conn_id", "piece", "src", "dst", "y", *[c.alias(f"f{i}") for i, c in enumerate(columns)])
     edges = shared(edges, "edges")
@@ -325,7 +366,7 @@ def edge_classifier_predictions(spark, sf_dir):
         own = degrees.select(*KEYS, F.col("node").alias(side), F.col("in_degree").alias(f"{side}_in"), F.col("out_degree").alias(f"{side}_out"))
         joined = joined.join(own, [*KEYS, side])
     names = [*[f"f{i}" for i in range(len(columns))], "src_in", "src_out", "dst_in", "dst_out"]
-    staged = with_stage(joined, inputs.conn_split(events), BATCH_KEYS)
+    staged = with_stage(joined, inputs.conn_split(edges), BATCH_KEYS)
     data = VectorAssembler(inputCols=names, outputCol="features").transform(staged)
     data = shared(data.select(*KEYS, "conn_id", "piece", "y", "stage", "features"), "features")
     model = score.fit_edge_classifier(data.filter("stage = 0"), data.filter("stage = 1"))

@@ -44,7 +44,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
-            CHECKS[name] = check_sql(sql)
+            CHECKS[name] = sql
         return run
 
     return register

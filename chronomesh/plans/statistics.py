@@ -112,12 +112,12 @@ _CELLS = ", ".join(
        "{'field': 'services', 'value': concat(src_ip, '|', src_port)}", "{'field': 'services', 'value': concat(dest_ip, '|', dest_port)}"]
 )
 part("first_at", f"""
-SELECT c.field, c.value, min(at) AS at FROM (SELECT {{'file_id': file_id, 'batch': batch, 'bin': bin}} AS at, unnest([{_CELLS}]) AS c FROM binned)
+SELECT c.field, c.value, min(seen_at) AS seen_at FROM (SELECT {{'file_id': file_id, 'batch': batch, 'bin': bin}} AS seen_at, unnest([{_CELLS}]) AS c FROM binned)
 WHERE c.value IS NOT NULL GROUP BY c.field, c.value
 """)
 part("novel", "SELECT file_id, batch, bin, " + ", ".join(
     f"coalesce(max(CASE WHEN field = '{f}' THEN n END), 0) AS new_{f}" for f in NOVEL_FIELDS
-) + """ FROM spine LEFT JOIN (SELECT at.file_id AS file_id, at.batch AS batch, at.bin AS bin, field, count(*) AS n FROM first_at GROUP BY ALL) USING (file_id, batch, bin)
+) + """ FROM spine LEFT JOIN (SELECT seen_at.file_id AS file_id, seen_at.batch AS batch, seen_at.bin AS bin, field, count(*) AS n FROM first_at GROUP BY ALL) USING (file_id, batch, bin)
 GROUP BY file_id, batch, bin""")
 _KEYS_SQL = "CAST(file_id AS BIGINT) AS file_id, batch, bin"
 
@@ -132,8 +132,8 @@ def novelty_per_bin(spark, sf_dir):
 
 
 part("auth_first", """
-SELECT field, value, min(at) AS at FROM (
-  SELECT {'batch': batch, 'bin': bin} AS at, unnest([{'f': 'auth_type', 'v': auth_type}, {'f': 'logon_type', 'v': logon_type},
+SELECT field, value, min(seen_at) AS seen_at FROM (
+  SELECT {'batch': batch, 'bin': bin} AS seen_at, unnest([{'f': 'auth_type', 'v': auth_type}, {'f': 'logon_type', 'v': logon_type},
     {'f': 'orientation', 'v': orientation}, {'f': 'result', 'v': result}, {'f': 'hosts', 'v': src_computer}, {'f': 'hosts', 'v': dst_computer},
     {'f': 'users', 'v': src_user}, {'f': 'users', 'v': dst_user}]) AS c, c.f AS field, c.v AS value FROM auth_binned) GROUP BY field, value
 """)
@@ -143,7 +143,7 @@ AUTH_NOVEL = ["auth_type", "logon_type", "orientation", "result", "hosts", "user
 @query("auth_novelty_per_bin", "SELECT s.batch, s.bin, " + ", ".join(
     f"count(CASE WHEN field = '{f}' THEN 1 END) AS new_{f}" for f in AUTH_NOVEL
 ) + f""" FROM (SELECT batch, CAST(unnest(range({views.AUTH_BATCH})) AS BIGINT) AS bin FROM (SELECT DISTINCT batch FROM auth_binned)) s
-LEFT JOIN (SELECT at.batch AS batch, at.bin AS bin, field FROM auth_first) f ON s.batch = f.batch AND s.bin = f.bin GROUP BY s.batch, s.bin""")
+LEFT JOIN (SELECT seen_at.batch AS batch, seen_at.bin AS bin, field FROM auth_first) f ON s.batch = f.batch AND s.bin = f.bin GROUP BY s.batch, s.bin""")
 def auth_novelty_per_bin(spark, sf_dir):
     pairs = {"hosts": [["src_computer"], ["dst_computer"]], "users": [["src_user"], ["dst_user"]]}
     out = stats.novelty(inputs.auth_binned(spark, sf_dir), ["batch"], views.AUTH_BATCH, AUTH_NOVEL[:4], pairs)

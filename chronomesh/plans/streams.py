@@ -14,7 +14,7 @@ part("closed", f"SELECT * FROM (SELECT *, CAST(floor(ts / {W}) * {W} AS BIGINT)
 
 
 def _stream(spark, sf_dir):
-    return jobs.read_conn_stream(spark, f"{sf_dir}/events.parquet")
+    return jobs.read_conn_stream(spark, sf_dir, "events.parquet")
 
 
 @query("stream_bin_stats", """

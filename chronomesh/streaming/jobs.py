@@ -15,9 +15,10 @@ from chronomesh.sources import schemas
 from chronomesh.sources.views import conn_from_events
 
 
-def read_conn_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Connections as a stream over event files; ``event_time`` carries the watermark."""
-    events = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 64).parquet(path)
+def read_conn_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """Connections as a stream over the event files of a folder; ``event_time`` carries the watermark."""
+    reader = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 64)
+    events = reader.option("pathGlobFilter", pattern).parquet(folder)
     return conn_from_events(events).withColumn("event_time", F.timestamp_seconds("ts"))
 
 
