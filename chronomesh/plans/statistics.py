@@ -132,10 +132,10 @@ def novelty_per_bin(spark, sf_dir):
 
 
 part("auth_first", """
-SELECT field, value, min(seen_at) AS seen_at FROM (
+SELECT c.f AS field, c.v AS value, min(seen_at) AS seen_at FROM (
   SELECT {'batch': batch, 'bin': bin} AS seen_at, unnest([{'f': 'auth_type', 'v': auth_type}, {'f': 'logon_type', 'v': logon_type},
     {'f': 'orientation', 'v': orientation}, {'f': 'result', 'v': result}, {'f': 'hosts', 'v': src_computer}, {'f': 'hosts', 'v': dst_computer},
-    {'f': 'users', 'v': src_user}, {'f': 'users', 'v': dst_user}]) AS c, c.f AS field, c.v AS value FROM auth_binned) GROUP BY field, value
+    {'f': 'users', 'v': src_user}, {'f': 'users', 'v': dst_user}]) AS c FROM auth_binned) GROUP BY c.f, c.v
 """)
 AUTH_NOVEL = ["auth_type", "logon_type", "orientation", "result", "hosts", "users"]
 
