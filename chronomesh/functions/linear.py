@@ -7,9 +7,10 @@ Matrices are given weights: plain Python lists, a few hundred numbers at most.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Matrix = list[list[float]]
@@ -24,6 +25,15 @@ def weight_vector(size: int, seed: int) -> list[float]:
     return weight_matrix(1, size, seed)[0]
 
 
+def array_literal(values: list[float]) -> Column:
+    """A vector constant as one literal instead of one expression per number."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+
+
+def matrix_literal(weight: Matrix) -> Column:
+    return F.from_json(F.lit(json.dumps([[float(v) for v in row] for row in weight])), "array<array<double>>")
+
+
 def add(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
@@ -46,15 +56,15 @@ def leaky_relu(x: Column, slope: float = 0.2) -> Column:
     return F.when(x >= 0, x).otherwise(x * F.lit(slope))
 
 
-def layer_norm(x: list[Column], eps: float = 1e-5) -> list[Column]:
-    size = F.lit(float(len(x)))
-    mean = add(x) / size
-    var = add([(v - mean) * (v - mean) for v in x]) / size
-    return [(v - mean) / F.sqrt(var + F.lit(eps)) for v in x]
-
-
-def unpack(array: str, size: int) -> list[Column]:
-    return [F.element_at(F.col(array), i + 1) for i in range(size)]
+def layer_norm(df: DataFrame, names: list[str], eps: float = 1e-5) -> DataFrame:
+    """Normalise the vector held in ``names``. Mean and variance are columns of their own,
+    so the expression grows with the width, not with its cube.
+    """
+    size = F.lit(float(len(names)))
+    df = df.withColumn("_mean", add([F.col(n) for n in names]) / size)
+    off = [F.col(n) - F.col("_mean") for n in names]
+    df = df.withColumn("_scale", F.sqrt(add([d * d for d in off]) / size + F.lit(eps)))
+    return df.withColumns({n: d / F.col("_scale") for n, d in zip(names, off)}).drop("_mean", "_scale")
 
 
 def array_dot(a: Column, b: Column) -> Column:
@@ -62,4 +72,4 @@ def array_dot(a: Column, b: Column) -> Column:
 
 
 def array_project(x: Column, weight: Matrix) -> Column:
-    return F.transform(F.lit(weight), lambda row: array_dot(row, x))
+    return F.transform(matrix_literal(weight), lambda row: array_dot(row, x))

@@ -56,11 +56,15 @@ def with_attrs(df: DataFrame, names: list[str], alias: str = "attrs") -> DataFra
     return df.withColumn(alias, F.array(*feature_columns(names)))
 
 
-def node_degrees(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """In and out degree of every node that has an edge in the graph; repeated edges count."""
+def node_degrees(edges: DataFrame, keys: list[str], swapped: bool = False) -> DataFrame:
+    """In and out degree of every node that has an edge in the graph; repeated edges count.
+
+    ``swapped`` names them the other way round, as some trained models expect.
+    """
+    receiver, sender = ("src", "dst") if swapped else ("dst", "src")
     ends = F.array(
-        F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")),
-        F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")),
+        F.struct(F.col(sender).alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+        F.struct(F.col(receiver).alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")),
     )
     return edges.select(*keys, F.inline(ends)).groupBy(*keys, "node").agg(
         F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree")

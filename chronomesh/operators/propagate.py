@@ -85,6 +85,12 @@ class AttentionWeights:
     bias: list[float]
 
 
+def _finish(df: DataFrame, names: list[str], normalise: bool, activate: bool) -> DataFrame:
+    if normalise:
+        df = layer_norm(df, names)
+    return df.withColumns({n: relu(F.col(n)) for n in names}) if activate else df
+
+
 def with_mean_loops(edges: DataFrame, keys: list[str], attrs: list[str]) -> DataFrame:
     """Replace self loops by one per node, whose attributes are the mean of its incoming edges."""
     plain = edges.select(*keys, "src", "dst", *attrs).filter("src <> dst")
@@ -137,9 +143,7 @@ def attention_layer(
     sums = softmax_sums(scored, keys, "_s", left)
     values = [F.col(n) + F.lit(float(b)) for n, b in zip(left, w.bias)]
     raw = sums.select(*keys, "node", *[v.alias(f"x{i}") for i, v in enumerate(values)])
-    final = [F.col(c) for c in vector_names("x", out)]
-    final = layer_norm(final) if normalise else final
-    return raw.select(*keys, "node", *[(relu(v) if activate else v).alias(f"x{i}") for i, v in enumerate(final)])
+    return _finish(raw, vector_names("x", out), normalise, activate)
 
 
 @dataclass(frozen=True)
@@ -205,9 +209,7 @@ def typed_layer(
     full = nodes.select(*keys, "node").join(received, [*keys, "node"], "left")
     final = [F.coalesce(F.col(f"_o{i}"), F.lit(0.0)) for i in range(out)]
     base = full.select(*keys, "node", *[v.alias(f"x{i}") for i, v in enumerate(final)])
-    values = [F.col(c) for c in vector_names("x", out)]
-    values = layer_norm(values) if normalise else values
-    return base.select(*keys, "node", *[(relu(v) if activate else v).alias(f"x{i}") for i, v in enumerate(values)])
+    return _finish(base, vector_names("x", out), normalise, activate)
 
 
 @dataclass(frozen=True)

@@ -72,7 +72,8 @@ def dense_index(df: DataFrame, order_by: list[str | Column], name: str) -> DataF
         total += sizes.get(part, 0)
     if not starts:
         starts = [0]
-    offsets = F.lit(starts).cast("array<bigint>")
+    # one text literal, folded to an array once, whatever the number of partitions
+    offsets = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
     return staged.withColumn(name, F.element_at(offsets, F.col("_part") + 1) + F.col("_pos")).drop("_part", "_pos")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronomesh.functions.linear import Matrix, array_dot, array_project
+from chronomesh.functions.linear import Matrix, array_dot, array_literal, array_project
 from chronomesh.functions.scalar import sigmoid
 
 
@@ -49,9 +49,9 @@ def mlp_link_score(
 ) -> DataFrame:
     """Two-layer score of the concatenated pair."""
     src_side, dst_side = _hidden_sides(nodes, first, size, node, emb)
-    hidden = _relu_sum(F.col("_a"), F.col("_b"), F.lit(first_bias))
+    hidden = _relu_sum(F.col("_a"), F.col("_b"), array_literal(first_bias))
     return _pair(pairs, src_side, dst_side).withColumn(
-        "link_logit", array_dot(hidden, F.lit(second)) + F.lit(float(second_bias))
+        "link_logit", array_dot(hidden, array_literal(second)) + F.lit(float(second_bias))
     ).drop("_a", "_b")
 
 
@@ -64,12 +64,12 @@ def link_class_score(
     With ``first`` of width ``2 * size`` the probability is left out.
     """
     src_side, dst_side = _hidden_sides(nodes, first, size, node, emb)
-    parts = [F.col("_a"), F.col("_b"), F.lit(first_bias)]
+    parts = [F.col("_a"), F.col("_b"), array_literal(first_bias)]
     if len(first[0]) == 2 * size + 1:
         prob = sigmoid(F.col(logit))
-        parts.append(F.transform(F.lit([row[-1] for row in first]), lambda v: v * prob))
+        parts.append(F.transform(array_literal([row[-1] for row in first]), lambda v: v * prob))
     hidden = _relu_sum(*parts)
-    logits = F.zip_with(array_project(hidden, second), F.lit(second_bias), lambda x, y: x + y)
+    logits = F.zip_with(array_project(hidden, second), array_literal(second_bias), lambda x, y: x + y)
     return _pair(scored, src_side, dst_side).withColumn("class_logits", logits).drop("_a", "_b")
 
 

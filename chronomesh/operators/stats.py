@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronomesh.functions.scalar import stage_name
@@ -54,21 +54,42 @@ def bucket_counts(df: DataFrame, ts: str, width) -> DataFrame:
     )
 
 
-def first_seen(df: DataFrame, order: list[str], columns: list[str], pairs: dict[str, list[list[str]]]) -> DataFrame:
-    """First bin of every value: (field, value, bin).
+#: Low bits of a position hold the bin number, the bits above them the data file.
+_BIN_BITS = 40
+
+
+def bin_position(batch_keys: list[str], batch_size: int) -> Column:
+    """Place of a bin in processing order as one number: file, then batch, then bin.
+
+    One number keeps ``min`` over it a hash aggregate; a struct would need a sort.
+    """
+    within = F.col("batch") * F.lit(batch_size) + F.col("bin")
+    files = [k for k in batch_keys if k != "batch"]
+    return F.shiftleft(F.col(files[0]).cast("bigint"), _BIN_BITS) + within if files else within
+
+
+def from_position(position: Column, batch_keys: list[str], batch_size: int) -> list[Column]:
+    """The columns a position was made from."""
+    files = [k for k in batch_keys if k != "batch"]
+    within = position.bitwiseAND(F.lit((1 << _BIN_BITS) - 1)) if files else position
+    out = [F.shiftright(position, _BIN_BITS).cast("int").alias(files[0])] if files else []
+    return [*out, F.floor(within / batch_size).alias("batch"), F.pmod(within, F.lit(batch_size)).cast("int").alias("bin")]
+
+
+def first_seen(df: DataFrame, position: Column, columns: list[str], pairs: dict[str, list[list[str]]]) -> DataFrame:
+    """First position of every value: (field number, value, position).
 
     Each event is unpivoted once; ``min`` combines on the map side, so a value that fills
     a third of the rows still shuffles one row per task.
     """
-    position = F.struct(*order)
-    cells = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns]
-    for field, ends in pairs.items():
+    cells = [F.struct(F.lit(i).alias("field"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)]
+    for i, ends in enumerate(pairs.values(), len(columns)):
         for end in ends:
             present = F.col(end[0]).isNotNull()
-            joined = F.concat_ws("|", *[F.col(c).cast("string") for c in end])
-            cells.append(F.struct(F.lit(field).alias("field"), F.when(present, joined).alias("value")))
+            joined = F.concat_ws("|", *[F.col(c).cast("string") for c in end]) if len(end) > 1 else F.col(end[0])
+            cells.append(F.struct(F.lit(i).alias("field"), F.when(present, joined).alias("value")))
     flat = df.select(position.alias("_at"), F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
-    return flat.groupBy("field", "value").agg(F.min("_at").alias("_at")).select("field", "value", "_at.*")
+    return flat.groupBy("field", "value").agg(F.min("_at").alias("_at"))
 
 
 def novelty(
@@ -76,12 +97,13 @@ def novelty(
 ) -> DataFrame:
     """How many values each bin shows for the first time, per field; all bins are listed.
 
-    Order of processing is ``batch_keys`` then ``bin``.
+    Order of processing is ``batch_keys`` then ``bin``; times are not negative.
     """
     order = [*batch_keys, "bin"]
     fields = [*columns, *pairs]
-    seen = first_seen(df, order, columns, pairs)
-    counts = seen.groupBy(*order).agg(*[F.count_if(F.col("field") == f).alias(f"new_{f}") for f in fields])
+    seen = first_seen(df, bin_position(batch_keys, batch_size), columns, pairs)
+    per_bin = seen.groupBy("_at").agg(*[F.count_if(F.col("field") == i).alias(f"new_{f}") for i, f in enumerate(fields)])
+    counts = per_bin.select(*from_position(F.col("_at"), batch_keys, batch_size), *[f"new_{f}" for f in fields])
     spine = bin_spine(df, batch_keys, batch_size)
     return spine.join(counts, order, "left").na.fill(0, [f"new_{f}" for f in fields])
 
