@@ -25,51 +25,51 @@ def _prefixed(df: DataFrame, keys: list[str], node: str, columns: list, names: l
     return df.select(*keys, F.col("node").alias(node), *[c.alias(n) for c, n in zip(columns, names)])
 
 
-def gcn_adjacency(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Normalised weights of the convolution: one row per distinct pair and one self loop per node.
+def gcn_adjacency(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges of the convolution: one row per distinct pair and one self loop per node.
 
-    Repeated edges become a multiplicity first, which bounds a host's rows by its
-    distinct peers. Staged, because every round reads it.
+    Repeated edges become a multiplicity ``w``, which bounds a host's rows by its distinct
+    peers. Staged, because every round reads it.
     """
-    pairs = stage(edges.groupBy(*keys, "src", "dst").agg(F.count("*").cast("double").alias("w")), "gcn-pairs")
-    nodes = pairs.select(*keys, F.explode(F.array("src", "dst")).alias("src")).distinct()
-    loops = nodes.select(*keys, "src", F.col("src").alias("dst"), F.lit(1.0).alias("w"))
-    full = pairs.filter("src <> dst").unionByName(loops)
-    degree = full.groupBy(*keys, F.col("dst").alias("node")).agg(F.sum("w").alias("d"))
-    src_degree = degree.select(*keys, F.col("node").alias("src"), F.col("d").alias("_ds"))
-    dst_degree = degree.select(*keys, F.col("node").alias("dst"), F.col("d").alias("_dd"))
-    coef = F.col("w") / F.sqrt(F.col("_ds") * F.col("_dd"))
-    return stage(
-        full.join(src_degree, [*keys, "src"]).join(dst_degree, [*keys, "dst"]).select(*keys, "src", "dst", coef.alias("coef")),
-        "gcn-adjacency",
-    )
+    pairs = edges.filter("src <> dst").groupBy(*keys, "src", "dst").agg(F.count("*").cast("double").alias("w"))
+    loops = nodes.select(*keys, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"))
+    return stage(pairs.unionByName(loops), "gcn-adjacency")
 
 
 def gcn_layer(
     nodes: DataFrame, adjacency: DataFrame, keys: list[str], width: int, weight: Matrix, bias: list[float], activate: bool
 ) -> DataFrame:
-    """One round: transform at the node, send along the edges, sum at the destination."""
-    out = len(weight)
-    names = vector_names("_h", out)
-    sent = _prefixed(nodes, keys, "src", project([F.col(c) for c in vector_names("x", width)], weight), names)
+    """One round: transform at the node, send along the edges, sum at the destination.
+
+    ``nodes`` carries its in-degree ``d``. Half of the normalisation is applied by the
+    sender and half by the receiver, whose degree is the sum of the weights it receives,
+    so no degree is looked up per edge.
+    """
+    names = vector_names("_h", len(weight))
+    values = project([F.col(c) for c in vector_names("x", width)], weight)
+    sent = _prefixed(nodes, keys, "src", [v / F.sqrt("d") for v in values], names)
     summed = adjacency.join(sent, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(
-        *[F.sum(F.col("coef") * F.col(n)).alias(n) for n in names]
+        F.sum("w").alias("d"), *[F.sum(F.col("w") * F.col(n)).alias(n) for n in names]
     )
-    values = [F.col(n) + F.lit(float(b)) for n, b in zip(names, bias)]
-    return summed.select(*keys, "node", *[(relu(v) if activate else v).alias(f"x{i}") for i, v in enumerate(values)])
+    received = [F.col(n) / F.sqrt("d") + F.lit(float(b)) for n, b in zip(names, bias)]
+    return summed.select(*keys, "node", "d", *[(relu(v) if activate else v).alias(f"x{i}") for i, v in enumerate(received)])
 
 
 def gcn_propagate(nodes: DataFrame, edges: DataFrame, keys: list[str], width: int, layers: list[tuple[Matrix, list[float]]]) -> DataFrame:
     """Graph convolution rounds with ReLU between them, none after the last.
 
-    Self loops are rows of the adjacency, so each round uses the previous nodes once and
-    the plan grows by one join per round.
+    ``nodes`` lists every node that has an edge. The node table is staged between rounds:
+    the plan does not grow, and each join has a plain scan on both sides, which is what
+    AQE needs to split the partition of a hot sender.
     """
-    adjacency = gcn_adjacency(edges, keys)
+    adjacency = gcn_adjacency(nodes, edges, keys)
+    degree = adjacency.groupBy(*keys, F.col("dst").alias("node")).agg(F.sum("w").alias("d"))
+    nodes = nodes.join(degree, [*keys, "node"])
     for i, (weight, bias) in enumerate(layers):
-        nodes = gcn_layer(nodes, adjacency, keys, width, weight, bias, activate=i < len(layers) - 1)
+        last = i == len(layers) - 1
+        nodes = gcn_layer(stage(nodes, "gcn-nodes"), adjacency, keys, width, weight, bias, activate=not last)
         width = len(weight)
-    return nodes
+    return nodes.drop("d")
 
 
 @dataclass(frozen=True)
@@ -109,9 +109,10 @@ def softmax_sums(scored: DataFrame, keys: list[str], score: str, values: list[st
     """Softmax-weighted sums of ``values`` over the edges into each node.
 
     Maximum first, then sums of exp(score - maximum): two aggregates with map-side
-    combine, and no window that would hold all edges of a hot node in one task.
+    combine, and no window that would hold all edges of a hot node in one task. The
+    maxima are staged so that AQE can split the join back to a hot node's edges.
     """
-    top = scored.groupBy(*keys, "dst").agg(F.max(score).alias("_top"))
+    top = stage(scored.groupBy(*keys, "dst").agg(F.max(score).alias("_top")), "softmax-top")
     weight = F.exp(F.col(score) - F.col("_top"))
     sums = scored.join(top, [*keys, "dst"]).groupBy(*keys, "dst").agg(
         F.sum(weight).alias("_total"), *[F.sum(weight * F.col(v)).alias(v) for v in values]
@@ -128,6 +129,7 @@ def attention_layer(
     Node-side products are made once per node; an edge only adds them up.
     """
     out = len(w.source)
+    nodes = stage(nodes, "attention-nodes")
     x = [F.col(c) for c in vector_names("x", width)]
     left, right = vector_names("_l", out), vector_names("_r", out)
     source = _prefixed(nodes, keys, "src", project(x, w.source, w.source_bias), left)
@@ -173,6 +175,7 @@ def typed_layer(
     linear, so it is applied once per node after the weighted sum.
     """
     hidden = len(w.node[0])
+    nodes = stage(nodes, "typed-nodes")
     x = [F.col(c) for c in vector_names("x", width)]
     per_type = [project(x, m, b) for m, b in zip(w.node, w.node_bias)]
     own = []
