@@ -86,7 +86,7 @@ def first_seen(df: DataFrame, position: Column, columns: list[str], pairs: dict[
     for i, ends in enumerate(pairs.values(), len(columns)):
         for end in ends:
             present = F.col(end[0]).isNotNull()
-            joined = F.concat_ws("|", *[F.col(c).cast("string") for c in end]) if len(end) > 1 else F.col(end[0])
+            joined = F.concat_ws("|", *[F.col(c).cast("string") for c in end]) if len(end) > 1 else F.col(end[0]).cast("string")
             cells.append(F.struct(F.lit(i).alias("field"), F.when(present, joined).alias("value")))
     flat = df.select(position.alias("_at"), F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
     return flat.groupBy("field", "value").agg(F.min("_at").alias("_at"))
@@ -163,3 +163,8 @@ def running_mean(df: DataFrame, groups: list[str], step: str, value: str) -> Dat
     """Mean of a per-step metric over the steps so far."""
     upto = Window.partitionBy(*groups).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(f"mean_{value}", F.avg(value).over(upto))
+
+
+def mean_over_windows(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Mean of per-window metrics over the windows of a batch."""
+    return df.groupBy(*keys).agg(F.count("*").alias("windows"), *[F.avg(v).alias(f"mean_{v}") for v in values])

@@ -80,6 +80,17 @@ def expand_duration(
     return out if keep_negative else out.filter(F.col(ts) >= 0)
 
 
+def expand_range(df: DataFrame, lo, hi, bin_size, longest, ts: str = "ts", duration: str = "duration") -> DataFrame:
+    """Pieces with ``lo <= ts < hi``, for events no longer than ``longest``.
+
+    A piece lies before the end of its event, so events that end outside
+    ``[lo, hi + longest)`` cannot have one in range. That bound is on the stored column and
+    reaches the scan; the exact filter follows the expansion.
+    """
+    near = time_range(df, lo, hi + longest, ts)
+    return time_range(expand_duration(near, bin_size, ts, duration), lo, hi, ts)
+
+
 def without_duration(df: DataFrame) -> DataFrame:
     """The other setting: every event is one closing row."""
     return df.withColumns({"piece": F.lit(0).cast("bigint"), "conn_status": F.lit("closing"), "status_code": F.lit(2)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronomesh.functions.scalar import sigmoid
-from chronomesh.operators import metrics
+from chronomesh.operators import metrics, stats
 from chronomesh.plans.inputs import whole
 from chronomesh.plans.registry import part, query
 from chronomesh.sources import views
@@ -207,3 +207,19 @@ FROM (SELECT batch, avg(bce) AS p, {_CE} AS c, avg(ce) AS plain, avg(ce * prob)
 def combined_losses(spark, sf_dir):
     out = metrics.combined_losses(views.class_pred(spark, sf_dir), K, "logits", "label", "link_logit", "link_label")
     return _round(out, *_LOSS_NAMES)
+
+
+part("window_losses", f"""
+SELECT batch, step, avg(bce) + 0.8::DOUBLE * avg(ce) AS loss FROM (
+  SELECT CAST(vec_id % 4 AS INT) AS batch, vec_id // 4 % 6 AS step, {_BCE.format(x='CAST(embedding[11] AS DOUBLE)', y='CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END')} AS bce,
+         list_max(z) + ln(list_sum(list_transform(z, lambda v: exp(v - list_max(z))))) - z[label + 1] AS ce
+  FROM (SELECT *, list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE)) AS z FROM embeddings)) GROUP BY batch, step
+""")
+
+
+@query("window_mean_loss", f"SELECT {_KEY}, count(*) AS windows, round(avg(loss), 6) AS mean_loss_observed FROM window_losses GROUP BY batch")
+def window_mean_loss(spark, sf_dir):
+    """Loss of every target window, averaged over the windows of a batch."""
+    pred = views.class_pred(spark, sf_dir).withColumn("step", F.floor(F.col("edge_id") / 4) % 6)
+    per_window = metrics.combined_losses(pred, ["batch", "step"], "logits", "label", "link_logit", "link_label")
+    return _round(stats.mean_over_windows(per_window, K, ["loss_observed"]), "mean_loss_observed")

@@ -202,20 +202,18 @@ def timelines(spark, sf_dir):
     return sequence.batch_timelines(degrees, BATCH_KEYS, B, ["in_degree", "out_degree"])
 
 
-def _series(position: int):
-    return F.array_join(F.transform("seq", lambda x: F.element_at(x, position).cast("bigint").cast("string")), ",")
-
-
 @query("sliding_sequences", f"""
 SELECT CAST(t.file_id AS BIGINT) AS file_id, t.batch, t.node, CAST(g AS BIGINT) AS target,
-       string_agg(CAST(i AS BIGINT), ',' ORDER BY bin) AS in_series, string_agg(CAST(o AS BIGINT), ',' ORDER BY bin) AS out_series
+       string_agg(concat(CAST(i AS BIGINT), '|', CAST(o AS BIGINT)), ',' ORDER BY bin) AS series
 FROM timeline t JOIN (SELECT unnest(range({WINDOW}, {B})) AS g) ON t.bin >= g - {WINDOW} AND t.bin < g
 GROUP BY t.file_id, t.batch, t.node, g
 """)
 def sliding_sequences(spark, sf_dir):
-    seqs = sequence.sliding_sequences(timelines(spark, sf_dir), B, WINDOW)
-    out = seqs.select(*BATCH_KEYS, "node", "target", _series(1).alias("in_series"), _series(2).alias("out_series"))
-    return whole(out, "file_id", "target")
+    """Degrees are put into text per bin once, then cut into windows."""
+    text = F.transform("timeline", lambda x: F.concat_ws("|", F.transform(x, lambda v: v.cast("bigint").cast("string"))))
+    lines = timelines(spark, sf_dir).withColumn("timeline", text)
+    seqs = sequence.sliding_sequences(lines, B, WINDOW)
+    return whole(seqs.select(*BATCH_KEYS, "node", "target", F.array_join("seq", ",").alias("series")), "file_id", "target")
 
 
 @query("eligible_windows", f"""
@@ -304,3 +302,43 @@ def training_pairs_observed(spark, sf_dir):
     positives, hosts = pairs_input(spark, sf_dir)
     out = graph.training_pairs(positives, graph.negative_edges(positives, hosts, KEYS), KEYS, "observed")
     return whole(out, "file_id", "bin", "observed", "link_target", "class_target")
+
+
+part("trade", """
+SELECT CAST(floor(epoch(l_shipdate) / 2592000) AS BIGINT) AS batch, CAST(floor(epoch(l_shipdate) / 86400) - floor(epoch(l_shipdate) / 2592000) * 30 AS BIGINT) AS bin,
+       l_suppkey AS src, l_partkey AS dst, l_quantity, l_returnflag FROM lineitem
+""")
+
+
+def trade(spark, sf_dir):
+    """Line items as edges from supplier to part, in daily bins."""
+    items = views.table(spark, sf_dir, "lineitem").select(
+        F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("time"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"),
+        "l_quantity", "l_returnflag",
+    )
+    return timebin.bin_events(items, "time", 86400, 30)
+
+
+@query("trade_degrees", """
+SELECT batch, bin, node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree
+FROM (SELECT batch, bin, src AS node, 0 AS i, 1 AS o FROM trade UNION ALL SELECT batch, bin, dst, 1, 0 FROM trade) GROUP BY ALL
+""")
+def trade_degrees(spark, sf_dir):
+    return whole(graph.node_degrees(trade(spark, sf_dir), AUTH_KEYS), "bin")
+
+
+@query("trade_dedup", "SELECT batch, bin, src, dst, count(*) AS copies, sum(l_quantity) AS l_quantity FROM trade GROUP BY ALL")
+def trade_dedup(spark, sf_dir):
+    return whole(graph.dedup_edges(trade(spark, sf_dir), AUTH_KEYS, ["l_quantity"], "add"), "bin")
+
+
+@query("trade_novelty", """
+SELECT s.batch, s.bin, count(CASE WHEN f = 'p' THEN 1 END) AS new_parts, count(CASE WHEN f = 's' THEN 1 END) AS new_suppliers
+FROM (SELECT batch, CAST(unnest(range(30)) AS BIGINT) AS bin FROM (SELECT DISTINCT batch FROM trade)) s
+LEFT JOIN (SELECT 'p' AS f, min(batch * 30 + bin) AS place FROM trade GROUP BY dst UNION ALL SELECT 's', min(batch * 30 + bin) FROM trade GROUP BY src) v
+  ON v.place = s.batch * 30 + s.bin GROUP BY s.batch, s.bin
+""")
+def trade_novelty(spark, sf_dir):
+    from chronomesh.operators.stats import novelty
+
+    return whole(novelty(trade(spark, sf_dir), ["batch"], 30, [], {"parts": [["dst"]], "suppliers": [["src"]]}), "bin")

@@ -43,7 +43,7 @@ def multi_file_union(spark, sf_dir):
     """Write the connections as weekly files, then read the list of files as one data set."""
     conn = views.conn(spark, sf_dir)
     base = new_path(spark, "weekly")
-    files.write_parquet(conn.withColumn("week", F.col("file_id")), base, partition_by=["week"])
+    files.write_parquet(conn.withColumn("week", F.col("file_id")), base, partition_by=["week"], order_by=["week", "ts"])
     weeks = [r["file_id"] for r in conn.select("file_id").distinct().collect()]
     manifest = {f"{base}/week={w}": w for w in sorted(weeks)}
     return _conn_out(files.read_manifest(spark, manifest, schemas.CONN))

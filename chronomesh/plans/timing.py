@@ -76,6 +76,21 @@ def expand_duration(spark, sf_dir):
     return whole(out.select("conn_id", "piece", F.round("ts", 6).alias("ts"), "conn_status", "status_code"), "status_code")
 
 
+@query("expand_duration_off", "SELECT conn_id, CAST(0 AS BIGINT) AS piece, round(ts, 6) AS ts, 'closing' AS conn_status, CAST(2 AS BIGINT) AS status_code FROM rel")
+def expand_duration_off(spark, sf_dir):
+    out = timebin.without_duration(inputs.relative(spark, sf_dir))
+    return whole(out.select("conn_id", "piece", F.round("ts", 6).alias("ts"), "conn_status", "status_code"), "status_code")
+
+
+@query("expand_time_range", "SELECT conn_id, piece, round(ts, 6) AS ts, conn_status FROM expanded WHERE ts >= 864000 AND ts < 1728000")
+def expand_time_range(spark, sf_dir):
+    """Expanded pieces of ten days; the longest connection bounds how far past the range to read."""
+    rel = inputs.relative(spark, sf_dir)
+    longest = rel.agg(F.max("duration")).first()[0]
+    out = timebin.expand_range(rel, 864000, 1728000, W, longest)
+    return out.select("conn_id", "piece", F.round("ts", 6).alias("ts"), "conn_status")
+
+
 @query("batch_split", "SELECT CAST(file_id AS BIGINT) AS file_id, batch, CAST(stage AS BIGINT) AS stage FROM conn_split")
 def batch_split(spark, sf_dir):
     return whole(inputs.conn_split(inputs.conn_binned(spark, sf_dir)), "file_id", "stage")

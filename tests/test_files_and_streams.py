@@ -110,3 +110,13 @@ def test_last_cumulative_row_is_the_total(spark, tiny):
     cumulative = stats.label_cumulative(counts, "batch", "label_tactic", schemas.LABEL_TACTIC)
     last = {r["label_tactic"]: r["m"] for r in cumulative.groupBy("label_tactic").agg(F.max("cumulative").alias("m")).collect()}
     assert {k: v for k, v in last.items() if v} == totals
+
+
+def test_expansion_range_reaches_the_scan(spark, tiny, tmp_path):
+    path = str(tmp_path / "conn")
+    inputs.relative(spark, tiny).select("conn_id", "ts", "duration").write.parquet(path)
+    stored = spark.read.parquet(path)
+    ranged = timebin.expand_range(stored, 864000, 1728000, 3600, 60000.0)
+    assert "GreaterThanOrEqual(ts,864000.0), LessThan(ts,1788000.0)" in ranged._jdf.queryExecution().executedPlan().toString()
+    full = timebin.time_range(timebin.expand_duration(stored, 3600), 864000, 1728000)
+    assert ranged.count() == full.count() > 0
