@@ -37,10 +37,10 @@ def auth_user_map(spark, sf_dir):
 _CODES = {"proto": schemas.PROTO, "service": schemas.SERVICE, "conn_state": schemas.CONN_STATE, "label_tactic": schemas.LABEL_TACTIC}
 
 
-@query("enum_encode", "SELECT conn_id, " + ", ".join(f"{code(c, d)} AS {c}_code" for c, d in _CODES.items()) + " FROM conn")
+@query("enum_encode", "SELECT conn_id, " + ", ".join(f"coalesce({code(c, d)}, -1) AS {c}_code" for c, d in _CODES.items()) + " FROM conn")
 def enum_encode(spark, sf_dir):
     return views.conn(spark, sf_dir).select(
-        "conn_id", *[dictionary_code(F.col(c), d).cast("bigint").alias(f"{c}_code") for c, d in _CODES.items()]
+        "conn_id", *[F.coalesce(dictionary_code(F.col(c), d), F.lit(-1)).cast("bigint").alias(f"{c}_code") for c, d in _CODES.items()]
     )
 
 

@@ -146,7 +146,7 @@ def _hetero(spark, sf_dir):
 
 
 @query("hetero_edges", f"""
-SELECT {_KEYS_SQL}, round(ts, 6) AS ts, y, edge_type, src_type, src, dst_type, dst, width, round(folded, 3) AS folded FROM typed_edges
+SELECT {_KEYS_SQL}, round(ts, 6) AS ts, y, edge_type, src_type, src, dst_type, dst, CAST(width AS BIGINT) AS width, round(folded, 3) AS folded FROM typed_edges
 """)
 def hetero_edges(spark, sf_dir):
     _, _, edges = _hetero(spark, sf_dir)
@@ -166,7 +166,7 @@ def hetero_nodes_flat(spark, sf_dir):
 
 
 @query("hetero_edges_flat", f"""
-SELECT {_KEYS_SQL}, round(ts, 6) AS ts, y, edge_type_code, src, dst, {_NA} AS width, round(folded, 3) AS folded FROM (
+SELECT {_KEYS_SQL}, round(ts, 6) AS ts, y, edge_type_code, src, dst, CAST({_NA} AS BIGINT) AS width, round(folded, 3) AS folded FROM (
   SELECT *  REPLACE (src + CASE WHEN src_type = 'service' THEN n ELSE 0 END AS src, dst + CASE WHEN dst_type = 'service' THEN n ELSE 0 END AS dst),
          CAST(list_position(['uses', 'communicates_with', 'belongs_to'], edge_type) - 1 AS BIGINT) AS edge_type_code
   FROM typed_edges, (SELECT count(*) AS n FROM hosts))
@@ -217,7 +217,7 @@ def sliding_sequences(spark, sf_dir):
 
 
 @query("eligible_windows", f"""
-SELECT CAST(file_id AS BIGINT) AS file_id, batch, count(*) AS bins, {WINDOW} AS first_target, count(*) - 2 AS last_target, count(*) - {WINDOW} - 1 AS windows
+SELECT CAST(file_id AS BIGINT) AS file_id, batch, count(*) AS bins, CAST({WINDOW} AS BIGINT) AS first_target, count(*) - 2 AS last_target, count(*) - {WINDOW} - 1 AS windows
 FROM spine GROUP BY file_id, batch HAVING count(*) >= {WINDOW} + 2
 """)
 def eligible_windows(spark, sf_dir):

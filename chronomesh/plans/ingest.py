@@ -14,7 +14,7 @@ from chronomesh.sources import files, schemas, views
 _CONN_OUT = (
     "conn_id, CAST(file_id AS BIGINT) AS file_id, round(ts, 6) AS ts, round(duration, 6) AS duration, src_ip, "
     "CAST(src_port AS BIGINT) AS src_port, dest_ip, CAST(dest_port AS BIGINT) AS dest_port, proto, service, conn_state, "
-    "orig_bytes, orig_pkts, resp_bytes, resp_pkts, missed_bytes, local_orig, local_resp, history, label_tactic"
+    "orig_bytes, orig_pkts, coalesce(resp_bytes, -1) AS resp_bytes, resp_pkts, missed_bytes, local_orig, local_resp, history, label_tactic"
 )
 _AUTH_OUT = "time, src_user, dst_user, src_computer, dst_computer, auth_type, logon_type, orientation, result"
 
@@ -23,7 +23,7 @@ def _conn_out(df):
     return df.selectExpr(*[c.strip() for c in (
         "conn_id", "CAST(file_id AS BIGINT) AS file_id", "round(ts, 6) AS ts", "round(duration, 6) AS duration", "src_ip",
         "CAST(src_port AS BIGINT) AS src_port", "dest_ip", "CAST(dest_port AS BIGINT) AS dest_port", "proto", "service",
-        "conn_state", "orig_bytes", "orig_pkts", "resp_bytes", "resp_pkts", "missed_bytes", "local_orig", "local_resp",
+        "conn_state", "orig_bytes", "orig_pkts", "coalesce(resp_bytes, -1) AS resp_bytes", "resp_pkts", "missed_bytes", "local_orig", "local_resp",
         "history", "label_tactic",
     )])
 
