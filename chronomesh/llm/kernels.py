@@ -23,6 +23,8 @@ _S33 = np.uint64(33)
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation: what stands between words when punctuation does not count.
+BREAK = np.array([not (chr(c).isalnum() or c >= 128) for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -94,7 +96,7 @@ class Words:
     the position of each text's first word.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, space: np.ndarray = SPACE):
         joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.data = LOWER[joined] if lower else joined
         self.n = len(texts)
@@ -102,7 +104,7 @@ class Words:
         self.text_end = np.cumsum(sizes)
         self.text_start = self.text_end - sizes
         inside = np.zeros(len(joined) + 1, bool)
-        inside[1:] = ~SPACE[joined]
+        inside[1:] = ~space[joined]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edges[0::2], edges[1::2]
         self.first = np.searchsorted(self.start, self.text_start)
