@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from chronomesh.llm import queries_decontaminate, queries_quality, queries_simhash  # noqa: F401
+from chronomesh.llm import queries_bpe, queries_decontaminate, queries_quality, queries_secrets, queries_simhash  # noqa: F401
 from chronomesh.llm.registry import CHECKS, QUERIES  # noqa: F401
