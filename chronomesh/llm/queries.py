@@ -1,4 +1,6 @@
 """All queries of this subpackage."""
 
-from chronomesh.llm import queries_bpe, queries_decontaminate, queries_quality, queries_secrets, queries_simhash  # noqa: F401
+from chronomesh.llm import (  # noqa: F401
+    queries_bpe, queries_decontaminate, queries_katz, queries_quality, queries_secrets, queries_simhash,
+)
 from chronomesh.llm.registry import CHECKS, QUERIES  # noqa: F401
