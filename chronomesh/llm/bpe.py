@@ -273,6 +273,26 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids_col: str = "tok
     return tokens.mapInArrow(run, f"{_ddl(tokens)}, `{bytes_col}` binary")
 
 
+def encode_checked(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, token_ids, exact) of every row; exact is whether the ids decode to the text."""
+    shared = shared_vocabulary(docs, vocabulary)
+    pair = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = pair.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(shared, pattern)
+        for batch in batches:
+            texts = kernels.texts_of(batch.column(1))
+            for lo, hi in kernels.blocks(texts, BLOCK_BYTES):
+                ids = codec.encode_all([t.decode() for t in texts[lo:hi]])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(lo, hi - lo), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())),
+                    pa.array([codec.decode(x) == t for x, t in zip(ids, texts[lo:hi])], pa.bool_()),
+                ], ["doc_id", "n_tokens", "token_ids", "exact"])
+
+    return pair.mapInArrow(run, f"doc_id {kind}, n_tokens long, token_ids array<int>, exact boolean")
+
+
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: digests of the ids and of the bytes they decode to."""
     shared = shared_vocabulary(docs, vocabulary)

@@ -29,9 +29,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chronomesh.llm import kernels
 from chronomesh.llm.components import components
@@ -62,17 +61,18 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
-    pair = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = pair.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, *carried: Column) -> DataFrame:
+    """(doc_id, carried columns, fp) of every row; fp holds the 64 bits as a signed long."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *carried, F.col(text_col).alias("text"))
+    names = rows.columns[:-1]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.fromiter((fingerprint(t, size) for t in kernels.texts_of(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            got = np.fromiter((fingerprint(t, size) for t in kernels.texts_of(batch.column(len(names)))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got.view(np.int64))], [*names, "fp"])
 
-    return pair.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"{kinds}, fp long")
 
 
 def covering_masks(radius: int, seed: int = SEED) -> list[int]:
@@ -163,16 +163,40 @@ def near_links(points: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROW
     return buckets.unionByName(around).distinct()
 
 
+def component_ids(prints: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of ``prints`` (columns doc_id, fp)."""
+    points = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    roots = staged(components(near_links(points.select("fp"), radius, bucket_rows)), "roots")
+    ids = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
+    return staged(ids.join(least, "root").select("fp", "root", "component_id"), "component-ids")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3,
                     bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id is the smallest id reachable over links."""
     prints = staged(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    points = staged(points, "points")
-    roots = staged(components(near_links(points.select("fp"), radius, bucket_rows)), "roots")
-    ids = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_point = staged(ids.join(least, "root").select("fp", "component_id"), "component-ids")
-    return prints.join(of_point, "fp").select(
+    return prints.join(component_ids(prints, radius, bucket_rows), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3,
+                         bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id.
+
+    Of several rows with that id, or where no row of a component has an id, one row stays. The choice is
+    made over ids and hashes of texts; the texts themselves are dealt out once, for the final selection.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    prints = staged(fingerprints(docs, id_col, text_col, size, text_hash.alias("text_hash")), "fingerprints")
+    placed = prints.join(component_ids(prints, radius, bucket_rows), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = placed.groupBy("root", "component_id").agg(F.min("text_hash").alias("__text"))
+    chosen = staged(chosen.select(
+        F.col("component_id").isNull().alias("__none"), F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("__id"), "__text",
+    ).distinct(), "kept-documents")
+    keys = ["__none", "__id", "__text"]
+    keyed = docs.select(
+        "*", F.col(id_col).isNull().alias("__none"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), text_hash.alias("__text"),
+    )
+    return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).drop(*keys)
