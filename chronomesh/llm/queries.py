@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from chronomesh.llm import (  # noqa: F401
-    queries_bpe, queries_decontaminate, queries_katz, queries_pii, queries_quality, queries_secrets, queries_simhash, queries_toxicity,
+    queries_bpe, queries_chat, queries_decontaminate, queries_katz, queries_pii, queries_quality, queries_secrets, queries_simhash,
+    queries_toxicity, queries_url,
 )
 from chronomesh.llm.registry import CHECKS, QUERIES  # noqa: F401
