@@ -22,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronomesh.llm.store import unused
+
 ROUNDS = 8
 #: Days from 1900-01-01 to 2099-12-31: 319 * 229.
 FIRST_DAY, DAY_HALVES = "1900-01-01", (319, 229)
@@ -195,22 +197,22 @@ def _treated(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _replace(docs: DataFrame, key: str, text_col: str, counts: bool, inverse: bool) -> DataFrame:
-    text = F.col(text_col)
+    text, (name,) = F.col(text_col), unused(docs, "_treated")
     matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     touched = text.rlike(ANY)
     treated = F.when(touched, F.transform(matches, lambda m: _treated(m, key, inverse)))
     joined = F.array_join(F.zip_with(
-        F.split(text, ANY, -1), F.col("__treated"), lambda b, t: F.concat(b, F.coalesce(t["text"], F.lit("")))), "")
-    marked = docs.withColumn("__treated", treated)
+        F.split(text, ANY, -1), F.col(name), lambda b, t: F.concat(b, F.coalesce(t["text"], F.lit("")))), "")
+    marked = docs.withColumn(name, treated)
     columns = [
-        F.when(F.col("__treated").isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns
+        F.when(F.col(name).isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns
     ]
-    return marked.select(*columns, *([_count_of(kind) for kind in KINDS] if counts else []))
+    return marked.select(*columns, *([_count_of(name, kind) for kind in KINDS] if counts else []))
 
 
-def _count_of(kind: str) -> Column:
-    found = F.size(F.filter(F.col("__treated"), lambda t: t["kind"] == kind))
-    return F.when(F.col("__treated").isNotNull(), found).otherwise(0).cast("long").alias(f"n_{kind}")
+def _count_of(name: str, kind: str) -> Column:
+    found = F.size(F.filter(F.col(name), lambda t: t["kind"] == kind))
+    return F.when(F.col(name).isNotNull(), found).otherwise(0).cast("long").alias(f"n_{kind}")
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:

@@ -1,6 +1,6 @@
 """Query of the URL filter.
 
-``pages`` holds neither fetch dates nor a list, so both are derived: a page is fetched on day page_id mod 360 of
+``pages`` holds neither fetch dates nor a list, so both are derived: a page is fetched on day 7 * page_id mod 360 of
 2024, and the first digits of a host's MD5 decide whether and when it, or the domain above it, is listed, taken off
 and listed again.
 """
@@ -16,7 +16,7 @@ from chronomesh.llm.registry import query, table
 SQL = r"""
 WITH p AS (
   SELECT page_id, nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', ''), '') AS host,
-    (DATE '2024-01-01' + CAST(page_id % 360 AS INTEGER))::DATE AS fetch_date FROM pages
+    (DATE '2024-01-01' + CAST(page_id * 7 % 360 AS INTEGER))::DATE AS fetch_date FROM pages
 ), h AS (
   SELECT host, md5(host) AS m, ('0x' || substr(md5(host), 1, 2))::INTEGER AS day FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL AND length(host) <= 253)
 ), e AS (
@@ -64,7 +64,7 @@ def dated_list(hosts: DataFrame) -> DataFrame:
 @query("op5_url_temporal_list", SQL)
 def op5_url_temporal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    captures = pages.withColumn("fetch_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 360).cast("int")))
+    captures = pages.withColumn("fetch_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7 % 360).cast("int")))
     hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).filter("host IS NOT NULL").distinct()
     judged = url_filter.judge(captures, dated_list(hosts))
     return judged.withColumn("fetch_date", F.col("fetch_date").cast("string"))

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronomesh.llm.store import staged
+from chronomesh.llm.store import staged, unused
 
 MASK = "[SECRET]"
 #: Owners from which a value counts as a widely copied example.
@@ -167,26 +167,27 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_i
                  example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """``docs`` with every reported span replaced by ``MASK``; overlapping spans are one. ``size_col`` follows the new text."""
     found = classified(docs, text_col, repo_col, owner_col, kinds, example_owners)
+    key, cuts = unused(docs, "_key", "_cuts")
     order = Window.partitionBy("key").orderBy("start", "end")
     islands = (
         found.withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("island", F.count_if(F.col("reach").isNull() | (F.col("start") >= F.col("reach"))).over(order))
         .groupBy("key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-        .withColumnRenamed("key", "_key")
+        .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
+        .withColumnRenamed("key", key)
     )
     text, columns = _clean(text_col), docs.columns
-    touched = docs.filter(suspicious(text, kinds)).withColumn("_key", F.sha2(text, 256))
-    joined = touched.join(staged(islands, "secret-cuts"), "_key", "left")
-    n = F.size("_cuts")
+    touched = docs.filter(suspicious(text, kinds)).withColumn(key, F.sha2(text, 256))
+    joined = touched.join(staged(islands, "secret-cuts"), key, "left")
+    n = F.size(cuts)
     pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(
         F.col(text_col),
-        (F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["end"]) + 1).cast("int"),
-        (F.when(i == n, F.length(text_col)).otherwise(F.get("_cuts", i)["start"])
-         - F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["end"])).cast("int"),
+        (F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)["end"]) + 1).cast("int"),
+        (F.when(i == n, F.length(text_col)).otherwise(F.get(cuts, i)["start"])
+         - F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)["end"])).cast("int"),
     ))
-    masked = joined.withColumn(text_col, F.when(F.col("_cuts").isNotNull(), F.array_join(pieces, MASK)).otherwise(F.col(text_col)))
+    masked = joined.withColumn(text_col, F.when(F.col(cuts).isNotNull(), F.array_join(pieces, MASK)).otherwise(F.col(text_col)))
     if size_col:
         kind = docs.schema[size_col].dataType
-        masked = masked.withColumn(size_col, F.when(F.col("_cuts").isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(size_col)))
+        masked = masked.withColumn(size_col, F.when(F.col(cuts).isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(size_col)))
     return docs.filter(~suspicious(text, kinds)).unionByName(masked.select(*columns))

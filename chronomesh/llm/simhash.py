@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from chronomesh.llm import kernels
 from chronomesh.llm.components import components
-from chronomesh.llm.store import staged
+from chronomesh.llm.store import staged, unused
 
 SEED = 42
 BITS = 64
@@ -191,12 +191,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     prints = staged(fingerprints(docs, id_col, text_col, size, text_hash.alias("text_hash")), "fingerprints")
     placed = prints.join(component_ids(prints, radius, bucket_rows), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = placed.groupBy("root", "component_id").agg(F.min("text_hash").alias("__text"))
+    chosen = placed.groupBy("root", "component_id").agg(F.min("text_hash").alias("text_hash"))
+    keys = unused(docs, "_none", "_id", "_text")
     chosen = staged(chosen.select(
-        F.col("component_id").isNull().alias("__none"), F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("__id"), "__text",
+        F.col("component_id").isNull().alias(keys[0]), F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias(keys[1]),
+        F.col("text_hash").alias(keys[2]),
     ).distinct(), "kept-documents")
-    keys = ["__none", "__id", "__text"]
     keyed = docs.select(
-        "*", F.col(id_col).isNull().alias("__none"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), text_hash.alias("__text"),
+        "*", F.col(id_col).isNull().alias(keys[0]), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias(keys[1]),
+        text_hash.alias(keys[2]),
     )
     return keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).drop(*keys)
