@@ -58,3 +58,15 @@ def stage_name(code: Column) -> Column:
 def md5_int(text: Column, digits: int = 8) -> Column:
     """Integer from the first hex digits of the md5 of ``text``."""
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time without zone, whatever the session's zone."""
+    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    minutes = (days * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+
+
+def epoch_seconds(day: Column) -> Column:
+    """Whole seconds since 1970 of a date or a time without zone."""
+    return F.floor(epoch_micros(day.cast("timestamp_ntz")) / 1_000_000)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronomesh.operators.scaling import stage
@@ -31,9 +31,14 @@ def label_redteam(events: DataFrame, redteam: DataFrame, staged: bool = True) ->
     return out.withColumn("malicious", hit).drop("_src_hit", "_dst_hit")
 
 
+def is_malicious(label: str = "label_tactic", benign: str = "none") -> Column:
+    """Any class but the benign one, a missing class included."""
+    return ~F.col(label).eqNullSafe(F.lit(benign))
+
+
 def malicious_flag(df: DataFrame, label: str = "label_tactic", benign: str = "none") -> DataFrame:
-    """Add ``mal``: any class but the benign one, a missing class included."""
-    return df.withColumn("mal", ~F.col(label).eqNullSafe(F.lit(benign)))
+    """Add ``mal``."""
+    return df.withColumn("mal", is_malicious(label, benign))
 
 
 def log_time(df: DataFrame, ts: str = "ts") -> DataFrame:

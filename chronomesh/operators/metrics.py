@@ -131,8 +131,12 @@ def macro(per_class: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def confusion_matrix(pred: DataFrame, classes: int, label: str = "label", guess: str = "pred") -> DataFrame:
-    """Count for every (label, pred) cell, empty ones included."""
+    """Count for every (label, pred) cell, empty ones included; a null or a value outside 0..classes-1 raises."""
     spark = pred.sparkSession
+    for side in (label, guess):
+        inside = F.col(side).between(0, classes - 1)
+        message = F.concat(F.lit(f"{side} is no class: "), F.coalesce(F.col(side).cast("string"), F.lit("null")))
+        pred = pred.withColumn(side, F.when(inside, F.col(side)).otherwise(F.raise_error(message).cast("int")))
     every = F.sequence(F.lit(0), F.lit(classes - 1))
     grid = spark.range(1).select(F.explode(every).alias("label")).select("label", F.explode(every).alias("pred"))
     counts = pred.groupBy(F.col(label).alias("label"), F.col(guess).alias("pred")).agg(F.count("*").alias("events"))

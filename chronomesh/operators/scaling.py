@@ -8,29 +8,24 @@ task holds is then set by the number of partitions, never by a hot key.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 #: monotonically_increasing_id keeps the row position in the low 33 bits.
 _POSITION_MASK = (1 << 33) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables, shared by all executors and private to this run."""
+    """Folder for intermediate tables of this application, below ``spark.checkpoint.dir``.
+
+    Whoever runs the application removes the folder afterwards.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if configured:
-        return f"{configured.rstrip('/')}/chronomesh-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="chronomesh-")
-    return _LOCAL_DIRS[app]
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach, or call session.configure")
+    return f"{configured.rstrip('/')}/chronomesh-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -84,6 +79,8 @@ def hash_rank(df: DataFrame, text: Column, name: str, digits: int = 4) -> DataFr
     buckets of nearly equal size whatever the data looks like; their offsets are a table
     of at most ``16 ** digits`` rows, which is why it may be broadcast.
     """
+    if not 1 <= digits <= 4:
+        raise ValueError("digits must be 1 to 4: the offsets are broadcast")
     keyed = df.withColumn("_md5", F.md5(text)).withColumn("_bucket", F.substring("_md5", 1, digits))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -108,7 +105,7 @@ def running_sums(
     """Add inclusive running sums ``{new column: value column}`` inside each group.
 
     ``groups`` + ``order_by`` must identify a row (aggregate first). A group may be
-    larger than a task: it is spread over as many ranges as its size asks for.
+    larger than a task: it is spread over as many ranges as its size asks for. Nulls form a group.
     """
     ordering = [F.col(c).desc() if descending else F.col(c) for c in order_by]
     ranged = df.repartitionByRange(*[F.col(g) for g in groups], *ordering).withColumn("_part", F.spark_partition_id())
@@ -120,7 +117,9 @@ def running_sums(
         .select(*keys, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in values])
     )
     inside = Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = staged.join(starts, keys)
+    starts = starts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_s_{n}" for n in values])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    joined = staged.join(starts, same)
     return joined.select(
         *df.columns,
         *[(F.col(f"_s_{n}") + F.sum(v).over(inside)).alias(n) for n, v in values.items()],

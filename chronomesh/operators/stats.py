@@ -23,26 +23,43 @@ def dataset_summary(df: DataFrame, dataset: str, ts: str, ends: list[str]) -> Da
         df.select(dataset, F.explode(F.array(*named)).alias("_host")).distinct()
         .groupBy(dataset).agg(F.count("*").alias("unique_hosts"))
     )
-    return totals.join(hosts, dataset)
+    hosts = hosts.withColumnRenamed(dataset, "_dataset")
+    return totals.join(hosts, totals[dataset].eqNullSafe(hosts["_dataset"])).drop("_dataset")
 
 
 def label_counts(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return df.groupBy(*keys, label).agg(F.count("*").alias("events"))
 
 
+#: Where events of a class that is not listed, or of none, are counted.
+OTHER = "other"
+
+
+def listed_class(label: str, labels: list[str]) -> Column:
+    """The class if it is listed, else ``OTHER``."""
+    return F.when(F.col(label).isin(labels), F.col(label)).otherwise(F.lit(OTHER))
+
+
 def label_pivot(counts: DataFrame, key: str, label: str, labels: list[str]) -> DataFrame:
-    """One column per class, zero where a class is missing. Labels are given, so no extra pass."""
-    sums = [F.coalesce(F.sum(F.when(F.col(label) == v, F.col("events"))), F.lit(0)).alias(v) for v in labels]
-    return counts.groupBy(key).agg(*sums)
+    """One column per class, zero where a class is missing, and ``OTHER`` for the rest: a row adds up to its events.
+
+    Labels are given, so no extra pass.
+    """
+    named = counts.withColumn(label, listed_class(label, labels))
+    sums = [F.coalesce(F.sum(F.when(F.col(label) == v, F.col("events"))), F.lit(0)).alias(v) for v in [*labels, OTHER]]
+    return named.groupBy(key).agg(*sums)
 
 
 def label_cumulative(counts: DataFrame, key: str, label: str, labels: list[str]) -> DataFrame:
-    """Running total per class over the batches that occur, long form.
+    """Running total per class, ``OTHER`` included, over the batches that occur, long form.
 
     The frame runs per class over the aggregated table, one row per batch.
     """
-    grid = counts.select(key).distinct().select(key, F.explode(F.lit(labels)).alias(label))
-    filled = grid.join(counts, [key, label], "left").na.fill(0, ["events"])
+    named = counts.groupBy(key, listed_class(label, labels).alias(label)).agg(F.sum("events").alias("events"))
+    grid = counts.select(key).distinct().select(F.col(key).alias("_key"), F.explode(F.lit([*labels, OTHER])).alias("_label"))
+    same = named[key].eqNullSafe(grid["_key"]) & (named[label] == grid["_label"])
+    filled = grid.join(named, same, "left").select(
+        F.col("_key").alias(key), F.col("_label").alias(label), F.coalesce("events", F.lit(0)).alias("events"))
     upto = Window.partitionBy(label).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return filled.withColumn("cumulative", F.sum("events").over(upto))
 
@@ -65,6 +82,8 @@ def bin_position(batch_keys: list[str], batch_size: int) -> Column:
     """
     within = F.col("batch") * F.lit(batch_size) + F.col("bin")
     files = [k for k in batch_keys if k != "batch"]
+    if len(files) > 1:
+        raise ValueError(f"one file key fits into a position, not {files}")
     return F.shiftleft(F.col(files[0]).cast("bigint"), _BIN_BITS) + within if files else within
 
 
@@ -136,8 +155,8 @@ def time_quartiles(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     counted = df.groupBy(*groups, value).agg(F.count("*").alias("_n"))
     return counted.groupBy(*groups).agg(
         F.sum("_n").alias("events"),
-        *[F.percentile(value, q, F.col("_n")).alias(name) for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))],
-    )
+        F.percentile(value, [0.25, 0.5, 0.75], F.col("_n")).alias("_q"),
+    ).select(*groups, "events", *[F.col("_q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))])
 
 
 def time_histogram(df: DataFrame, groups: list[str], value: str, width) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,21 @@ def time_range(df: DataFrame, lo, hi, ts: str = "ts") -> DataFrame:
     return df.filter((F.col(ts) >= F.lit(lo)) & (F.col(ts) < F.lit(hi)))
 
 
+def near_range(df: DataFrame, first_event: float, lo: float | None, hi: float | None, stored: str = "datetime") -> DataFrame:
+    """Rows whose stored time may lie in ``[lo, hi]``, in seconds after ``first_event``.
+
+    A coarse bound in whole seconds on the stored column itself, so that it reaches the scan; the exact
+    filter on relative time follows.
+    """
+    for seconds, sign in ((lo, ">="), (hi, "<=")):
+        if seconds is not None:
+            at = first_event + seconds
+            whole = math.floor(at) if sign == ">=" else math.ceil(at)
+            edge = datetime(1970, 1, 1) + timedelta(seconds=whole)
+            df = df.filter(F.expr(f"{stored} {sign} timestamp_ntz'{edge:%Y-%m-%d %H:%M:%S}'"))
+    return df
+
+
 def bin_events(df: DataFrame, ts: str, bin_size, batch_size: int) -> DataFrame:
     """Add ``bin_abs``, ``batch`` and ``bin`` (the bin inside its batch)."""
     bin_abs = floor_div(F.col(ts), bin_size)
@@ -96,7 +114,7 @@ def without_duration(df: DataFrame) -> DataFrame:
     return df.withColumns({"piece": F.lit(0).cast("bigint"), "conn_status": F.lit("closing"), "status_code": F.lit(2)})
 
 
-def day_fold(df: DataFrame, datetime: str = "datetime", ts: str = "ts") -> DataFrame:
+def day_fold(df: DataFrame, stored: str = "datetime", ts: str = "ts") -> DataFrame:
     """Put all days on top of each other: ``ts`` becomes whole seconds since midnight."""
-    t = F.col(datetime)
+    t = F.col(stored)
     return df.withColumn(ts, (F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))).cast("bigint"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronomesh.functions.scalar import epoch_seconds
 from chronomesh.operators import dims, graph, sequence, timebin
 from chronomesh.plans import inputs
 from chronomesh.plans.inputs import AUTH_KEYS, BATCH_KEYS, KEYS, shared, whole
@@ -313,7 +314,7 @@ SELECT CAST(floor(epoch(l_shipdate) / 2592000) AS BIGINT) AS batch, CAST(floor(e
 def trade(spark, sf_dir):
     """Line items as edges from supplier to part, in daily bins."""
     items = views.table(spark, sf_dir, "lineitem").select(
-        F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("time"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"),
+        epoch_seconds(F.col("l_shipdate")).alias("time"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"),
         "l_quantity", "l_returnflag",
     )
     return timebin.bin_events(items, "time", 86400, 30)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronomesh.operators import dims, graph
+from chronomesh.operators import dims, graph, label
 from chronomesh.operators.scaling import new_path
 from chronomesh.plans import inputs
 from chronomesh.plans.inputs import whole
@@ -44,9 +44,7 @@ def multi_file_union(spark, sf_dir):
     conn = views.conn(spark, sf_dir)
     base = new_path(spark, "weekly")
     files.write_parquet(conn.withColumn("week", F.col("file_id")), base, partition_by=["week"], order_by=["week", "ts"])
-    weeks = [r["file_id"] for r in conn.select("file_id").distinct().collect()]
-    manifest = {f"{base}/week={w}": w for w in sorted(weeks)}
-    return _conn_out(files.read_manifest(spark, manifest, schemas.CONN))
+    return _conn_out(files.read_numbered(spark, base, "week", schemas.CONN))
 
 
 def _auth_csv(spark, sf_dir) -> str:
@@ -93,7 +91,7 @@ FROM rel JOIN hosts s ON src_ip = s.host JOIN hosts d ON dest_ip = d.host
 WHERE ts > {SLICE[0]} AND ts < {SLICE[1]}
 """)
 def topology_slice(spark, sf_dir):
-    return graph.topology_slice(inputs.relative(spark, sf_dir), inputs.hosts(spark, sf_dir), *SLICE)
+    return graph.topology_slice(inputs.relative_between(spark, sf_dir, *SLICE), inputs.hosts(spark, sf_dir), *SLICE)
 
 
 @query("export_edges_json", f"""
@@ -118,16 +116,27 @@ def export_hosts_json(spark, sf_dir):
     return spark.read.text(path).withColumnRenamed("value", "record")
 
 
-@query("combined_datasets", """
-SELECT dataset, label_tactic, count(*) AS events, count(DISTINCT src_ip) AS sources
-FROM (SELECT concat('week-', file_id) AS dataset, label_tactic, src_ip FROM conn) GROUP BY ALL
+@query("combined_datasets", f"""
+SELECT dataset, label_tactic, count(*) AS events, count(DISTINCT src) AS sources, count(DISTINCT file_id) AS files, round(max(ts), 6) AS last_event
+FROM (SELECT 'conn' AS dataset, label_tactic, src_ip AS src, concat('conn-', file_id) AS file_id, ts - {views.FIRST_EVENT} AS ts FROM conn
+      UNION ALL SELECT 'auth', CASE WHEN malicious THEN 'Lateral Movement' ELSE 'none' END, src_computer,
+             concat('auth-', CAST(floor(time / {views.WEEK}) AS BIGINT)), CAST(time AS DOUBLE) - (SELECT min(time) FROM auth) FROM auth_marked)
+GROUP BY ALL
 """)
 def combined_datasets(spark, sf_dir):
-    conn = views.conn(spark, sf_dir).select("file_id", "label_tactic", "src_ip")
-    parts = {f"week-{w}": conn.filter(F.col("file_id") == w) for w in range(5)}
-    both = files.combine(parts)
-    return both.groupBy("dataset", "label_tactic").agg(
-        F.count("*").alias("events"), F.countDistinct("src_ip").alias("sources")
+    """Two data sets, each with its own first event and its own weekly files, under one label space."""
+    conn, log = views.conn(spark, sf_dir), views.auth(spark, sf_dir)
+    marked = label.label_redteam(log, views.redteam(log))
+    parts = {
+        "conn": files.DataSet(conn.select("label_tactic", F.col("src_ip").alias("src"), "ts", "file_id"), float(views.FIRST_EVENT)),
+        "auth": files.DataSet(marked.select(
+            F.when(F.col("malicious"), "Lateral Movement").otherwise("none").alias("label_tactic"), F.col("src_computer").alias("src"),
+            F.col("time").cast("double").alias("ts"), F.floor(F.col("time") / views.WEEK).alias("file_id"),
+        )),
+    }
+    return files.combine(parts).groupBy("dataset", "label_tactic").agg(
+        F.count("*").alias("events"), F.countDistinct("src").alias("sources"), F.countDistinct("file_id").alias("files"),
+        F.round(F.max("ts"), 6).alias("last_event"),
     )
 
 

@@ -18,6 +18,12 @@ def relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timebin.relative_time(views.conn(spark, sf_dir), float(views.FIRST_EVENT))
 
 
+def relative_between(spark: SparkSession, sf_dir: str, lo: float | None, hi: float | None) -> DataFrame:
+    """Connections near a range of relative time; the caller filters exactly."""
+    near = timebin.near_range(views.conn(spark, sf_dir), float(views.FIRST_EVENT), lo, hi)
+    return timebin.relative_time(near, float(views.FIRST_EVENT))
+
+
 def expanded(conn: DataFrame) -> DataFrame:
     return timebin.expand_duration(conn, views.CONN_BIN)
 

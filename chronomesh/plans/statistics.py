@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronomesh.operators import label, stats
+from chronomesh.operators import label, stats, timebin
 from chronomesh.plans import inputs
 from chronomesh.plans.inputs import BATCH_KEYS, KEYS, whole
 from chronomesh.plans.registry import part, query
@@ -65,27 +65,45 @@ def label_counts(spark, sf_dir):
 
 @query("label_counts_tail", "SELECT * FROM label_count_t WHERE batch > 10")
 def label_counts_tail(spark, sf_dir):
-    return stats.label_counts(inputs.conn_plain_binned(spark, sf_dir).filter("batch > 10"), ["batch"], "label_tactic")
+    """The bound on the batch is also one on the stored time, which reaches the scan."""
+    late = inputs.relative_between(spark, sf_dir, 11 * B * W, None)
+    return stats.label_counts(timebin.bin_events(late, "ts", W, B).filter("batch > 10"), ["batch"], "label_tactic")
+
+
+_OTHER_SQL = f"coalesce(sum(CASE WHEN label_tactic IS NULL OR label_tactic NOT IN ({', '.join(repr(v) for v in LABELS)}) THEN events END), 0)"
 
 
 @query("label_pivot", "SELECT batch, " + ", ".join(
     f"CAST(coalesce(sum(CASE WHEN label_tactic = '{v}' THEN events END), 0) AS BIGINT) AS {quoted(v)}" for v in LABELS
-) + " FROM label_count_t GROUP BY batch ORDER BY batch")
+) + f", CAST({_OTHER_SQL} AS BIGINT) AS other FROM label_count_t GROUP BY batch ORDER BY batch")
 def label_pivot(spark, sf_dir):
     return stats.label_pivot(_label_counts(spark, sf_dir), "batch", "label_tactic", LABELS).orderBy("batch")
 
 
 @query("label_cumulative", "SELECT batch, " + ", ".join(
-    f"CAST(sum({quoted(v)}) OVER (ORDER BY batch) AS BIGINT) AS {quoted(v)}" for v in LABELS
+    f"CAST(sum({quoted(v)}) OVER (ORDER BY batch) AS BIGINT) AS {quoted(v)}" for v in [*LABELS, "other"]
 ) + " FROM (SELECT batch, " + ", ".join(
     f"coalesce(sum(CASE WHEN label_tactic = '{v}' THEN events END), 0) AS {quoted(v)}" for v in LABELS
-) + " FROM label_count_t GROUP BY batch)")
+) + f", {_OTHER_SQL} AS other FROM label_count_t GROUP BY batch)")
 def label_cumulative(spark, sf_dir):
     totals = stats.label_cumulative(_label_counts(spark, sf_dir), "batch", "label_tactic", LABELS)
     wide = totals.select("batch", "label_tactic", F.col("cumulative").alias("events"))
     return stats.label_pivot(wide, "batch", "label_tactic", LABELS)
 
 
+@query("label_pivot_all_classes", """
+SELECT batch, CAST(sum(events) FILTER (label_tactic = 'none') AS BIGINT) AS none, CAST(sum(events) FILTER (label_tactic = 'Discovery') AS BIGINT) AS "Discovery",
+       CAST(coalesce(sum(events) FILTER (label_tactic IS NULL OR label_tactic NOT IN ('none', 'Discovery')), 0) AS BIGINT) AS other
+FROM (SELECT batch, CASE WHEN conn_id % 10 = 0 THEN NULL ELSE label_tactic END AS label_tactic, count(*) AS events FROM plain_binned GROUP BY ALL)
+GROUP BY batch
+""")
+def label_pivot_all_classes(spark, sf_dir):
+    """Every tenth event has no class, and two classes are listed: each row still adds up to its events."""
+    events = inputs.conn_plain_binned(spark, sf_dir).withColumn(
+        "label_tactic", F.when(F.col("conn_id") % 10 != 0, F.col("label_tactic")))
+    return stats.label_pivot(stats.label_counts(events, ["batch"], "label_tactic"), "batch", "label_tactic", ["none", "Discovery"])
+
+
 @query("label_totals", "SELECT label_tactic, count(*) AS events FROM conn GROUP BY label_tactic")
 def label_totals(spark, sf_dir):
     return stats.label_counts(views.conn(spark, sf_dir), [], "label_tactic")
@@ -254,13 +272,13 @@ def class_balance(spark, sf_dir):
 @query("running_mean_metric", """
 SELECT CAST(stage AS BIGINT) AS stage, batch, round(share, 6) AS share,
        round(avg(share) OVER (PARTITION BY stage ORDER BY batch), 6) AS mean_share
-FROM (SELECT stage, batch, count(*) FILTER (label_tactic <> 'none') / count(*) AS share FROM binned JOIN conn_split USING (file_id, batch) GROUP BY stage, batch)
+FROM (SELECT stage, batch, count(*) FILTER (label_tactic IS DISTINCT FROM 'none') / count(*) AS share FROM binned JOIN conn_split USING (file_id, batch) GROUP BY stage, batch)
 """)
 def running_mean_metric(spark, sf_dir):
     """Malicious share per batch as the step metric, averaged over the steps of its stage so far."""
     events = inputs.conn_binned(spark, sf_dir)
     per_batch = events.groupBy(*BATCH_KEYS).agg(
-        F.count_if(F.col("label_tactic") != "none").alias("_bad"), F.count("*").alias("_all")
+        F.count_if(label.is_malicious()).alias("_bad"), F.count("*").alias("_all")
     )
     steps = per_batch.join(inputs.conn_split(events), BATCH_KEYS).groupBy("stage", "batch").agg(
         (F.sum("_bad") / F.sum("_all")).alias("share")

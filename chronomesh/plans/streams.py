@@ -14,15 +14,20 @@ part("closed", f"SELECT * FROM (SELECT *, CAST(floor(ts / {W}) * {W} AS BIGINT)
 
 
 def _stream(spark, sf_dir):
-    return jobs.read_conn_stream(spark, sf_dir, "events.parquet")
+    return jobs.read_conn_stream(spark, f"{sf_dir}/events.parquet")
+
+
+def _run(stream, tag):
+    spark = stream.sparkSession
+    return jobs.run_to_table(stream, new_path(spark, tag), new_path(spark, f"{tag}-state"))
 
 
 @query("stream_bin_stats", """
-SELECT bin_start, count(*) AS events, CAST(sum(orig_bytes) AS BIGINT) AS orig_bytes, count(*) FILTER (label_tactic <> 'none') AS malicious
+SELECT bin_start, count(*) AS events, CAST(sum(orig_bytes) AS BIGINT) AS orig_bytes, count(*) FILTER (label_tactic IS DISTINCT FROM 'none') AS malicious
 FROM closed GROUP BY bin_start
 """)
 def stream_bin_stats(spark, sf_dir):
-    return jobs.run_to_table(jobs.bin_stats(_stream(spark, sf_dir), W), "bin-stats")
+    return _run(jobs.bin_stats(_stream(spark, sf_dir), W), "bin-stats")
 
 
 _FIELDS = {"hosts": ["src_ip", "dest_ip"], "service": ["service"], "label_tactic": ["label_tactic"]}
@@ -36,13 +41,13 @@ SELECT bin_start, field, count(*) AS new_values FROM (
   WHERE value IS NOT NULL GROUP BY field, value) GROUP BY bin_start, field
 """)
 def stream_novelty(spark, sf_dir):
-    sightings = jobs.run_to_table(jobs.value_sightings(_stream(spark, sf_dir), W, _FIELDS), "sightings")
+    sightings = _run(jobs.value_sightings(_stream(spark, sf_dir), W, _FIELDS), "sightings")
     return jobs.novelty_from_sightings(sightings)
 
 
-@query("stream_dedup_edges", f"SELECT DISTINCT CAST(floor(ts / {W}) * {W} AS BIGINT) AS bin_start, src_ip, dest_ip FROM conn")
+@query("stream_dedup_edges", "SELECT bin_start, src_ip, dest_ip, count(*) AS copies FROM closed GROUP BY ALL")
 def stream_dedup_edges(spark, sf_dir):
-    return jobs.run_to_table(jobs.dedup_edges(_stream(spark, sf_dir), W), "stream-edges")
+    return _run(jobs.dedup_edges(_stream(spark, sf_dir), W), "stream-edges")
 
 
 @query("stream_redteam_label", "SELECT time, src_user, dst_user, src_computer, dst_computer, malicious FROM auth_marked")
@@ -52,5 +57,5 @@ def stream_redteam_label(spark, sf_dir):
     path = files.write_csv(log.select(*schemas.AUTH.names), new_path(spark, "auth-feed"))
     feed = spark.readStream.schema(schemas.AUTH).option("header", False).option("mode", "FAILFAST").csv(path)
     labelled = jobs.redteam_labels(feed, views.redteam(log))
-    out = jobs.run_to_table(labelled.select("time", "src_user", "dst_user", "src_computer", "dst_computer", "malicious"), "stream-labels")
+    out = _run(labelled.select("time", "src_user", "dst_user", "src_computer", "dst_computer", "malicious"), "stream-labels")
     return out

@@ -30,12 +30,9 @@ def drop_nan_time(spark, sf_dir):
 
 @query("time_range", "SELECT conn_id, round(ts, 6) AS ts FROM rel WHERE ts >= 864000 AND ts < 1728000")
 def time_range(spark, sf_dir):
-    """The range also goes to the scan, on the raw time column, so row groups outside it are skipped."""
+    """The range also goes to the scan, on the stored time, so row groups outside it are skipped."""
     lo, hi = 864000, 1728000
-    raw = views.conn(spark, sf_dir).filter(
-        F.expr("datetime >= timestamp_ntz'2024-01-11 00:00:00' AND datetime < timestamp_ntz'2024-01-21 00:00:00'")
-    )
-    rel = timebin.relative_time(raw, float(views.FIRST_EVENT))
+    rel = inputs.relative_between(spark, sf_dir, lo, hi)
     return timebin.time_range(rel, lo, hi).select("conn_id", F.round("ts", 6).alias("ts"))
 
 
@@ -85,9 +82,9 @@ def expand_duration_off(spark, sf_dir):
 @query("expand_time_range", "SELECT conn_id, piece, round(ts, 6) AS ts, conn_status FROM expanded WHERE ts >= 864000 AND ts < 1728000")
 def expand_time_range(spark, sf_dir):
     """Expanded pieces of ten days; the longest connection bounds how far past the range to read."""
-    rel = inputs.relative(spark, sf_dir)
-    longest = rel.agg(F.max("duration")).first()[0]
-    out = timebin.expand_range(rel, 864000, 1728000, W, longest)
+    lo, hi = 864000, 1728000
+    longest = views.conn(spark, sf_dir).agg(F.max("duration")).first()[0] or 0.0
+    out = timebin.expand_range(inputs.relative_between(spark, sf_dir, lo, hi + longest), lo, hi, W, longest)
     return out.select("conn_id", "piece", F.round("ts", 6).alias("ts"), "conn_status")
 
 

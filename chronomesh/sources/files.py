@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronomesh.functions.scalar import dictionary_code
+from chronomesh.operators.timebin import relative_time
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
@@ -16,18 +22,32 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType, columns:
 
 
 def read_manifest(spark: SparkSession, manifest: dict[str, int], schema: T.StructType, id_name: str = "file_id") -> DataFrame:
-    """A list of files as one data set; every row knows the number of its file.
+    """A list of files or folders as one data set; every row knows the number of its file.
 
-    ``manifest`` maps a file or folder to its number. The file of a row comes from the
-    scan's own metadata, so all files are one scan.
+    The path of a row comes from the scan's own metadata, so all files are one scan. A row belongs to the
+    longest entry that its path ends with or lies in, at the borders of path parts; a row that belongs to none
+    fails the job.
+    """
+    rows = spark.read.schema(schema).parquet(*manifest).select("*", F.col("_metadata.file_path").alias("_path"))
+    clean = lambda p: "/" + re.sub(r"^[a-z]+:/*", "", p).strip("/")
+    entries = sorted(((clean(p), n) for p, n in manifest.items()), key=lambda e: len(e[0]))
+    place = F.concat(F.lit("/"), F.regexp_replace("_path", "^[a-z]+:/*", ""), F.lit("/"))
+    # one map literal and one array literal, folded once, whatever the number of files
+    numbers = F.from_json(F.lit(json.dumps(dict(entries))), "map<string,int>")
+    paths = F.split(F.lit("\n".join(p for p, _ in entries)), "\n")
+    own = F.filter(paths, lambda p: F.contains(place, F.concat(p, F.lit("/"))))
+    number = F.element_at(numbers, F.element_at(own, -1))
+    known = F.when(F.size(own) > 0, number).otherwise(F.raise_error(F.concat(F.lit("not in the manifest: "), "_path")).cast("int"))
+    return rows.withColumn(id_name, known).drop("_path")
+
+
+def read_numbered(spark: SparkSession, path: str, partition: str, schema: T.StructType, id_name: str = "file_id") -> DataFrame:
+    """A folder with one sub-folder ``partition=number`` per file; the number comes from the folder's name.
+
+    Plan and driver hold nothing per file, so this is the way for very many files.
     """
-    df = spark.read.schema(schema).parquet(*manifest).select("*", F.col("_metadata.file_path").alias("_path"))
-    number = F.lit(None).cast("int")
-    for path, n in manifest.items():
-        clean = path.rstrip("/")
-        inside = F.col("_path").contains(f"{clean}/") | F.col("_path").endswith(clean)
-        number = F.when(inside, F.lit(n)).otherwise(number)
-    return df.withColumn(id_name, number).drop("_path")
+    whole = T.StructType([*[f for f in schema.fields if f.name != partition], T.StructField(partition, T.IntegerType())])
+    return spark.read.schema(whole).parquet(path).withColumn(id_name, F.col(partition)).drop(partition)
 
 
 def write_parquet(
@@ -96,10 +116,22 @@ def write_records(df: DataFrame, path: str) -> str:
     return path
 
 
-def combine(datasets: dict[str, DataFrame], name: str = "dataset") -> DataFrame:
-    """Several data sets under one label space; ``name`` says where a row is from."""
-    parts = [df.withColumn(name, F.lit(label)) for label, df in datasets.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+@dataclass(frozen=True)
+class DataSet:
+    """Rows with a time ``ts`` and a file number; ``first_event`` is the earliest time unless it is known."""
+
+    rows: DataFrame
+    first_event: float | None = None
+
+
+def combine(datasets: dict[str, DataSet], name: str = "dataset", file_id: str = "file_id", ts: str = "ts") -> DataFrame:
+    """Several data sets under one label space; ``name`` says where a row is from.
+
+    Time starts at 0 in each of them, and file numbers carry the data set's name, so they never collide.
+    """
+    parts = []
+    for label, one in datasets.items():
+        named = F.concat(F.lit(f"{label}-"), F.col(file_id).cast("string"))
+        moved = relative_time(one.rows, one.first_event, ts).drop("abs_ts")
+        parts.append(moved.withColumns({name: F.lit(label), file_id: named}))
+    return reduce(DataFrame.unionByName, parts)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronomesh.functions.scalar import epoch_micros, epoch_seconds
 from chronomesh.sources import schemas
 
 #: Time of the first connection, epoch seconds.
@@ -89,7 +90,7 @@ def conn_from_events(events: DataFrame) -> DataFrame:
     """Connection log over an events frame, batch or streaming."""
     return events.withColumns({
         "k": F.get_json_object("props", "$.k").cast("int"),
-        "es": F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6),
+        "es": epoch_micros(F.col("ts")) / F.lit(1e6),
     }).selectExpr(*_exprs(CONN_COLUMNS))
 
 
@@ -102,7 +103,7 @@ def auth(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    return joined.withColumn("es", F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).selectExpr(*_exprs(AUTH_COLUMNS))
+    return joined.withColumn("es", epoch_seconds(F.col("o_orderdate"))).selectExpr(*_exprs(AUTH_COLUMNS))
 
 
 def redteam(auth_log: DataFrame) -> DataFrame:

@@ -9,23 +9,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomesh.operators.label import label_redteam
-from chronomesh.operators.scaling import new_path
+from chronomesh.operators.label import is_malicious, label_redteam
 from chronomesh.sources import schemas
 from chronomesh.sources.views import conn_from_events
 
 
-def read_conn_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """Connections as a stream over the event files of a folder; ``event_time`` carries the watermark."""
-    reader = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", 64)
-    events = reader.option("pathGlobFilter", pattern).parquet(folder)
+def read_conn_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
+    """Connections as a stream over an event table: a folder of files, or one file.
+
+    ``event_time`` carries the watermark. ``files_per_trigger`` sets the pace only.
+    """
+    reader = spark.readStream.schema(schemas.EVENTS).option("maxFilesPerTrigger", files_per_trigger)
+    # as a pattern that matches this name only: the reader then takes a file as well as a folder
+    path = path.rstrip("/")
+    events = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     return conn_from_events(events).withColumn("event_time", F.timestamp_seconds("ts"))
 
 
-def run_to_table(stream: DataFrame, tag: str) -> DataFrame:
-    """Process everything available, then return what the sink holds."""
+def run_to_table(stream: DataFrame, out: str, state: str) -> DataFrame:
+    """Process everything that is available, then return what the sink at ``out`` holds.
+
+    ``state`` holds the progress. Started again with the same two folders, a job goes on where it stopped.
+    """
     spark = stream.sparkSession
-    out, state = new_path(spark, tag), new_path(spark, f"{tag}-state")
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", state).trigger(availableNow=True).start(out)
@@ -34,7 +40,6 @@ def run_to_table(stream: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-
 def bin_stats(stream: DataFrame, bin_size: int, delay: str = "1 hour") -> DataFrame:
     """Events, bytes and malicious events per tumbling bin."""
     return (
@@ -43,7 +48,7 @@ def bin_stats(stream: DataFrame, bin_size: int, delay: str = "1 hour") -> DataFr
         .agg(
             F.count("*").alias("events"),
             F.sum("orig_bytes").alias("orig_bytes"),
-            F.count_if(F.col("label_tactic") != "none").alias("malicious"),
+            F.count_if(is_malicious()).alias("malicious"),
         )
         .select(F.unix_seconds("w.start").alias("bin_start"), "events", "orig_bytes", "malicious")
     )
@@ -76,13 +81,15 @@ def novelty_from_sightings(sightings: DataFrame) -> DataFrame:
 
 
 def dedup_edges(stream: DataFrame, bin_size: int, delay: str = "1 hour") -> DataFrame:
-    """One row per (bin, source, destination)."""
-    bin_start = (F.floor(F.col("ts") / F.lit(bin_size)) * F.lit(bin_size)).cast("bigint")
+    """One row per (bin, source, destination), written when the bin has closed.
+
+    Duplicates are dropped on the window itself, so the state lives until the watermark has passed
+    the end of the bin, however long the bin is.
+    """
     return (
-        stream.withColumn("bin_start", bin_start)
-        .withWatermark("event_time", delay)
-        .dropDuplicatesWithinWatermark(["bin_start", "src_ip", "dest_ip"])
-        .select("bin_start", "src_ip", "dest_ip")
+        stream.withWatermark("event_time", delay)
+        .groupBy(F.window("event_time", f"{bin_size} seconds").alias("w"), "src_ip", "dest_ip").agg(F.count("*").alias("copies"))
+        .select(F.unix_seconds("w.start").alias("bin_start"), "src_ip", "dest_ip", "copies")
     )
 
 

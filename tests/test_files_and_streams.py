@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,39 +62,96 @@ def test_no_single_task_exchange_over_events(spark, tiny):
 
 
 def test_shared_dir_follows_the_session(spark):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    assert not configured or shared_dir(spark).startswith(configured.rstrip("/"))
+    assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/"))
     assert new_path(spark, "a") != new_path(spark, "a")
 
 
-def test_stream_bins_equal_batch(spark, tiny):
-    streamed = jobs.run_to_table(jobs.bin_stats(jobs.read_conn_stream(spark, tiny, "events.parquet"), 3600), "t-bins")
-    got = {r["bin_start"]: r["events"] for r in streamed.collect()}
-    batch = views.conn(spark, tiny).groupBy((F.floor(F.col("ts") / 3600) * 3600).alias("b")).count()
-    want = {r["b"]: r["count"] for r in batch.collect()}
-    open_bins = set(want) - set(got)
-    assert all(want[b] == n for b, n in got.items())
-    assert len(open_bins) <= 2 and (not open_bins or min(open_bins) > max(got))
+def test_manifest_takes_the_longest_entry_and_rejects_strangers(spark, tmp_path):
+    manifest = {}
+    for n, name in enumerate(("w", "w/inner", "w2", "x/w")):
+        path = str(tmp_path / name)
+        spark.range(n + 1).coalesce(1).write.mode("append").parquet(path)
+        manifest[path] = n
+    out = files.read_manifest(spark, {k: v for k, v in manifest.items() if v}, spark.range(1).schema)
+    assert {r["file_id"]: r["count"] for r in out.groupBy("file_id").count().collect()} == {1: 2, 2: 3, 3: 4}
+    df = files.read_manifest(spark, {str(tmp_path / "w2"): 7}, spark.range(1).schema)
+    assert {r["file_id"] for r in df.collect()} == {7}
+
+
+def test_numbered_folders_need_no_list(spark, tmp_path):
+    spark.range(10).selectExpr("id", "cast(id % 3 as int) as week").write.partitionBy("week").parquet(str(tmp_path / "t"))
+    out = files.read_numbered(spark, str(tmp_path / "t"), "week", spark.range(1).schema)
+    assert out.columns == ["id", "file_id"] and all(r["id"] % 3 == r["file_id"] for r in out.collect())
+
+
+def test_data_sets_keep_their_own_clock_and_file_numbers(spark):
+    a = spark.createDataFrame([(10.0, 0), (15.0, 1)], "ts double, file_id int")
+    b = spark.createDataFrame([(700.0, 0), (None, None)], "ts double, file_id int")
+    got = files.combine({"a": files.DataSet(a), "b": files.DataSet(b, 600.0)}).collect()
+    assert {(r["dataset"], r["ts"], r["file_id"]) for r in got} == {("a", 0.0, "a-0"), ("a", 5.0, "a-1"), ("b", 100.0, "b-0"), ("b", None, None)}
 
 
-def test_stream_edges_equal_batch(spark, tiny):
-    streamed = jobs.run_to_table(jobs.dedup_edges(jobs.read_conn_stream(spark, tiny, "events.parquet"), 3600), "t-edges")
-    batch = views.conn(spark, tiny).select(F.floor(F.col("ts") / 3600).alias("b"), "src_ip", "dest_ip").distinct()
-    assert streamed.count() == batch.count()
+def _batch_bins(spark, tiny, size=3600):
+    b = views.conn(spark, tiny).groupBy((F.floor(F.col("ts") / size) * size).alias("b")).count()
+    return {r["b"]: r["count"] for r in b.collect()}
+
+
+def _feed(spark, tiny, folder, cuts):
+    events = views.table(spark, tiny, "events")
+    for cut in cuts:
+        events.filter(cut).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are taken in the order of their time
+
+
+def test_stream_reads_a_file_and_a_folder_of_files(spark, tiny, tmp_path):
+    folder = str(tmp_path / "events.parquet")
+    _feed(spark, tiny, folder, ("event_id < 400", "event_id >= 400 and event_id < 700", "event_id >= 700"))
+    want = _batch_bins(spark, tiny)
+    for name, path, pace in (("one", f"{tiny}/events.parquet", 64), ("many", folder, 1)):
+        stream = jobs.bin_stats(jobs.read_conn_stream(spark, path, pace), 3600)
+        got = {r["bin_start"]: r["events"] for r in jobs.run_to_table(stream, str(tmp_path / name), str(tmp_path / f"{name}-state")).collect()}
+        open_bins = set(want) - set(got)
+        assert got and all(want[b] == n for b, n in got.items())
+        assert len(open_bins) <= 2 and (not open_bins or min(open_bins) > max(got))
+
+
+def test_stream_goes_on_after_a_restart_and_leaves_late_rows_out(spark, tiny, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("events.parquet", "out", "state"))
+
+    def run():
+        return jobs.run_to_table(jobs.bin_stats(jobs.read_conn_stream(spark, folder, 1), 3600), out, state).collect()
+
+    _feed(spark, tiny, folder, ("event_id < 500",))
+    first = run()
+    _feed(spark, tiny, folder, ("event_id >= 500",))
+    second = run()
+    assert {tuple(r) for r in first} < {tuple(r) for r in second}
+    assert len({r["bin_start"] for r in second}) == len(second)  # nothing is counted twice
+    _feed(spark, tiny, folder, ("event_id < 5",))  # long after their bins have closed
+    assert {tuple(r) for r in run()} == {tuple(r) for r in second}
+
+
+def test_stream_edges_are_single_in_bins_longer_than_the_delay(spark, tmp_path):
+    day = 86400
+    rows = [(i, f"2024-01-0{1 + t // day} {t % day // 3600:02d}:00:00", 7, "click", 1.0, '{"k": 6}') for i, t in enumerate(
+        [0, 5 * 3600, 11 * 3600, 20 * 3600, day + 3600, 3 * day])]
+    folder = str(tmp_path / "events.parquet")
+    for row in rows:
+        spark.createDataFrame([row], "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn(
+            "ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    stream = jobs.dedup_edges(jobs.read_conn_stream(spark, folder, 1), day)
+    got = jobs.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    assert sorted(r["copies"] for r in got) == [1, 4]
 
 
 def test_stream_novelty_survives_several_triggers(spark, tiny, tmp_path):
     """Files arrive one per trigger and in time order; the result is that of the batch operator."""
-    events = views.table(spark, tiny, "events")
     folder = str(tmp_path / "feed")
-    for cut in ("event_id < 400", "event_id >= 400 and event_id < 700", "event_id >= 700"):
-        events.filter(cut).coalesce(1).write.mode("append").parquet(folder)
-    stream = jobs.read_conn_stream(spark, folder)
+    _feed(spark, tiny, folder, ("event_id < 400", "event_id >= 400 and event_id < 700", "event_id >= 700"))
     fields = {"hosts": ["src_ip", "dest_ip"]}
-    out = jobs.novelty_from_sightings(jobs.run_to_table(jobs.value_sightings(stream, 3600, fields, "40 days"), "t-novel"))
-    # nothing closes within 40 days of delay
-    assert out.count() == 0
-    sightings = jobs.run_to_table(jobs.value_sightings(jobs.read_conn_stream(spark, folder), 3600, fields), "t-novel2")
+    stream = jobs.value_sightings(jobs.read_conn_stream(spark, folder, 1), 3600, fields)
+    sightings = jobs.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     closed = sightings.agg(F.max("bin_start")).first()[0]
     got = jobs.novelty_from_sightings(sightings).agg(F.sum("new_values")).first()[0]
     conn = views.conn(spark, tiny).filter(F.floor(F.col("ts") / 3600) * 3600 <= closed)
