@@ -81,6 +81,18 @@ def node_features(degrees: DataFrame, hosts: DataFrame, keys: list[str]) -> Data
     return degrees.join(flags, degrees.node == flags.host_id).drop("host_id")
 
 
+def idle_features(hosts: DataFrame) -> DataFrame:
+    """Flags and degree 0 of every host, one row per host: what it has in each graph that it has no edge in.
+
+    This stands for the part of the hosts x bins product that ``node_features`` leaves out.
+    """
+    zero = F.lit(0).cast("bigint")
+    return hosts.select(
+        F.col("host_id").alias("node"), *[F.col(f).cast("int").alias(f) for f in HOST_FLAGS],
+        zero.alias("in_degree"), zero.alias("out_degree"),
+    )
+
+
 _MERGE = {
     "add": F.sum,
     "mean": F.avg,
@@ -206,8 +218,8 @@ def negative_edges(
     first = F.col("_block") * block
     last = F.least(first + (block - 1), F.col("_m") - 1)
     step = stride(population)
-    # the product passes 64 bits only for large node sets
-    wide = "bigint" if population < 2**31 else "decimal(38,0)"
+    # the product may pass 64 bits
+    wide = "decimal(38,0)"
     # modulo first, so that the start is below the population
     start = F.pmod(md5_int(seeded(seed, *keys), 15), F.lit(population))
     code = F.pmod(

@@ -72,6 +72,19 @@ def gcn_propagate(nodes: DataFrame, edges: DataFrame, keys: list[str], width: in
     return nodes.drop("d")
 
 
+def gcn_idle(idle: DataFrame, width: int, layers: list[tuple[Matrix, list[float]]]) -> DataFrame:
+    """The convolution of nodes without edges, one row per node, valid in every graph that they are silent in.
+
+    Such a node has only its self loop of weight one, so each round is the transform and the bias.
+    """
+    for i, (weight, bias) in enumerate(layers):
+        values = [v + F.lit(float(b)) for v, b in zip(project([F.col(c) for c in vector_names("x", width)], weight), bias)]
+        activate = i < len(layers) - 1
+        idle = idle.select("node", *[(relu(v) if activate else v).alias(f"x{j}") for j, v in enumerate(values)])
+        width = len(weight)
+    return idle
+
+
 @dataclass(frozen=True)
 class AttentionWeights:
     """Weights of one attention layer: source, target and edge matrices, score vector, bias."""
@@ -257,22 +270,53 @@ def run_layer(seq: np.ndarray, layer: RecurrentLayer, kind: str) -> np.ndarray:
     return states
 
 
+def _check_kind(kind: str) -> None:
+    if kind not in ("gru", "lstm"):
+        raise ValueError(f"unknown recurrence {kind!r}")
+
+
+def _last_state(block: np.ndarray, layers: list[RecurrentLayer], kind: str) -> np.ndarray:
+    for layer in layers:
+        block = run_layer(block, layer, kind)
+    return block[:, -1, :]
+
+
 def recurrent_encode(sequences: DataFrame, seq: str, steps: int, features: int, layers: list[RecurrentLayer], kind: str = "gru") -> DataFrame:
     """Add ``state``, the last hidden state of each sequence.
 
     Every row is one bounded sequence, so rows go to Python in Arrow batches wherever they
     are: no shuffle, no grouping.
     """
-    if kind not in ("gru", "lstm"):
-        raise ValueError(f"unknown recurrence {kind!r}")
+    _check_kind(kind)
 
     @F.pandas_udf("array<double>")
     def encode(flat: pd.Series) -> pd.Series:
         if len(flat) == 0:
             return pd.Series([], dtype=object)
-        block = np.stack(flat.to_numpy()).reshape(len(flat), steps, features)
-        for layer in layers:
-            block = run_layer(block, layer, kind)
-        return pd.Series(list(block[:, -1, :]))
+        return pd.Series(list(_last_state(np.stack(flat.to_numpy()).reshape(len(flat), steps, features), layers, kind)))
 
     return sequences.withColumn("state", encode(F.flatten(F.col(seq))))
+
+
+def recurrent_states(
+    timelines: DataFrame, batch_size: int, size: int, features: int, layers: list[RecurrentLayer], kind: str = "gru", drop_last: int = 0
+) -> DataFrame:
+    """(keys, target, state): the last hidden state over the ``size`` bins before every target.
+
+    Each timeline goes to Python once and comes back as one state per target; the windows are
+    views of it, so no bin is copied on the way.
+    """
+    _check_kind(kind)
+    last = batch_size - 1 - drop_last
+
+    @F.pandas_udf("array<array<double>>")
+    def encode(flat: pd.Series) -> pd.Series:
+        if len(flat) == 0:
+            return pd.Series([], dtype=object)
+        block = np.stack(flat.to_numpy()).reshape(len(flat), batch_size, features)
+        states = [_last_state(block[:, t - size:t, :], layers, kind) for t in range(size, last + 1)]
+        return pd.Series([list(row) for row in np.stack(states, axis=1)] if states else [[]] * len(flat))
+
+    keys = [c for c in timelines.columns if c != "timeline"]
+    coded = timelines.select(*keys, encode(F.flatten("timeline")).alias("_states"))
+    return coded.select(*keys, F.posexplode("_states").alias("target", "state")).withColumn("target", F.col("target") + size)

@@ -73,6 +73,35 @@ def link_class_score(
     return _pair(scored, src_side, dst_side).withColumn("class_logits", logits).drop("_a", "_b")
 
 
+def with_pair_vectors(pairs: DataFrame, states: DataFrame, idle: DataFrame, keys: list[str], vector: str = "state") -> DataFrame:
+    """Add ``zs`` and ``zd``, the vectors of both ends in the pair's graph.
+
+    ``states`` has (keys, node, vector) of the nodes active in a graph, ``idle`` (node, vector) of every node, which
+    holds wherever the other has no row. No pair is lost: each side is a left join on unique keys.
+    """
+    for side, name in (("src", "zs"), ("dst", "zd")):
+        active = states.select(*keys, F.col("node").alias(side), F.col(vector).alias("_active"))
+        default = idle.select(F.col("node").alias(side), F.col(vector).alias("_idle"))
+        pairs = pairs.join(active, [*keys, side], "left").join(default, side, "left")
+        pairs = pairs.withColumn(name, F.coalesce("_active", "_idle")).drop("_active", "_idle")
+    return pairs
+
+
+def pair_scores(
+    pairs: DataFrame, size: int, first: Matrix, first_bias: list[float], second: list[float], second_bias: float,
+    class_first: Matrix, class_first_bias: list[float], class_second: Matrix, class_second_bias: list[float],
+) -> DataFrame:
+    """``link_logit`` and ``class_logits`` of rows that carry the vectors of both ends as ``zs`` and ``zd``."""
+    both = F.concat("zs", "zd")
+    hidden = _relu_sum(array_project(both, [row[:2 * size] for row in first]), array_literal(first_bias))
+    scored = pairs.withColumn("link_logit", array_dot(hidden, array_literal(second)) + F.lit(float(second_bias)))
+    prob = sigmoid(F.col("link_logit"))
+    weighted = F.transform(array_literal([row[-1] for row in class_first]), lambda v: v * prob)
+    inner = _relu_sum(array_project(both, [row[:2 * size] for row in class_first]), weighted, array_literal(class_first_bias))
+    logits = F.zip_with(array_project(inner, class_second), array_literal(class_second_bias), lambda x, y: x + y)
+    return scored.withColumn("class_logits", logits)
+
+
 def fit_edge_classifier(
     train: DataFrame, validation: DataFrame, features: str = "features", label: str = "y",
     benign_weight: float = 1.0, other_weight: float = 5.0, reg_params: tuple[float, ...] = (0.01, 0.1), max_iter: int = 10,

@@ -231,7 +231,7 @@ SELECT CAST(file_id AS BIGINT) AS file_id, batch, node, bin + 1 AS target, CAST(
 FROM timeline WHERE bin BETWEEN {WINDOW - 1} AND {B - 2}
 """)
 def last_value_embedding(spark, sf_dir):
-    last = sequence.last_values(sequence.sliding_sequences(timelines(spark, sf_dir), B, WINDOW))
+    last = sequence.last_values(timelines(spark, sf_dir), B, WINDOW)
     out = last.select(*BATCH_KEYS, "node", "target", F.element_at("x", 1).alias("x0"), F.element_at("x", 2).alias("x1"))
     return whole(out, "file_id", "target")
 

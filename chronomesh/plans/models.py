@@ -75,26 +75,31 @@ def _xs(n, prefix="x"):
 part("node_x", "SELECT file_id, batch, bin, node, " + ", ".join(
     f"CAST(CAST({c} AS INT) AS DOUBLE) AS x{i}" for i, c in enumerate(NODE_X)
 ) + " FROM degrees JOIN flags ON node = host_id")
-part("gcn_full", """
+def gcn_parts(prefix: str, nodes: str) -> None:
+    """Check SQL of the convolution over the rows of ``nodes``; the result is ``{prefix}_round3``."""
+    part(f"{prefix}_full", f"""
 SELECT file_id, batch, bin, src, dst, CAST(count(*) AS DOUBLE) AS w FROM edges WHERE src <> dst GROUP BY ALL
-UNION ALL SELECT file_id, batch, bin, node, node, 1.0 FROM node_x
+UNION ALL SELECT file_id, batch, bin, node, node, 1.0 FROM {nodes}
 """)
-part("gcn_degree", "SELECT file_id, batch, bin, dst AS node, sum(w) AS d FROM gcn_full GROUP BY ALL")
-part("gcn_adj", """
-SELECT f.file_id, f.batch, f.bin, f.src, f.dst, w / sqrt(s.d * t.d) AS coef FROM gcn_full f
-JOIN gcn_degree s ON s.file_id = f.file_id AND s.batch = f.batch AND s.bin = f.bin AND s.node = f.src
-JOIN gcn_degree t ON t.file_id = f.file_id AND t.batch = f.batch AND t.bin = f.bin AND t.node = f.dst
+    part(f"{prefix}_degree", f"SELECT file_id, batch, bin, dst AS node, sum(w) AS d FROM {prefix}_full GROUP BY ALL")
+    part(f"{prefix}_adj", f"""
+SELECT f.file_id, f.batch, f.bin, f.src, f.dst, w / sqrt(s.d * t.d) AS coef FROM {prefix}_full f
+JOIN {prefix}_degree s ON s.file_id = f.file_id AND s.batch = f.batch AND s.bin = f.bin AND s.node = f.src
+JOIN {prefix}_degree t ON t.file_id = f.file_id AND t.batch = f.batch AND t.bin = f.bin AND t.node = f.dst
 """)
-_prev, _w = "node_x", WIDTH
-for _i, (_weight, _bias) in enumerate(GCN_LAYERS):
-    _h = _project_sql([f"n.{x}" for x in _xs(_w)], _weight)
-    _sums = [f"sum(coef * {h}) + CAST({float(b)!r} AS DOUBLE)" for h, b in zip(_h, _bias)]
-    if _i < len(GCN_LAYERS) - 1:
-        _sums = [f"greatest({s}, 0)" for s in _sums]
-    part(f"gcn_round{_i + 1}", "SELECT a.file_id, a.batch, a.bin, a.dst AS node, " + ", ".join(f"{s} AS x{j}" for j, s in enumerate(_sums)) + f"""
-FROM gcn_adj a JOIN {_prev} n ON n.file_id = a.file_id AND n.batch = a.batch AND n.bin = a.bin AND n.node = a.src
+    prev, width = nodes, WIDTH
+    for i, (weight, bias) in enumerate(GCN_LAYERS):
+        h = _project_sql([f"n.{x}" for x in _xs(width)], weight)
+        sums = [f"sum(coef * {x}) + CAST({float(b)!r} AS DOUBLE)" for x, b in zip(h, bias)]
+        if i < len(GCN_LAYERS) - 1:
+            sums = [f"greatest({x}, 0)" for x in sums]
+        part(f"{prefix}_round{i + 1}", "SELECT a.file_id, a.batch, a.bin, a.dst AS node, " + ", ".join(f"{x} AS x{j}" for j, x in enumerate(sums)) + f"""
+FROM {prefix}_adj a JOIN {prev} n ON n.file_id = a.file_id AND n.batch = a.batch AND n.bin = a.bin AND n.node = a.src
 GROUP BY a.file_id, a.batch, a.bin, a.dst""")
-    _prev, _w = f"gcn_round{_i + 1}", len(_weight)
+        prev, width = f"{prefix}_round{i + 1}", len(weight)
+
+
+gcn_parts("gcn", "node_x")
 
 
 def _out_sql(source, size, digits=5):
@@ -222,58 +227,91 @@ RNN = 3
 _GRU = example_recurrent(2, RNN, 3)[0]
 
 
-def _gru_sql() -> str:
-    """One recurrence step per bin as a recursive query."""
-    def gate(names, weight, bias, row):
-        return f"({_dot_sql(names, weight[row])} + CAST({float(bias[row])!r} AS DOUBLE))"
-
-    def sig(x):
-        return f"(1 / (1 + exp(-{x})))"
-
-    xs, hs, new = ["i", "o"], _xs(RNN, "h"), []
-    for j in range(RNN):
-        a = [gate(xs, _GRU.w_in, _GRU.b_in, k * RNN + j) for k in range(3)]
-        b = [gate(hs, _GRU.w_hidden, _GRU.b_hidden, k * RNN + j) for k in range(3)]
-        reset, update = sig(f"({a[0]} + {b[0]})"), sig(f"({a[1]} + {b[1]})")
-        cand = f"((exp(2 * ({a[2]} + {reset} * {b[2]})) - 1) / (exp(2 * ({a[2]} + {reset} * {b[2]})) + 1))"
-        new.append(f"(1 - {update}) * {cand} + {update} * h{j}")
+def _gate_sql(names, weight, bias, row) -> str:
+    return f"({_dot_sql(names, weight[row])} + CAST({float(bias[row])!r} AS DOUBLE))"
+
+
+def _sig_sql(x: str) -> str:
+    return f"(1 / (1 + exp(-{x})))"
+
+
+def _tanh_sql(x: str) -> str:
+    return f"((exp(2 * {x}) - 1) / (exp(2 * {x}) + 1))"
+
+
+def gru_step_sql(layer: propagate.RecurrentLayer, xs: list[str], hs: list[str]) -> list[str]:
+    """The next hidden state from inputs and hidden state."""
+    size, new = len(hs), []
+    for j in range(size):
+        a = [_gate_sql(xs, layer.w_in, layer.b_in, k * size + j) for k in range(3)]
+        b = [_gate_sql(hs, layer.w_hidden, layer.b_hidden, k * size + j) for k in range(3)]
+        reset, update = _sig_sql(f"({a[0]} + {b[0]})"), _sig_sql(f"({a[1]} + {b[1]})")
+        new.append(f"(1 - {update}) * {_tanh_sql(f'({a[2]} + {reset} * {b[2]})')} + {update} * {hs[j]}")
     return new
 
 
+def lstm_step_sql(layer: propagate.RecurrentLayer, xs: list[str], hs: list[str], cs: list[str]) -> tuple[list[str], list[str]]:
+    """(cells, output gates) of the next step; the hidden state is gate * tanh(cell)."""
+    size, cells, outs = len(hs), [], []
+    for j in range(size):
+        g = [f"({_gate_sql(xs, layer.w_in, layer.b_in, k * size + j)} + {_gate_sql(hs, layer.w_hidden, layer.b_hidden, k * size + j)})" for k in range(4)]
+        cells.append(f"{_sig_sql(g[1])} * {cs[j]} + {_sig_sql(g[0])} * {_tanh_sql(g[2])}")
+        outs.append(_sig_sql(g[3]))
+    return cells, outs
+
+
 part("lines", f"""
 SELECT file_id, batch, node, list(CAST(i AS DOUBLE) / 10 ORDER BY bin) AS li, list(CAST(o AS DOUBLE) / 10 ORDER BY bin) AS lo FROM timeline GROUP BY file_id, batch, node
 """)
-_RECURRENT_SQL = f"""
-SELECT CAST(file_id AS BIGINT) AS file_id, batch, node, target, {', '.join(f'round(h{j}, 5) AS h{j}' for j in range(RNN))}
+_STEP_INPUT = f"SELECT *, li[target - {WINDOW} + t + 1] AS i, lo[target - {WINDOW} + t + 1] AS o FROM steps WHERE t < {WINDOW}"
+
+
+def _recurrent_sql(state: list[str], step: str) -> str:
+    """One recurrence step per bin as a recursive query."""
+    return f"""
+SELECT CAST(file_id AS BIGINT) AS file_id, batch, node, target, {', '.join(f'round({state[j]}, 5) AS h{j}' for j in range(RNN))}
 FROM (WITH RECURSIVE steps AS (
-  SELECT file_id, batch, node, target, li, lo, 0 AS t, {', '.join(f'CAST(0 AS DOUBLE) AS h{j}' for j in range(RNN))}
-  FROM lines, (SELECT CAST(unnest(range({WINDOW}, {B})) AS BIGINT) AS target) WHERE node < 20
+  SELECT file_id, batch, node, target, li, lo, 0 AS t, {', '.join(f'CAST(0 AS DOUBLE) AS {x}' for x in state)}
+  FROM lines, (SELECT CAST(unnest(range({WINDOW}, {B})) AS BIGINT) AS target)
   UNION ALL
-  SELECT file_id, batch, node, target, li, lo, t + 1, {', '.join(_gru_sql())}
-  FROM (SELECT *, li[target - {WINDOW} + t + 1] AS i, lo[target - {WINDOW} + t + 1] AS o FROM steps WHERE t < {WINDOW})
+  SELECT file_id, batch, node, target, li, lo, t + 1, {', '.join(state)} FROM ({step})
 ) SELECT * FROM steps WHERE t = {WINDOW})
-""".replace(" WHERE node < 20", "")
+"""
 
 
-def _scaled_sequences(spark, sf_dir):
-    seqs = sequence.sliding_sequences(timelines(spark, sf_dir), B, WINDOW)
-    return seqs.withColumn("seq", F.transform("seq", lambda x: F.transform(x, lambda v: v / 10)))
+_H = _xs(RNN, "h")
+_GRU_STEP = "SELECT * REPLACE (" + ", ".join(f"{v} AS {h}" for v, h in zip(gru_step_sql(_GRU, ["i", "o"], _H), _H)) + f") FROM ({_STEP_INPUT})"
+_LSTM = example_recurrent(2, RNN, 4, 2)
 
 
-@query("recurrent_encode", _RECURRENT_SQL)
-def recurrent_encode(spark, sf_dir):
-    """One gated recurrent layer over every node's window of 30 bins."""
-    coded = propagate.recurrent_encode(_scaled_sequences(spark, sf_dir), "seq", WINDOW, 2, [_GRU])
+def _lstm_step() -> str:
+    step = _STEP_INPUT
+    for layer, xs, n in ((_LSTM[0], ["i", "o"], 1), (_LSTM[1], _xs(RNN, "u"), 2)):
+        hs, cs = _xs(RNN, "h" if n == 2 else "u"), _xs(RNN, f"c{n}_")
+        cells, outs = lstm_step_sql(layer, xs, hs, cs)
+        gates = _xs(RNN, f"g{n}_")
+        step = f"SELECT * REPLACE ({', '.join(f'{v} AS {c}' for v, c in zip(cells, cs))}), {', '.join(f'{v} AS {g}' for v, g in zip(outs, gates))} FROM ({step})"
+        step = f"SELECT * REPLACE ({', '.join(f'{g} * {_tanh_sql(c)} AS {h}' for g, c, h in zip(gates, cs, hs))}) FROM ({step})"
+    return step
+
+
+def _states(spark, sf_dir, layers, kind):
+    lines = timelines(spark, sf_dir).withColumn("timeline", F.transform("timeline", lambda x: F.transform(x, lambda v: v / 10)))
+    coded = propagate.recurrent_states(lines, B, WINDOW, 2, layers, kind)
     states = [F.round(F.element_at("state", j + 1), 5).alias(f"h{j}") for j in range(RNN)]
     return whole(coded.select(*BATCH_KEYS, "node", "target", *states), "file_id", "target")
 
 
-@query("recurrent_encode_lstm", None)
+@query("recurrent_encode", _recurrent_sql(_H, _GRU_STEP))
+def recurrent_encode(spark, sf_dir):
+    """One gated recurrent layer over every node's window of 30 bins."""
+    return _states(spark, sf_dir, [_GRU], "gru")
+
+
+@query("recurrent_encode_lstm", _recurrent_sql([*_H, *_xs(RNN, "u"), *_xs(RNN, "c1_"), *_xs(RNN, "c2_")], _lstm_step()))
 def recurrent_encode_lstm(spark, sf_dir):
     """Two stacked long short-term memory layers over the same windows."""
-    coded = propagate.recurrent_encode(_scaled_sequences(spark, sf_dir), "seq", WINDOW, 2, example_recurrent(2, RNN, 4, 2), "lstm")
-    states = [F.round(F.element_at("state", j + 1), 5).alias(f"h{j}") for j in range(RNN)]
-    return whole(coded.select(*BATCH_KEYS, "node", "target", *states), "file_id", "target")
+    return _states(spark, sf_dir, _LSTM, "lstm")
 
 
 EMB = 64

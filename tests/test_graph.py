@@ -99,7 +99,7 @@ def test_sequences(spark):
     assert out == {2: [0.0, 5.0], 3: [5.0, 0.0], 4: [0.0, 6.0]}
     assert sequence.sliding_sequences(lines, 5, 2, drop_last=1).count() == 2
     assert sequence.sliding_sequences(lines, 5, 5).count() == 0
-    last = {r["target"]: r["x"] for r in sequence.last_values(sequence.sliding_sequences(lines, 5, 2)).collect()}
+    last = {r["target"]: r["x"] for r in sequence.last_values(lines, 5, 2).collect()}
     assert last == {2: [5.0], 3: [0.0], 4: [6.0]}
 
 
