@@ -65,22 +65,37 @@ def node_features(spark, sf_dir):
     return whole(out, "file_id", "bin", *graph.HOST_FLAGS)
 
 
+#: What each edge attribute is divided by, so that all are of the order of one.
+SCALE = {
+    "status_code": 2.0, "src_port": 2000.0, "dest_port": 2000.0, "orig_bytes": 1e5, "orig_pkts": 50.0, "resp_bytes": 1e5, "resp_pkts": 50.0,
+    "missed_bytes": 1.0, "local_orig": 1.0, "local_resp": 1.0, "duration": 1e4, "proto_code": 5.0, "service_code": 20.0, "conn_state_code": 10.0,
+}
+
+
+def scaled_columns(names: list[str]) -> dict:
+    """The attributes as doubles, missing ones 0, on their scale."""
+    return {n: c / F.lit(SCALE[n]) for n, c in zip(names, graph.feature_columns(names))}
+
+
+def scaled_sql(names: list[str]) -> dict[str, str]:
+    return {n: f"coalesce(CAST({'CAST(' + n + ' AS INT)' if n.startswith('local_') else n} AS DOUBLE), 0) / CAST({SCALE[n]} AS DOUBLE)" for n in names}
+
+
 _DEDUP = {"add": "sum", "mean": "avg", "min": "min", "max": "max", "mul": "product"}
-_ATTRS = ["orig_pkts", "resp_pkts", "duration"]
+_ATTRS = graph.CONN_FEATURES
 
 
 def _attr_edges(spark, sf_dir):
-    edges = inputs.edges(spark, sf_dir)
-    return edges.withColumns({a: F.coalesce(F.col(a).cast("double"), F.lit(0.0)) for a in _ATTRS})
+    return inputs.edges(spark, sf_dir).withColumns(scaled_columns(_ATTRS))
 
 
 def _register_dedup(mode: str, sql_name: str) -> None:
-    merged = ", ".join(f"round({sql_name}(coalesce(CAST({a} AS DOUBLE), 0)), 4) AS {a}" for a in _ATTRS)
+    merged = ", ".join(f"round({sql_name}({v}), 11) AS {a}" for a, v in scaled_sql(_ATTRS).items())
 
     @query(f"dedup_edges_{mode}", f"SELECT {_KEYS_SQL}, src, dst, count(*) AS copies, {merged} FROM edges GROUP BY ALL")
     def dedup(spark, sf_dir):
         out = graph.dedup_edges(_attr_edges(spark, sf_dir), KEYS, _ATTRS, mode)
-        return whole(out.withColumns({a: F.round(a, 4) for a in _ATTRS}), "file_id", "bin")
+        return whole(out.withColumns({a: F.round(a, 11) for a in _ATTRS}), "file_id", "bin")
 
 
 for _mode, _sql in _DEDUP.items():
@@ -103,16 +118,31 @@ def remove_self_loops(spark, sf_dir):
     return whole(out, "file_id", "bin")
 
 
-@query("auth_graph_chain", """
+_AUTH_MERGED = ", ".join(f"max(coalesce(CAST({a} AS DOUBLE), 0)) AS {a}" for a in graph.AUTH_FEATURES)
+part("auth_cleaned", f"SELECT batch, bin, src, dst, count(*) AS copies, max(y) AS y, CAST(max(time) AS BIGINT) AS time, {_AUTH_MERGED} FROM auth_edges_t WHERE src <> dst GROUP BY ALL")
+part("auth_degrees", """
 SELECT batch, bin, node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (
-  SELECT batch, bin, src AS node, 0 AS i, 1 AS o FROM (SELECT DISTINCT batch, bin, src, dst FROM auth_edges_t WHERE src <> dst)
-  UNION ALL SELECT batch, bin, dst, 1, 0 FROM (SELECT DISTINCT batch, bin, src, dst FROM auth_edges_t WHERE src <> dst)) GROUP BY ALL
+  SELECT batch, bin, src AS node, 0 AS i, 1 AS o FROM auth_cleaned UNION ALL SELECT batch, bin, dst, 1, 0 FROM auth_cleaned) GROUP BY ALL
 """)
+
+
+def _auth_cleaned(spark, sf_dir):
+    """Duplicates merged, with all attributes, the label and the last time; then no self loops."""
+    attrs = dict(zip(graph.AUTH_FEATURES, graph.feature_columns(graph.AUTH_FEATURES)))
+    edges = inputs.auth_edges(spark, sf_dir).withColumns(attrs)
+    return graph.remove_self_loops(graph.dedup_edges(edges, AUTH_KEYS, ["y", "time", *graph.AUTH_FEATURES], "max"))
+
+
+@query("auth_graph_chain", "SELECT * FROM auth_degrees")
 def auth_graph_chain(spark, sf_dir):
     """The authentication graph's clean-up in order: duplicates, self loops, degrees."""
-    edges = inputs.auth_edges(spark, sf_dir)
-    cleaned = edges.transform(lambda e: graph.dedup_edges(e, AUTH_KEYS, ["y"], "max")).transform(graph.remove_self_loops)
-    return whole(graph.node_degrees(cleaned, AUTH_KEYS), "bin")
+    return whole(graph.node_degrees(_auth_cleaned(spark, sf_dir), AUTH_KEYS), "bin")
+
+
+@query("auth_graph_edges", "SELECT * FROM auth_cleaned")
+def auth_graph_edges(spark, sf_dir):
+    """The edges that the chain leaves, with their attributes."""
+    return whole(_auth_cleaned(spark, sf_dir), "bin", "y", "time")
 
 
 part("typed", f"""

@@ -9,7 +9,7 @@ from chronomesh.functions.linear import weight_matrix, weight_vector
 from chronomesh.operators import dims, graph, propagate, score, sequence, timebin
 from chronomesh.operators.split import with_stage
 from chronomesh.plans import inputs
-from chronomesh.plans.graphs import timelines
+from chronomesh.plans.graphs import SCALE, scaled_columns, scaled_sql, timelines
 from chronomesh.plans.inputs import BATCH_KEYS, KEYS, shared, whole
 from chronomesh.plans.registry import part, query
 from chronomesh.sources import views
@@ -23,7 +23,7 @@ GCN_LAYERS = [
     (weight_matrix(HIDDEN, HIDDEN, 3), weight_vector(HIDDEN, 4)),
     (weight_matrix(HIDDEN, HIDDEN, 5), weight_vector(HIDDEN, 6)),
 ]
-EDGE_ATTRS = ["duration", "orig_pkts", "resp_pkts"]
+EDGE_ATTRS = graph.CONN_FEATURES
 ATTENTION = propagate.AttentionWeights(
     source=weight_matrix(HIDDEN, WIDTH, 7), source_bias=weight_vector(HIDDEN, 8),
     target=weight_matrix(HIDDEN, WIDTH, 9), target_bias=weight_vector(HIDDEN, 10),
@@ -31,11 +31,11 @@ ATTENTION = propagate.AttentionWeights(
 )
 
 
-def node_inputs(spark, sf_dir):
-    """Edges (staged) and node vectors x0..x7 of every graph."""
+def node_inputs(spark, sf_dir, attrs=()):
+    """Edges (staged, with the given attributes) and node vectors x0..x7 of every graph."""
     hosts = inputs.hosts(spark, sf_dir)
-    scaled = {a: F.coalesce(F.col(a).cast("double"), F.lit(0.0)) / 100 for a in EDGE_ATTRS}
-    edges = shared(inputs.edges(spark, sf_dir, hosts).withColumns(scaled).select(*KEYS, "src", "dst", *EDGE_ATTRS), "edges")
+    columns = [c.alias(a) for a, c in scaled_columns(list(attrs)).items()]
+    edges = shared(inputs.edges(spark, sf_dir, hosts).select(*KEYS, "src", "dst", *columns), "edges")
     nodes = graph.node_features(graph.node_degrees(edges, KEYS), dims.enrich_hosts(hosts), KEYS)
     vector = nodes.select(*KEYS, "node", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(NODE_X)])
     return edges, vector
@@ -113,7 +113,7 @@ def gcn_propagate(spark, sf_dir):
 
 
 part("att_edges", "SELECT file_id, batch, bin, src, dst, " + ", ".join(
-    f"coalesce(CAST({a} AS DOUBLE), 0) / 100 AS {a}" for a in EDGE_ATTRS) + " FROM edges")
+    f"{v} AS {a}" for a, v in scaled_sql(EDGE_ATTRS).items()) + " FROM edges")
 part("att_looped", f"""
 SELECT * FROM att_edges WHERE src <> dst
 UNION ALL SELECT n.file_id, n.batch, n.bin, n.node, n.node, {', '.join(f'coalesce(avg({a}), 0)' for a in EDGE_ATTRS)}
@@ -140,27 +140,28 @@ part("att_out", "SELECT file_id, batch, bin, node, " + ", ".join(f"{v} AS x{i}"
 
 @query("attention_aggregate", _out_sql("att_out", HIDDEN))
 def attention_aggregate(spark, sf_dir):
-    edges, nodes = node_inputs(spark, sf_dir)
+    edges, nodes = node_inputs(spark, sf_dir, EDGE_ATTRS)
     return _rounded(propagate.attention_layer(nodes, edges, KEYS, WIDTH, EDGE_ATTRS, ATTENTION), HIDDEN)
 
 
 _TX, _TE, _TA = 6, 2, 3
-TYPED_ATTRS = ["a0", "a1", "a2"]
+TYPED_ATTRS = [f"a{i}" for i in range(len(graph.HETERO_FEATURES))]
 TYPED = propagate.TypedWeights(
     node=[weight_matrix(HIDDEN, _TX, 21), weight_matrix(HIDDEN, _TX, 22)],
     node_bias=[weight_vector(HIDDEN, 23), weight_vector(HIDDEN, 24)],
     edge_type=weight_matrix(3, _TE, 25), attr=weight_matrix(_TA, len(TYPED_ATTRS), 26),
     score=weight_vector(2 * HIDDEN + _TE + _TA, 27), out=weight_matrix(HIDDEN, HIDDEN + _TA, 28), out_bias=weight_vector(HIDDEN, 29),
 )
-#: Which hetero attributes the typed layer reads, scaled: status, packets out, packets in.
-_TYPED_SOURCE = {"a0": ("status_code", 1.0), "a1": ("orig_pkts", 50.0), "a2": ("resp_pkts", 50.0)}
+#: The hetero attributes and their scale.
+_TYPED_SOURCE = {a: (c, SCALE[c]) for a, c in zip(TYPED_ATTRS, graph.HETERO_FEATURES)}
+_NO_ATTRS = ", ".join(f"0.0::DOUBLE AS {a}" for a in TYPED_ATTRS)
 
 
 part("typed_flat", "".join([
-    "SELECT file_id, batch, bin, src, ssv + n AS dst, 0 AS kind, 0.0::DOUBLE AS a0, 0.0::DOUBLE AS a1, 0.0::DOUBLE AS a2 FROM typed, host_total",
+    "SELECT file_id, batch, bin, src, ssv + n AS dst, 0 AS kind, ", _NO_ATTRS, " FROM typed, host_total",
     " UNION ALL SELECT file_id, batch, bin, ssv + n, dsv + n, 1, ",
     ", ".join(f"a{graph.HETERO_FEATURES.index(c)} / {by}::DOUBLE" for c, by in _TYPED_SOURCE.values()), " FROM typed, host_total",
-    " UNION ALL SELECT file_id, batch, bin, dsv + n, dst, 2, 0, 0, 0 FROM typed, host_total",
+    " UNION ALL SELECT file_id, batch, bin, dsv + n, dst, 2, ", _NO_ATTRS, " FROM typed, host_total",
 ]))
 part("host_total", "SELECT count(*) AS n FROM hosts")
 part("typed_known", f"""
