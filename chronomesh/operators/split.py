@@ -51,23 +51,36 @@ def stage_events(events: DataFrame, split: DataFrame, keys: list[str], code: int
     return events.join(stage(split.filter(F.col("stage") == code), "split"), keys)
 
 
+def shuffle_orders(df: DataFrame, seed: int = 42, key: str = "conn_id") -> DataFrame:
+    """``df`` with its rank in two md5 orders, ``_take`` and ``_give``; written once, as every shuffle of it reads both.
+
+    Both orders come from a unique key and depend on no bin width, so several widths share them.
+    """
+    keyed = stage(df, "shuffle-rows")
+    taken = stage(hash_rank(keyed, seeded(seed, key), "_take"), "shuffle-taken")
+    return stage(hash_rank(taken, seeded(seed + 1, key), "_give"), "shuffle-orders")
+
+
+def swap_bins(ordered: DataFrame, width: float, ts: str = "ts") -> DataFrame:
+    """The row at rank i of one order takes the bin of the row at rank i of the other and keeps its offset inside its bin."""
+    own = floor_div(F.col(ts), width)
+    givers = ordered.select(F.col("_give").alias("_take"), own.alias("_new"))
+    moved = F.col(ts) - own * F.lit(width) + F.col("_new") * F.lit(width)
+    return ordered.join(givers, "_take").withColumn(ts, moved).drop("_take", "_give", "_new")
+
+
 def random_time_shuffle(df: DataFrame, width: float, seed: int = 42, key: str = "conn_id", ts: str = "ts") -> DataFrame:
     """Permute the time bins across rows; each row keeps its offset inside its bin.
 
-    Row at rank i of one md5 order takes the bin of the row at rank i of another. Both
-    orders come from a unique key, so no bin, however full, lands in one task.
+    No bin, however full, lands in one task.
     """
-    binned = df.withColumn("_bin", floor_div(F.col(ts), width))
-    taker = hash_rank(binned, seeded(seed, key), "_rank")
-    giver = hash_rank(binned.select(key, F.col("_bin").alias("_new")), seeded(seed + 1, key), "_rank").drop(key)
-    offset = F.col(ts) - F.col("_bin") * F.lit(width)
-    return taker.join(giver, "_rank").withColumn(ts, offset + F.col("_new") * F.lit(width)).drop("_rank", "_bin", "_new")
+    return swap_bins(shuffle_orders(df, seed, key), width, ts)
 
 
 def bin_permutation_shuffle(df: DataFrame, width: float, seed: int = 42, ts: str = "ts") -> DataFrame:
     """Move whole bins: every row of a bin gets the same new bin."""
     binned = df.withColumn("_bin", floor_div(F.col(ts), width))
-    bins = binned.select("_bin").distinct()
+    bins = stage(binned.select("_bin").distinct(), "bins")
     taker = hash_rank(bins, seeded(seed, "_bin"), "_rank")
     giver = hash_rank(bins.select(F.col("_bin").alias("_new")), seeded(seed + 1, "_new"), "_rank")
     mapping = stage(taker.join(giver, "_rank").select("_bin", "_new"), "bin-permutation")

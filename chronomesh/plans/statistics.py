@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronomesh.operators import label, stats, timebin
 from chronomesh.plans import inputs
-from chronomesh.plans.inputs import BATCH_KEYS, KEYS, whole
+from chronomesh.plans.inputs import BATCH_KEYS, KEYS, shared, whole
 from chronomesh.plans.registry import part, query
 from chronomesh.sources import schemas, views
 
@@ -141,7 +141,9 @@ _KEYS_SQL = "CAST(file_id AS BIGINT) AS file_id, batch, bin"
 
 
 def _novelty(spark, sf_dir):
-    return stats.novelty(inputs.conn_binned(spark, sf_dir), BATCH_KEYS, B, NOVEL_COLUMNS, NOVEL_PAIRS)
+    ends = [c for pair in NOVEL_PAIRS.values() for end in pair for c in end]
+    columns = list(dict.fromkeys([*KEYS, *NOVEL_COLUMNS, *ends]))
+    return stats.novelty(shared(inputs.conn_binned(spark, sf_dir).select(*columns), "binned"), BATCH_KEYS, B, NOVEL_COLUMNS, NOVEL_PAIRS)
 
 
 @query("novelty_per_bin", f"SELECT {_KEYS_SQL}, " + ", ".join(f"new_{f}" for f in NOVEL_FIELDS) + " FROM novel")
@@ -176,7 +178,7 @@ SELECT {_KEYS_SQL}, CAST(sum(new_hosts) OVER w AS BIGINT) AS seen_hosts, CAST(su
 FROM novel WINDOW w AS (ORDER BY file_id, batch, bin)
 """)
 def novelty_cumulative(spark, sf_dir):
-    novel = stats.novelty(inputs.conn_binned(spark, sf_dir), BATCH_KEYS, B, [], NOVEL_PAIRS)
+    novel = stats.novelty(_ends(spark, sf_dir), BATCH_KEYS, B, [], NOVEL_PAIRS)
     return whole(stats.novelty_cumulative(novel, KEYS, _CURVE).select(*KEYS, "seen_hosts", "seen_services"), "file_id", "bin")
 
 
@@ -187,8 +189,13 @@ FROM novel JOIN conn_split USING (file_id, batch) WINDOW w AS (ORDER BY stage, f
 """)
 
 
+def _ends(spark, sf_dir):
+    """The binned events with what novelty curves read of them, expanded and written once."""
+    return shared(inputs.conn_binned(spark, sf_dir).select(*KEYS, "src_ip", "src_port", "dest_ip", "dest_port"), "binned-ends")
+
+
 def _curve(spark, sf_dir):
-    events = inputs.conn_binned(spark, sf_dir)
+    events = _ends(spark, sf_dir)
     novel = stats.novelty(events, BATCH_KEYS, B, [], NOVEL_PAIRS).join(inputs.conn_split(events), BATCH_KEYS)
     return stats.novelty_by_stage(novel, KEYS, _CURVE)
 
@@ -214,7 +221,7 @@ FROM novel
 """)
 def dataset_stats(spark, sf_dir):
     """True totals, and next to them the largest number of new values in one bin."""
-    events = inputs.conn_binned(spark, sf_dir)
+    events = _ends(spark, sf_dir)
     counts = events.groupBy(*KEYS).agg(F.count("*").alias("_n"))
     novel = stats.novelty(events, BATCH_KEYS, B, [], NOVEL_PAIRS).join(counts, KEYS, "left")
     return novel.agg(
@@ -280,7 +287,8 @@ def running_mean_metric(spark, sf_dir):
     per_batch = events.groupBy(*BATCH_KEYS).agg(
         F.count_if(label.is_malicious()).alias("_bad"), F.count("*").alias("_all")
     )
-    steps = per_batch.join(inputs.conn_split(events), BATCH_KEYS).groupBy("stage", "batch").agg(
+    per_batch = shared(per_batch, "per-batch")
+    steps = per_batch.join(inputs.conn_split(per_batch), BATCH_KEYS).groupBy("stage", "batch").agg(
         (F.sum("_bad") / F.sum("_all")).alias("share")
     )
     out = stats.running_mean(steps, ["stage"], "batch", "share")

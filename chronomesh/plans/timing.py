@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronomesh.operators import split, timebin
 from chronomesh.plans import inputs
-from chronomesh.plans.inputs import BATCH_KEYS, whole
+from chronomesh.plans.inputs import BATCH_KEYS, shared, whole
 from chronomesh.plans.parts import binned
 from chronomesh.plans.registry import part, query
 from chronomesh.sources import views
@@ -108,7 +108,7 @@ SELECT CAST(file_id AS BIGINT) AS file_id, batch, bin, conn_id, piece, CAST(stag
 FROM binned JOIN conn_split USING (file_id, batch) WHERE stage = 1
 """)
 def stage_events(spark, sf_dir):
-    events = inputs.conn_binned(spark, sf_dir)
+    events = shared(inputs.conn_binned(spark, sf_dir).select(*BATCH_KEYS, "bin", "conn_id", "piece"), "binned")
     picked = split.stage_events(events, inputs.conn_split(events), BATCH_KEYS, 1)
     return whole(picked.select("file_id", "batch", "bin", "conn_id", "piece", "stage"), "file_id", "bin", "stage")
 
@@ -136,7 +136,8 @@ GROUP BY width, label_tactic
 def random_time_shuffle_widths(spark, sf_dir):
     """Three widths side by side: how the classes spread over hourly bins afterwards."""
     rel = inputs.relative(spark, sf_dir).select("conn_id", "ts", "label_tactic")
-    variants = [split.random_time_shuffle(rel, w).withColumn("width", F.lit(w)) for w in (0.5, 5.0, 400.0)]
+    orders = split.shuffle_orders(rel)
+    variants = [split.swap_bins(orders, w).withColumn("width", F.lit(w)) for w in (0.5, 5.0, 400.0)]
     moved = variants[0].unionByName(variants[1]).unionByName(variants[2])
     return moved.groupBy("width", "label_tactic").agg(
         F.count("*").alias("events"), F.countDistinct(F.floor(F.col("ts") / W)).alias("bins"), F.round(F.sum("ts"), 3).alias("ts_sum")

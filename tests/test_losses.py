@@ -76,3 +76,24 @@ def test_range_without_any_duration(spark, tiny):
     longest = flat.agg(F.max("duration")).first()[0] or 0.0
     rel = timebin.relative_time(flat, float(views.FIRST_EVENT))
     assert timebin.expand_range(rel, 0, 1e9, 3600, longest).count() == inputs.relative(spark, tiny).count()
+
+
+@pytest.mark.parametrize("name, most", [
+    ("random_time_shuffle", 1), ("random_time_shuffle_widths", 1), ("dataset_stats", 1), ("novelty_by_stage", 1), ("running_mean_metric", 1),
+    ("stage_events", 1),
+])
+def test_the_log_is_scanned_once(spark, tiny, name, most, monkeypatch):
+    """Every plan that runs, staged steps included, is searched for scans of the event log."""
+    from pyspark.sql import DataFrame, DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def recorded(self, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    out = entry.queries()[name](spark, tiny)
+    assert isinstance(out, DataFrame)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("event_id#") > 0 and p.count("/events.parquet") for p in plans) == most
