@@ -1,7 +1,7 @@
 """Format-preserving Feistel pseudonyms for personal numbers and dates, in DataFrame operations only.
 
 One pattern finds candidates, a check per kind validates them (Luhn and issuer for cards, the
-numbering plan for phones, area, group and serial for social security numbers, octets for addresses, the
+written form for phones, area, group and serial for social security numbers, octets for addresses, the
 calendar for dates). A valid value is taken as a number in a domain of exactly ``a * b`` values, and a keyed
 Feistel network permutes that domain: halves (l, r) become (r, l + F(key, kind, round, r)), with F taken from SHA-256. The
 result is written back in the place of the digits, so separators, length and validity stay. A value has the
