@@ -11,7 +11,7 @@ holds the key can undo it (``restore``). The local part of an e-mail address is
 Everything happens inside the row: no shuffle, whatever the skew.
 
 Defined results: a null text stays null, an empty one empty; candidates that fail their check stay as they
-are; dates outside 1900 to 2099 stay; rows are treated one by one; other columns pass through
+are; dates before 1900-01-01 or after 2100-01-02 stay; rows are treated one by one; other columns pass through
 unread.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from chronomesh.llm.store import unused
 
 ROUNDS = 8
-#: Days from 1900-01-01 to 2099-12-31: 319 * 229.
+#: The days from 1900-01-01 to 2100-01-02: 319 * 229.
 FIRST_DAY, DAY_HALVES = "1900-01-01", (319, 229)
 
 # How each kind is written.
@@ -221,5 +221,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool
 
 
 def restore(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """The inverse of ``pseudonymise`` for all kinds but e-mail addresses."""
+    """The inverse of ``pseudonymise`` for all kinds but e-mail addresses.
+
+    A date that was written month first is read day first where its pseudonym allows both, and is then not undone.
+    """
     return _replace(docs, key, text_col, False, True)

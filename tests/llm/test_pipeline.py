@@ -1,5 +1,3 @@
-import hashlib
-
 import corpus_pipeline
 import public_tokenizers
 import pytest
@@ -58,7 +56,3 @@ def test_every_stage_takes_odd_rows(spark, tiny, rows):
         assert out.columns == docs.columns, name
         assert out.count() <= docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, tiny).count() == docs.count()
-
-
-def test_digest_helper():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
