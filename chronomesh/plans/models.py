@@ -11,6 +11,8 @@ from chronomesh.operators.split import with_stage
 from chronomesh.plans import inputs
 from chronomesh.plans.graphs import SCALE, scaled_columns, scaled_sql, timelines
 from chronomesh.plans.inputs import BATCH_KEYS, KEYS, shared, whole
+from chronomesh.plans.parts import binned
+from chronomesh.plans.parts import split as split_sql
 from chronomesh.plans.registry import part, query
 from chronomesh.sources import views
 
@@ -411,3 +413,16 @@ def edge_classifier_predictions(spark, sf_dir):
     model = score.fit_edge_classifier(data.filter("stage = 0"), data.filter("stage = 1"))
     out = model.transform(data.filter("stage = 2"))
     return whole(out.select(*KEYS, "conn_id", "piece", "y", F.col("prediction").cast("bigint").alias("prediction")), "file_id", "bin", "y")
+
+
+part("eights", binned("expanded", "ts", views.CONN_BIN, 8))
+part("eights_split", split_sql("eights", "file_id"))
+
+
+@query("edge_classifier_scored_once", f"""
+SELECT {_KEYS_SQL}, count(*) AS scored, count(DISTINCT (conn_id, piece)) AS edges FROM eights JOIN eights_split USING (file_id, batch) WHERE stage = 2 GROUP BY ALL
+""")
+def edge_classifier_scored_once(spark, sf_dir):
+    """Every edge of the test batches has one prediction."""
+    out = edge_classifier_predictions(spark, sf_dir)
+    return out.groupBy(*KEYS).agg(F.count("prediction").alias("scored"), F.countDistinct("conn_id", "piece").alias("edges"))
