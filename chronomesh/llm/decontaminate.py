@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-A test item's words (lower-cased, punctuation aside) give windows of ``seed_words`` words. All
-documents are counted for how often each of these windows occurs, and of every ``spread``
-consecutive windows of an item the rarest is a seed. So each run of
-``seed_words + spread - 1`` unchanged words holds a seed, however common the item has become. A seed that a
-document shares makes a candidate; the item is aligned to the words around it (match 2,
-mismatch -1, gap -1), and the pair is a leak if the score reaches ``min_share`` of the score of an
-exact copy.
+A test item's words (lower-cased, punctuation aside) give windows of ``seed_words`` words, and
+every window is a seed, so each run of ``seed_words`` unchanged words holds one, however common
+it is in the corpus. A seed that a document shares makes a candidate; the item is aligned to the
+words around it (match 2, mismatch -1, gap -1), and the pair is a leak if the score reaches
+``min_share`` of the score of an exact copy. A candidate whose matches alone, were they all in
+order, would stay below that score is not aligned: it cannot reach it.
 
 The benchmark is the stated query set. It is taken in blocks of at most ``block_bytes`` of text
 (or one item, if longer), each broadcast and held against all documents.
@@ -23,17 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from chronomesh.llm import kernels
 
-SEED_WORDS, SPREAD, MIN_SHARE = 3, 3, 0.5
+SEED_WORDS, MIN_SHARE = 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 22
+#: Seed hits, once for each item that has the seed, that are laid out at a time, or those of one text.
+_ENTRIES = 1 << 20
 
 
 class Seeds:
@@ -55,9 +55,6 @@ class Seeds:
         self.item = np.concatenate(items) if items else np.empty(0, np.int64)
         self.at = np.concatenate(at) if at else np.empty(0, np.int64)
         self.sizes = sorted({min(seed_words, int(n)) for n in self.size if n})
-        self._index()
-
-    def _index(self) -> None:
         order = np.argsort(self.key, kind="stable")
         self.key, self.item, self.at = self.key[order], self.item[order], self.at[order]
         self.distinct, self.begin = np.unique(self.key, return_index=True)
@@ -65,19 +62,6 @@ class Seeds:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.distinct & np.uint64((1 << _FILTER_BITS) - 1)] = True
 
-    def keep_rarest(self, counts: dict[int, int], spread: int) -> None:
-        n = np.fromiter((counts.get(int(k), 0) for k in self.key.view(np.int64)), np.int64, len(self.key))
-        order = np.lexsort((self.at, self.item))
-        chosen, first = set(), 0
-        items, at, n = self.item[order], self.at[order], n[order]
-        for last in np.append(np.flatnonzero(items[1:] != items[:-1]) + 1, len(items)).tolist() if len(items) else []:
-            for lo in range(first, max(first + 1, last - spread + 1)):
-                chosen.add(lo + int(np.argmin(n[lo:min(lo + spread, last)])))
-            first = last
-        chosen = order[sorted(chosen)]
-        self.key, self.item, self.at = self.key[chosen], self.item[chosen], self.at[chosen]
-        self._index()
-
     def hits(self, words: kernels.Words) -> tuple[np.ndarray, np.ndarray]:
         """(word position, index into ``distinct``) of every window of the texts that is a seed."""
         where, which = [], []
@@ -113,8 +97,21 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 def _regions(words: kernels.Words, seeds: Seeds) -> Iterator[tuple[int, int, int, int]]:
     """(text, item, from, to): stretches of words to align an item with."""
     where, which = seeds.hits(words)
-    if not len(where):
-        return
+    order = np.argsort(words.doc[where], kind="stable")
+    where, which = where[order], which[order]
+    owner = words.doc[where]
+    ends = np.append(np.flatnonzero(owner[1:] != owner[:-1]) + 1, len(owner))  # of each text's hits
+    total = np.cumsum(np.diff(seeds.begin)[which])
+    lo = 0
+    while lo < len(where):
+        most = _ENTRIES + (total[lo - 1] if lo else 0)
+        text = max(int(np.searchsorted(total[ends - 1], most, "right")) - 1, int(np.searchsorted(ends, lo, "right")))
+        hi = int(ends[text])
+        yield from _regions_of(words, seeds, where[lo:hi], which[lo:hi])
+        lo = hi
+
+
+def _regions_of(words: kernels.Words, seeds: Seeds, where: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     fan = np.diff(seeds.begin)[which]
     entry = np.repeat(seeds.begin[which], fan) + np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
     item, start = seeds.item[entry], np.repeat(where, fan) - seeds.at[entry]
@@ -139,6 +136,8 @@ def leaks(texts: list[bytes], seeds: Seeds, min_share: float) -> list[tuple[int,
     for d, i, lo, hi in _regions(words, seeds):
         item, part = seeds.words[i], words.hash[lo:hi]
         full = MATCH * len(item)
+        if MATCH * int(np.isin(item, part).sum()) < min_share * full:
+            continue
         score, end = align(item, part)
         if score >= min_share * full and score > best.get((d, i), (0, 0, 0))[2]:
             _, back = align(item[::-1], part[:end][::-1])
@@ -158,31 +157,9 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield [r["item_id"] for r in rows], [(r["text"] or "").encode() for r in rows]
 
 
-def _seeds_of(docs: DataFrame, text_col: str, texts: list[bytes], seed_words: int, spread: int) -> Broadcast:
-    """Seeds of a block of items; the rarity of its windows is counted over all documents."""
-    context = docs.sparkSession.sparkContext
-    every = Seeds(texts, seed_words)
-    shared = context.broadcast(every)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shared.value
-        total = np.zeros(len(seeds.distinct), np.int64)
-        for batch in batches:
-            of = kernels.texts_of(batch.column(0))
-            for lo, hi in kernels.blocks(of):
-                which = seeds.hits(kernels.Words(of[lo:hi], lower=True, space=kernels.BREAK))[1]
-                total += np.bincount(which, minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds.distinct[found].view(np.int64)), pa.array(total[found])], ["key", "n"])
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    every.keep_rarest({r["key"]: r["n"] for r in counted.collect()}, spread)  # at most one row a window of the block
-    return context.broadcast(every)
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_id_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS,
-               spread: int = SPREAD, min_share: float = MIN_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+               min_share: float = MIN_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, share, start_word, end_word) of every leak: the best alignment of each pair."""
     pair = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_kind, item_kind = pair.schema["doc_id"].dataType, benchmark.schema[item_id_col].dataType
@@ -192,7 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     )
     out, arrow_kind = docs.sparkSession.createDataFrame([], schema), to_arrow_type(item_kind)
     for ids, texts in _blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        shared = _seeds_of(pair, "text", texts, seed_words, spread)
+        shared = docs.sparkSession.sparkContext.broadcast(Seeds(texts, seed_words))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, ids=ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -212,12 +189,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
-               item_text_col: str = "text", seed_words: int = SEED_WORDS, spread: int = SPREAD,
+               item_text_col: str = "text", seed_words: int = SEED_WORDS,
                min_share: float = MIN_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no leak of any item, with all their columns."""
     at, out = docs.columns.index(text_col), docs
     for _, texts in _blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        shared = _seeds_of(docs, text_col, texts, seed_words, spread)
+        shared = docs.sparkSession.sparkContext.broadcast(Seeds(texts, seed_words))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

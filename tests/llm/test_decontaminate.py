@@ -78,3 +78,28 @@ def test_defined_results(spark, edge, empty):
     assert decontaminate.find_leaks(empty, items).collect() == []
     assert decontaminate.find_leaks(edge, items.limit(0)).collect() == []
     assert decontaminate.drop_leaks(edge, items.limit(0)).count() == edge.count()
+
+
+@pytest.mark.parametrize("size", [15, 20, 40])
+def test_copies_with_an_edit_in_every_fifth_word_are_found(spark, size):
+    items = [prose(size) for _ in range(8)]
+    docs = []
+    for i, item in enumerate(items):
+        copy = [f"edit{at}" if at % 5 == 4 else word for at, word in enumerate(item)]
+        docs.append((i, " ".join(prose(60) + copy + prose(60))))
+    args = [spark.createDataFrame(docs, "doc_id long, text string"),
+            spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id int, text string")]
+    found = decontaminate.find_leaks(*args).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(8)}
+    for r in found:
+        assert r.score == brute_score(items[r.item_id], docs[r.doc_id][1].split())
+    assert decontaminate.drop_leaks(*args).count() == 0
+
+
+def test_regions_do_not_depend_on_how_many_hits_are_laid_out(monkeypatch):
+    item = " ".join(prose(20)).encode()
+    texts = [b"", item, b" ".join([item] * 3), " ".join(prose(50)).encode(), item + b" " + item]
+    seeds = decontaminate.Seeds([item, item, b"x " + item], 3)
+    whole = decontaminate.leaks(texts, seeds, 0.5)
+    monkeypatch.setattr(decontaminate, "_ENTRIES", 1)
+    assert decontaminate.leaks(texts, seeds, 0.5) == whole and {d for d, *_ in whole} == {1, 2, 4}
