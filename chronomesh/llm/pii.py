@@ -1,6 +1,6 @@
 """Format-preserving Feistel pseudonyms for personal numbers and dates, in DataFrame operations only.
 
-One pattern finds candidates, a check per kind validates them (Luhn and issuer for cards, the
+Patterns find candidates, a check per kind validates them (Luhn and issuer for cards, the
 written form for phones, area, group and serial for social security numbers, octets for addresses, the
 calendar for dates). A valid value is taken as a number in a domain of exactly ``a * b`` values, and a keyed
 Feistel network permutes that domain: halves (l, r) become (r, l + F(key, kind, round, r)), with F taken from SHA-256. The
@@ -8,6 +8,10 @@ result is written back in the place of the digits, so separators, length and val
 same pseudonym wherever it stands and however it is spaced, which keeps documents linked; whoever
 holds the key can undo it (``restore``). The local part of an e-mail address is no number and becomes a keyed digest.
 
+Cards are searched for in three passes, so that plain numbers next to a value do not hide it. The first finds all
+other kinds and cards written in their usual groups; the second finds cards written in any other way in what is left; the
+third finds cards in their usual groups with further digits behind them. What fails its check is open to the next pass.
+
 Everything happens inside the row: no shuffle, whatever the skew.
 
 Defined results: a null text stays null, an empty one empty; candidates that fail their check stay as they
@@ -39,7 +43,12 @@ CARD = r"(?<![\d])\d(?:[ -]?\d){12,18}(?!\d)"
 KINDS = {
     "email": EMAIL, "address": ADDRESS, "iso_date": ISO_DATE, "day_date": DAY_DATE, "social": SOCIAL, "phone": PHONE, "card": CARD,
 }
-ANY = "|".join(KINDS.values())
+#: Cards in their usual groups, with one separator or none.
+_GROUPS = [r"\d{13,19}"] + [
+    s.join(rf"\d{{{n}}}" for n in sizes) for s in " -" for sizes in ((4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, "4,5"))
+]
+CARD_IN_GROUPS = rf"(?<!\d)(?=4|5[1-5]|2[2-7]|3[04678]|6)(?:{'|'.join(_GROUPS)})(?!\d)"
+FIRST = "|".join([*(p for kind, p in KINDS.items() if kind != "card"), rf"{CARD_IN_GROUPS}(?![ -]\d)"])
 
 
 def _function(key: str, kind: str, turn: Column, half: Column, modulus: Column) -> Column:
@@ -196,14 +205,42 @@ def _treated(m: Column, key: str, inverse: bool) -> Column:
     return out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("text")))
 
 
+def _pieces(text: Column, pattern: str, treat: Callable[[Column], Column]) -> Column:
+    """``text`` as an array of (kind, text): treated matches, and what stands between them, with a null kind."""
+    between = F.transform(F.split(text, pattern, -1), lambda b: F.struct(F.lit(None).cast("string").alias("kind"), b.alias("text")))
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), treat)
+    return F.filter(F.flatten(F.zip_with(between, matches, lambda b, t: F.array(b, t))), lambda p: p["text"].isNotNull())
+
+
+def _merged(pieces: Column) -> Column:
+    """Neighbours of null kind become one piece."""
+    kind = "array<struct<kind:string,text:string>>"
+    piece = lambda text: F.array(F.struct(F.lit(None).cast("string").alias("kind"), text.alias("text")))
+    return F.aggregate(
+        pieces, F.struct(F.array().cast(kind).alias("done"), F.lit("").alias("open")),
+        lambda s, p: F.when(p["kind"].isNull(), F.struct(s["done"].alias("done"), F.concat(s["open"], p["text"]).alias("open")))
+        .otherwise(F.struct(F.concat(s["done"], piece(s["open"]), F.array(p)).alias("done"), F.lit("").alias("open"))),
+        lambda s: F.concat(s["done"], piece(s["open"])),
+    )
+
+
 def _replace(docs: DataFrame, key: str, text_col: str, counts: bool, inverse: bool) -> DataFrame:
     text, (name,) = F.col(text_col), unused(docs, "_treated")
-    matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    touched = text.rlike(ANY)
-    treated = F.when(touched, F.transform(matches, lambda m: _treated(m, key, inverse)))
-    joined = F.array_join(F.zip_with(
-        F.split(text, ANY, -1), F.col(name), lambda b, t: F.concat(b, F.coalesce(t["text"], F.lit("")))), "")
-    marked = docs.withColumn(name, treated)
+
+    def card(m: Column) -> Column:
+        valid, new = _card(m, key, inverse)
+        return F.struct(F.when(valid, F.lit("card")).alias("kind"), F.when(valid, new).otherwise(m).alias("text"))
+
+    def again(pattern: str) -> Column:
+        more = F.flatten(F.transform(_merged(F.col(name)), lambda p: F.when(
+            p["kind"].isNull() & p["text"].rlike(pattern), _pieces(p["text"], pattern, card)).otherwise(F.array(p))))
+        open_ = F.array_join(F.transform(F.col(name), lambda p: F.when(p["kind"].isNull(), p["text"]).otherwise("|")), "")
+        return F.when(text.rlike(CARD) & open_.rlike(pattern), more).otherwise(F.col(name))
+
+    touched = text.rlike(f"{FIRST}|{CARD}")
+    marked = docs.withColumn(name, F.when(touched, _pieces(text, FIRST, lambda m: _treated(m, key, inverse))))
+    marked = marked.withColumn(name, again(CARD)).withColumn(name, again(CARD_IN_GROUPS))
+    joined = F.array_join(F.transform(F.col(name), lambda p: p["text"]), "")
     columns = [
         F.when(F.col(name).isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns
     ]

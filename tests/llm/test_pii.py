@@ -70,3 +70,28 @@ def test_defined_results(spark, edge, empty):
 def test_no_python_in_the_plan(spark, edge):
     plan = pii.pseudonymise(edge, "k", counts=True)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_plain_numbers_hide_no_value(spark):
+    hidden = {  # text: kind, value
+        "order 10025 2024-01-05": ("iso_date", "2024-01-05"), "acct 123456 123-45-6789": ("social", "123-45-6789"),
+        "id 123456 772-555-0336": ("phone", "772-555-0336"), "id 12345678901234 772-555-0336": ("phone", "772-555-0336"),
+        "acct 123456 4111 1111 1111 1111": ("card", "4111 1111 1111 1111"), "4111 1111 1111 1111 123 is all": ("card", "4111 1111 1111 1111"),
+        "4111-1111-1111-1111 12": ("card", "4111-1111-1111-1111"), "41 11111111 1111 12": None, "41 111111 11 111111": ("card", "41 111111 11 111111"),
+    }
+    table = spark.createDataFrame([(t,) for t in hidden], "text string").withColumn("was", F.col("text"))
+    got = pii.pseudonymise(table, "k", counts=True).collect()
+    assert len(got) == len(hidden)
+    for r in got:
+        found = {k: r[f"n_{k}"] for k in pii.KINDS if r[f"n_{k}"]}
+        if hidden[r.was] is None:
+            assert r.text == r.was and not found
+            continue
+        kind, value = hidden[r.was]
+        before, after = r.was.split(value)
+        assert found == {kind: 1} and value not in r.text and len(r.text) == len(r.was)
+        assert r.text.startswith(before) and r.text.endswith(after), r.text
+    assert sorted(r.text for r in pii.restore(table.sparkSession.createDataFrame(got), "k").collect()) == sorted(hidden)
+    both = spark.createDataFrame([("card 4111 1111 1111 1111 2024-01-05, 772-555-0336 4111111111111111",)], "text string")
+    r = pii.pseudonymise(both, "k", counts=True).first()
+    assert (r.n_card, r.n_iso_date, r.n_phone) == (2, 1, 1)
