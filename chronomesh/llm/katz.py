@@ -9,8 +9,9 @@ of n-grams seen r times, and d the Good-Turing discount (Katz, 1987; none above
              = alpha(h) p(w)                       otherwise
     alpha(h) = (1 - sum of p(w' | h)) / (1 - sum of p(w'))     both over the followers w' with c(h,w') >= least
 
-so every p(. | h) sums to 1 over the vocabulary and the unknown class. ``least`` = 2 follows Katz's own
-advice that bigrams met once be treated as unmet; they still make n_1, and hence the discounts. Where
+so every p(. | h) sums to 1 over the vocabulary and the unknown class. ``least`` = 2, the default, follows
+Katz's own advice that bigrams met once be treated as unmet; they still make n_1, and hence the discounts. With
+``least`` = 1, as in the query, every bigram that was met has its discounted probability. Where
 nothing would be left for backing off, one more is added to the count that is divided by.
 
 The model is one table of (order, h, w, c, value), partitioned by order. For a token, the value of order
@@ -326,9 +327,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2,
-                  **scoring: int) -> DataFrame:
+                  least: int = LEAST, **scoring: int) -> DataFrame:
     """Fit on the rows outside the held-out fold, score all rows."""
-    model = fit(docs.filter(~held_out(F.col(id_col), folds, fold)), text_col)
+    model = fit(docs.filter(~held_out(F.col(id_col), folds, fold)), text_col, least=least)
     scored = score(docs, model, id_col, text_col, **scoring)
     return scored.select(
         "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "n_tokens", "n_known",

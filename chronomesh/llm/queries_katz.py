@@ -10,4 +10,4 @@ from chronomesh.llm.registry import query, table
 
 @query("op3_katz_backoff")
 def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.fit_and_score(table(spark, sf_dir, "documents"))
+    return katz.fit_and_score(table(spark, sf_dir, "documents"), least=1)

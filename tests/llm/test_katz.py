@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from chronomesh.llm import katz
+from chronomesh.llm import katz, queries_katz
 from tests.llm.conftest import SCHEMA, WORD, edge_rows, lower
 
 
@@ -76,3 +76,30 @@ def test_discounts():
     assert katz.discounts([0, 0, 0]) == [1.0, 1.0]
     d = katz.discounts([100, 40, 20, 12, 8, 5])
     assert len(d) == 5 and all(0 < x <= 1 for x in d)
+
+
+def test_query_scores_bigrams_met_once(spark, tiny):
+    docs = [(r.doc_id, tokens(r.text)) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
+    words, pairs = Counter(), Counter()
+    for d, x in docs:
+        if not held(d):
+            words.update(x)
+            pairs.update(zip(["<s>", *x], x))
+    met = lambda c: [sum(x == r for x in c.values()) for r in range(1, 7)]
+    d1, d2 = katz.discounts(met(words)), katz.discounts(met(pairs))
+    cut = lambda c, d: c * (d[c - 1] if c <= len(d) else 1)
+    n, kept = sum(words.values()), sum(cut(c, d1) for c in words.values())
+    divisor = n if n - kept > 1e-9 * n else n + 1
+    p, mass, lower = {w: cut(c, d1) / divisor for w, c in words.items()}, Counter(), Counter()
+    for (h, w), c in pairs.items():
+        mass[h] += cut(c, d2)
+        lower[h] += p[w]
+    total = {h: words["</s>" if h == "<s>" else h] for h in mass}
+    total = {h: t if t - mass[h] > 1e-9 * t else t + 1 for h, t in total.items()}
+    got = {r.doc_id: r.score for r in queries_katz.op3_katz_backoff(spark, tiny).collect()}
+    for d, x in docs:
+        score = 0.0
+        for h, w in zip(["<s>", *x], x):
+            alpha = (1 - mass[h] / total[h]) / (1 - lower[h]) if h in total else 1.0
+            score += math.log10(cut(pairs[h, w], d2) / total[h] if (h, w) in pairs else alpha * p.get(w, 1 - kept / divisor))
+        assert math.isclose(got[d], score, rel_tol=1e-6, abs_tol=1e-6), d
