@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronomesh.functions.linear import Matrix, dot, layer_norm, leaky_relu, project, relu
+from chronomesh.operators import sequence
 from chronomesh.operators.scaling import stage
 
 
@@ -141,13 +142,19 @@ def attention_layer(
 
     Node-side products are made once per node; an edge only adds them up.
     """
+    return _attend(nodes, with_mean_loops(edges, keys, attrs), keys, width, attrs, w, normalise, activate, slope)
+
+
+def _attend(
+    nodes: DataFrame, looped: DataFrame, keys: list[str], width: int, attrs: list[str], w: AttentionWeights,
+    normalise: bool, activate: bool, slope: float,
+) -> DataFrame:
     out = len(w.source)
     nodes = stage(nodes, "attention-nodes")
     x = [F.col(c) for c in vector_names("x", width)]
     left, right = vector_names("_l", out), vector_names("_r", out)
     source = _prefixed(nodes, keys, "src", project(x, w.source, w.source_bias), left)
     target = _prefixed(nodes, keys, "dst", project(x, w.target, w.target_bias), right)
-    looped = with_mean_loops(edges, keys, attrs)
     edge_part = project([F.col(a) for a in attrs], w.edge)
     mixed = [leaky_relu(F.col(a) + F.col(b) + e, slope) for a, b, e in zip(left, right, edge_part)]
     scored = stage(
@@ -161,6 +168,34 @@ def attention_layer(
     return _finish(raw, vector_names("x", out), normalise, activate)
 
 
+def attention_propagate(
+    nodes: DataFrame, edges: DataFrame, keys: list[str], width: int, attrs: list[str], layers: list[AttentionWeights], slope: float = 0.2
+) -> DataFrame:
+    """Attention rounds, each with layer norm, with ReLU between them and none after the last.
+
+    ``nodes`` lists every node that has an edge. The loops and their mean attributes are made once for all rounds.
+    """
+    looped = stage(with_mean_loops(edges, keys, attrs), "attention-looped")
+    for i, w in enumerate(layers):
+        nodes = _attend(nodes, looped, keys, width, attrs, w, True, i < len(layers) - 1, slope)
+        width = len(w.source)
+    return nodes
+
+
+def attention_idle(idle: DataFrame, width: int, layers: list[AttentionWeights]) -> DataFrame:
+    """Attention rounds of nodes without edges, one row per node, valid in every graph that they are silent in.
+
+    Such a node attends to its self loop only, with weight one whatever the score, so a round is the source's product,
+    the bias and the layer norm; the loop's attributes, the mean of none, enter the score alone.
+    """
+    for i, w in enumerate(layers):
+        values = [v + F.lit(float(b)) for v, b in zip(project([F.col(c) for c in vector_names("x", width)], w.source, w.source_bias), w.bias)]
+        width = len(w.source)
+        names = vector_names("x", width)
+        idle = _finish(idle.select("node", *[v.alias(n) for v, n in zip(values, names)]), names, True, i < len(layers) - 1)
+    return idle
+
+
 @dataclass(frozen=True)
 class TypedWeights:
     """Weights of one typed layer: a matrix per node type, an embedding per edge type,
@@ -222,12 +257,35 @@ def typed_layer(
     out = len(w.out)
     received = sums.select(*keys, "node", *[v.alias(f"_o{i}") for i, v in enumerate(mapped)])
     # nodes nothing points at receive no message and no bias
-    full = nodes.select(*keys, "node").join(received, [*keys, "node"], "left")
+    full = nodes.select(*keys, "node", "node_type").join(received, [*keys, "node"], "left")
     final = [F.coalesce(F.col(f"_o{i}"), F.lit(0.0)) for i in range(out)]
-    base = full.select(*keys, "node", *[v.alias(f"x{i}") for i, v in enumerate(final)])
+    base = full.select(*keys, "node", "node_type", *[v.alias(f"x{i}") for i, v in enumerate(final)])
     return _finish(base, vector_names("x", out), normalise, activate)
 
 
+def typed_propagate(
+    nodes: DataFrame, edges: DataFrame, keys: list[str], width: int, attrs: list[str], layers: list[TypedWeights], slope: float = 0.2
+) -> DataFrame:
+    """Typed attention rounds, each with layer norm, with ReLU between them and none after the last.
+
+    ``nodes`` lists every node that has an edge, with its ``node_type``, which stays.
+    """
+    for i, w in enumerate(layers):
+        nodes = typed_layer(nodes, edges, keys, width, attrs, w, activate=i < len(layers) - 1, slope=slope)
+        width = len(w.out)
+    return nodes
+
+
+def typed_idle(idle: DataFrame, width: int, layers: list[TypedWeights]) -> DataFrame:
+    """Typed rounds of nodes without edges, one row per node, valid in every graph that they are silent in.
+
+    No self loops here: nothing arrives, neither message nor bias, so every round leaves zeros, which the layer norm keeps.
+    """
+    if not layers:
+        return idle.select("node", *vector_names("x", width))
+    return idle.select("node", *[F.lit(0.0).alias(n) for n in vector_names("x", len(layers[-1].out))])
+
+
 @dataclass(frozen=True)
 class RecurrentLayer:
     """Input and hidden weights of one recurrent layer, gates stacked row-wise.
@@ -320,3 +378,21 @@ def recurrent_states(
     keys = [c for c in timelines.columns if c != "timeline"]
     coded = timelines.select(*keys, encode(F.flatten("timeline")).alias("_states"))
     return coded.select(*keys, F.posexplode("_states").alias("target", "state")).withColumn("target", F.col("target") + size)
+
+
+def end_states(
+    active: DataFrame, idle: DataFrame, pairs: DataFrame, batch_keys: list[str], batch_size: int, size: int, width: int,
+    layers: list[RecurrentLayer], kind: str = "gru",
+) -> tuple[DataFrame, DataFrame]:
+    """States of the nodes that ``pairs`` name, for ``score.with_pair_vectors``: (keys, bin, node, state) and (node, state).
+
+    ``active`` has the vectors of nodes with edges, graph by graph, ``idle`` those of a node without, one row per node. Only
+    timelines of named nodes go to Python; a node silent in the whole batch has the second table's state in every bin.
+    """
+    names = vector_names("x", width)
+    ends = pairs.select(*batch_keys, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    named = active.join(ends, [*batch_keys, "node"], "left_semi")
+    lines = sequence.batch_timelines(named, batch_keys, batch_size, names, idle)
+    states = recurrent_states(lines, batch_size, size, width, layers, kind).withColumnRenamed("target", "bin")
+    still = idle.select("node", F.array_repeat(F.array(*names), size).alias("seq"))
+    return states, recurrent_encode(still, "seq", size, width, layers, kind).drop("seq")

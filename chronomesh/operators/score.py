@@ -102,6 +102,17 @@ def pair_scores(
     return scored.withColumn("class_logits", logits)
 
 
+def pair_bilinear_scores(
+    pairs: DataFrame, weight: Matrix, bias: float, class_first: Matrix, class_first_bias: list[float],
+    class_second: Matrix, class_second_bias: list[float],
+) -> DataFrame:
+    """``link_logit``, bilinear, and ``class_logits``, two-layer, of rows that carry the vectors of both ends as ``zs`` and ``zd``."""
+    scored = pairs.withColumn("link_logit", array_dot(F.col("zs"), array_project(F.col("zd"), weight)) + F.lit(float(bias)))
+    inner = _relu_sum(array_project(F.concat("zs", "zd"), class_first), array_literal(class_first_bias))
+    logits = F.zip_with(array_project(inner, class_second), array_literal(class_second_bias), lambda x, y: x + y)
+    return scored.withColumn("class_logits", logits)
+
+
 def fit_edge_classifier(
     train: DataFrame, validation: DataFrame, features: str = "features", label: str = "y",
     benign_weight: float = 1.0, other_weight: float = 5.0, reg_params: tuple[float, ...] = (0.01, 0.1), max_iter: int = 10,

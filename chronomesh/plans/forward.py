@@ -92,13 +92,10 @@ def forward(spark, sf_dir):
     vectors = nodes.select(*KEYS, "node", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(NODE_X)])
     active = propagate.gcn_propagate(vectors, edges, KEYS, WIDTH, models.GCN_LAYERS)
     idle = shared(propagate.gcn_idle(_idle_x(graph.idle_features(hosts)), WIDTH, models.GCN_LAYERS), "idle")
-    lines = sequence.batch_timelines(active, BATCH_KEYS, B, _X, idle)
-    states = propagate.recurrent_states(lines, B, WINDOW, HIDDEN, [GRU]).withColumnRenamed("target", "bin")
-    still = idle.select("node", F.array_repeat(F.array(*_X), WINDOW).alias("seq"))
-    idle_states = propagate.recurrent_encode(still, "seq", WINDOW, HIDDEN, [GRU]).drop("seq")
     positives = sequence.positive_edges(edges, WINDOW)
-    pairs = graph.training_pairs(positives, graph.negative_edges(positives, hosts.count(), KEYS), KEYS)
-    placed = score.with_pair_vectors(shared(pairs, "pairs"), shared(states, "states"), shared(idle_states, "idle-states"), KEYS)
+    pairs = shared(graph.training_pairs(positives, graph.negative_edges(positives, hosts.count(), KEYS), KEYS), "pairs")
+    states, idle_states = propagate.end_states(active, idle, pairs, BATCH_KEYS, B, WINDOW, HIDDEN, [GRU])
+    placed = score.with_pair_vectors(pairs, shared(states, "states"), shared(idle_states, "idle-states"), KEYS)
     return score.pair_scores(
         placed, RNN, FIRST, FIRST_BIAS, SECOND, SECOND_BIAS, CLASS_FIRST, CLASS_FIRST_BIAS, CLASS_SECOND, CLASS_SECOND_BIAS
     )

@@ -272,11 +272,19 @@ def positive_edges(spark, sf_dir):
     return whole(out, "file_id", "bin", "y")
 
 
-part("population", "SELECT n, p, (SELECT min(c) FROM (SELECT unnest(range(p * 618033989 // 1000000000, p * 618033989 // 1000000000 + 200)) AS c) WHERE gcd(c, p) = 1) AS step FROM (SELECT count(*) AS n, count(*) * (count(*) - 1) AS p FROM hosts)")
+def population_sql(count: str) -> str:
+    """Nodes n, ordered pairs p, and the stride: the first number from the golden section of p upwards that is coprime to it."""
+    return f"""
+SELECT n, p, (SELECT min(c) FROM (SELECT unnest(range(p * 618033989 // 1000000000, p * 618033989 // 1000000000 + 200)) AS c) WHERE gcd(c, p) = 1) AS step
+FROM (SELECT n, n * (n - 1) AS p FROM ({count}))
+"""
+
+
+part("population", population_sql("SELECT count(*) AS n FROM hosts"))
 part("positives", f"SELECT file_id, batch, bin, src, dst, y FROM edges WHERE bin >= {WINDOW}")
 
 
-def _negatives_sql(minimum: int) -> str:
+def negatives_sql(minimum: int, positives: str = "positives", population: str = "population") -> str:
     return f"""
 SELECT file_id, batch, bin, draw, src, dst FROM (
   SELECT file_id, batch, bin, wanted, src, dst, row_number() OVER (PARTITION BY file_id, batch, bin ORDER BY i) AS draw FROM (
@@ -285,13 +293,13 @@ SELECT file_id, batch, bin, draw, src, dst FROM (
           FROM (SELECT *, unnest(range(wanted + pairs)) AS i FROM (
             SELECT file_id, batch, bin, n, p, step, count(DISTINCT CASE WHEN src <> dst THEN (src, dst) END) AS pairs,
                    CAST(least(greatest(count(*), {minimum}), p - count(DISTINCT CASE WHEN src <> dst THEN (src, dst) END)) AS BIGINT) AS wanted
-            FROM positives, population GROUP BY file_id, batch, bin, n, p, step))))
-  c WHERE NOT EXISTS (SELECT 1 FROM positives q WHERE q.file_id = c.file_id AND q.batch = c.batch AND q.bin = c.bin AND q.src = c.src AND q.dst = c.dst))
+            FROM {positives}, {population} GROUP BY file_id, batch, bin, n, p, step))))
+  c WHERE NOT EXISTS (SELECT 1 FROM {positives} q WHERE q.file_id = c.file_id AND q.batch = c.batch AND q.bin = c.bin AND q.src = c.src AND q.dst = c.dst))
 WHERE draw <= wanted
 """
 
 
-part("negatives", _negatives_sql(0))
+part("negatives", negatives_sql(0))
 
 
 def pairs_input(spark, sf_dir):
@@ -307,7 +315,7 @@ def negative_edges(spark, sf_dir):
     return whole(graph.negative_edges(positives, hosts, KEYS), "file_id", "bin", "draw")
 
 
-@query("negative_edges_minimum", f"SELECT {_KEYS_SQL}, draw, src, dst FROM ({_negatives_sql(20)})")
+@query("negative_edges_minimum", f"SELECT {_KEYS_SQL}, draw, src, dst FROM ({negatives_sql(20)})")
 def negative_edges_minimum(spark, sf_dir):
     """The variant that draws at least 20 per graph."""
     positives, hosts = pairs_input(spark, sf_dir)

@@ -196,6 +196,19 @@ part("typed_mapped", "SELECT n.file_id, n.batch, n.bin, n.node, " + ", ".join(
 part("typed_out", "SELECT file_id, batch, bin, node, " + ", ".join(f"{v} AS x{i}" for i, v in enumerate(_norm_sql(_xs(HIDDEN, "y")))) + " FROM typed_mapped")
 
 
+def typed_edge_inputs(flat, *further):
+    """Flattened edges with the scaled attributes as columns."""
+    position = {n: i + 1 for i, n in enumerate(graph.HETERO_FEATURES)}
+    attrs = [(F.element_at("attrs", position[c]) / F.lit(by)).alias(a) for a, (c, by) in _TYPED_SOURCE.items()]
+    return flat.select(*KEYS, "src", "dst", "edge_type_code", *further, *attrs)
+
+
+def typed_features(known):
+    """Flattened nodes with their features as columns, ports on the scale of the flags."""
+    x = [F.element_at("x", i + 1) / F.when(F.col("node_type") == 1, F.lit(2000.0 if i == 0 else 1.0)).otherwise(F.lit(1.0)) for i in range(_TX)]
+    return known.select("node", "node_type", *[c.alias(f"x{i}") for i, c in enumerate(x)])
+
+
 @query("typed_aggregate", _out_sql("typed_out", HIDDEN))
 def typed_aggregate(spark, sf_dir):
     """One typed attention layer over the flattened host-service graph."""
@@ -203,13 +216,8 @@ def typed_aggregate(spark, sf_dir):
     hosts, services = dims.host_map(conn), dims.service_map(conn)
     count = hosts.count()
     flat = graph.flatten_edges(graph.hetero_edges(inputs.hetero_input(spark, sf_dir, hosts, services), KEYS), count)
-    position = {n: i + 1 for i, n in enumerate(graph.HETERO_FEATURES)}
-    attrs = [(F.element_at("attrs", position[c]) / F.lit(by)).alias(a) for a, (c, by) in _TYPED_SOURCE.items()]
-    edges = shared(flat.select(*KEYS, "src", "dst", "edge_type_code", *attrs), "typed-edges")
-    known = graph.flatten_nodes(dims.enrich_hosts(hosts), dims.enrich_services(services), count)
-    # ports are put on the scale of the flags
-    x = [F.element_at("x", i + 1) / F.when(F.col("node_type") == 1, F.lit(2000.0 if i == 0 else 1.0)).otherwise(F.lit(1.0)) for i in range(_TX)]
-    features = known.select("node", "node_type", *[c.alias(f"x{i}") for i, c in enumerate(x)])
+    edges = shared(typed_edge_inputs(flat), "typed-edges")
+    features = typed_features(graph.flatten_nodes(dims.enrich_hosts(hosts), dims.enrich_services(services), count))
     active = edges.select(*KEYS, F.explode(F.array("src", "dst")).alias("node")).distinct()
     nodes = active.join(features, "node")
     return _rounded(propagate.typed_layer(nodes, edges, KEYS, _TX, TYPED_ATTRS, TYPED), HIDDEN)
