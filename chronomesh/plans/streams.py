@@ -45,6 +45,30 @@ def stream_novelty(spark, sf_dir):
     return jobs.novelty_from_sightings(sightings)
 
 
+part("sighted", """
+SELECT DISTINCT bin_start, field, value FROM (
+  SELECT bin_start, 'hosts' AS field, src_ip AS value FROM closed UNION ALL SELECT bin_start, 'hosts', dest_ip FROM closed
+  UNION ALL SELECT bin_start, 'service', service FROM closed UNION ALL SELECT bin_start, 'label_tactic', label_tactic FROM closed)
+WHERE value IS NOT NULL
+""")
+part("regained", "SELECT *, lag(bin_start) OVER (PARTITION BY field, value ORDER BY bin_start) AS before FROM sighted")
+EXPIRY = 6 * W
+
+
+@query("stream_novelty_stateful", "SELECT bin_start, field, count(*) AS new_values FROM regained WHERE before IS NULL GROUP BY bin_start, field")
+def stream_novelty_stateful(spark, sf_dir):
+    """One stream with the known values in its state."""
+    return _run(jobs.novelty(_stream(spark, sf_dir), W, _FIELDS), "novelty")
+
+
+@query("stream_novelty_expiring", f"""
+SELECT bin_start, field, count(*) AS new_values FROM regained WHERE before IS NULL OR bin_start - before > {EXPIRY} GROUP BY bin_start, field
+""")
+def stream_novelty_expiring(spark, sf_dir):
+    """A value unseen for six bins is new again."""
+    return _run(jobs.novelty(_stream(spark, sf_dir), W, _FIELDS, expiry=EXPIRY), "novelty-expiring")
+
+
 @query("stream_dedup_edges", "SELECT bin_start, src_ip, dest_ip, count(*) AS copies FROM closed GROUP BY ALL")
 def stream_dedup_edges(spark, sf_dir):
     return _run(jobs.dedup_edges(_stream(spark, sf_dir), W), "stream-edges")

@@ -180,3 +180,45 @@ def test_expansion_range_reaches_the_scan(spark, tiny, tmp_path):
     assert "GreaterThanOrEqual(ts,864000.0), LessThan(ts,1788000.0)" in ranged._jdf.queryExecution().executedPlan().toString()
     full = timebin.time_range(timebin.expand_duration(stored, 3600), 864000, 1728000)
     assert ranged.count() == full.count() > 0
+
+
+def _click(i, hour, user, minute=0):
+    return (i, f"2024-01-{1 + hour // 24:02d} {hour % 24:02d}:{minute:02d}:00", user, "click", 1.0, '{"k": 0}')
+
+
+def _arrive(spark, folder, rows):
+    schema = "event_id long, ts string, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(folder)
+    time.sleep(1.1)  # files are taken in the order of their time
+
+
+def test_stateful_novelty_over_late_rows_triggers_and_a_restart(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("events.parquet", "out", "state"))
+
+    def run():
+        stream = jobs.novelty(jobs.read_conn_stream(spark, folder, 1), 3600, {"hosts": ["src_ip"]}, "2 hours")
+        return {(r["bin_start"] - 1704067200) // 3600: r["new_values"] for r in jobs.run_to_table(stream, out, state).collect()}
+
+    _arrive(spark, folder, [_click(0, 0, 1), _click(1, 2, 2)])
+    _arrive(spark, folder, [_click(2, 3, 2), _click(3, 1, 2), _click(4, 1, 3)])  # 2 and 3 were in an earlier bin, still open
+    first = run()
+    _arrive(spark, folder, [_click(5, 9, 3), _click(6, 9, 4)])
+    assert run() == first | {0: 1, 1: 2}  # users 1; then 2 and 3; bin 2 has nothing new and bin 9 is open
+    _arrive(spark, folder, [_click(7, 1, 9), _click(8, 20, 9)])  # the first is long too late
+    _arrive(spark, folder, [_click(9, 30, 1)])
+    assert run() == {0: 1, 1: 2, 9: 1, 20: 1}
+
+
+@pytest.mark.parametrize("expiry", [2, 4])
+def test_values_expire_from_the_state(spark, tmp_path, expiry):
+    """Whatever the triggers, a value is new again after the same gap."""
+    hours = [0, 1, 4, 5, 10, 12, 13]
+    want = {h: 1 for i, h in enumerate(hours) if i == 0 or h - hours[i - 1] > expiry}
+    for name, cuts in (("one", [hours]), ("each", [[h] for h in hours])):
+        folder = str(tmp_path / name / "events.parquet")
+        for cut in cuts:
+            _arrive(spark, folder, [_click(h, h, 1) for h in cut])
+        _arrive(spark, folder, [_click(99, 40, 2)])
+        stream = jobs.novelty(jobs.read_conn_stream(spark, folder, 1), 3600, {"hosts": ["src_ip"]}, expiry=expiry * 3600)
+        got = jobs.run_to_table(stream, str(tmp_path / name / "out"), str(tmp_path / name / "state")).collect()
+        assert {(r["bin_start"] - 1704067200) // 3600: r["new_values"] for r in got} == want
