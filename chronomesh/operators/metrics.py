@@ -7,11 +7,11 @@ range by range, so one large group is no single task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronomesh.functions.scalar import argmax, bce_with_logits, log_sum_exp, softmax
-from chronomesh.operators.scaling import running_sums
+from chronomesh.operators.scaling import running_sums, stage
 
 
 def is_positive(score: Column, threshold: float = 0.5) -> Column:
@@ -66,6 +66,63 @@ def auroc_from_steps(steps: DataFrame, keys: list[str]) -> DataFrame:
     return steps.groupBy(*keys).agg(F.when(both > 0, area / both).alias("auroc"))
 
 
+def _null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join in which nulls meet."""
+    names = [c for c in right.columns if c not in on]
+    side = right.select(*[F.col(k).alias(f"_on_{k}") for k in on], *names)
+    return left.join(side, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on] or F.lit(True), "left").drop(*[f"_on_{k}" for k in on])
+
+
+def ranking_over_time(pred: DataFrame, keys: list[str], step: str, score: str = "score", label: str = "label") -> DataFrame:
+    """(keys, step, positives, negatives, auroc) after every step, over all rows up to it: metrics that accumulate.
+
+    Not one ranking a step. A step's area grows by what its rows add: each new row with all earlier rows of the other label,
+    counted by score. Those counts are a dominance count in two orders, by step and by score, which is found level by level: at
+    level j the steps fall into runs of 2 ** j, and every row of a right-hand run is compared with the run to its left, by
+    running totals in score order inside the pair of runs. Each pair of an earlier and a later step meets at exactly
+    one level, so the work is rows x log(steps); all levels are one table, and one pass of running totals, whose groups may be larger than a
+    task. Null when only one label has been seen. Equal scores count half.
+    """
+    cells = pred.groupBy(*keys, F.col(step).alias("_step"), F.col(score).alias("_score")).agg(
+        F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
+    order = stage(cells.select(*keys, "_step").distinct(), "ranking-steps")
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("_step")) - 1  # steps, not rows
+    order = stage(order.withColumn("_at", at), "ranking-order")
+    most = order.agg(F.max("_at")).first()[0] or 0
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_step").eqNullSafe(F.col("_k_step"))]
+    placed = cells.join(order.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_step").alias("_k_step"), "_at"), same)
+    placed = stage(placed.select(*keys, "_at", "_score", "_p", "_n"), "ranking-cells")
+    levels = list(range(max(most, 1).bit_length()))
+    # level -1: pairs inside one step, where the left-hand rows are the step's own
+    every = placed.select(*keys, "_at", "_score", "_p", "_n", F.explode(F.lit([-1, *levels])).alias("_level"))
+    left = (F.col("_level") < 0) | (F.expr("shiftright(_at, _level)").bitwiseAND(F.lit(1)) == 0)
+    right = (F.col("_level") < 0) | ~left
+    pair = F.when(F.col("_level") < 0, F.col("_at")).otherwise(F.expr("shiftright(_at, _level + 1)"))
+    sides = every.select(
+        *keys, "_level", pair.alias("_pair"), "_score", F.when(right, F.col("_at")).otherwise(F.lit(-1)).alias("_at"),
+        F.when(left, F.col("_p")).otherwise(0).alias("_lp"), F.when(left, F.col("_n")).otherwise(0).alias("_ln"),
+        F.when(right, F.col("_p")).otherwise(0).alias("_rp"), F.when(right, F.col("_n")).otherwise(0).alias("_rn"))
+    group = [*keys, "_level", "_pair"]
+    # the left-hand rows of one score are one row before the totals are made; so is each step's part of the right-hand ones
+    totals = sides.groupBy(*group, "_score").agg(F.sum("_lp").alias("_lp"), F.sum("_ln").alias("_ln"))
+    totals = running_sums(totals, group, ["_score"], {"_up": "_lp", "_un": "_ln"})
+    whole_left = totals.groupBy(*group).agg(F.sum("_lp").alias("_all_p"))
+    mine = sides.filter((F.col("_rp") > 0) | (F.col("_rn") > 0)).select(*group, "_score", "_at", "_rp", "_rn")
+    met = _null_safe(_null_safe(mine, totals, [*group, "_score"]), whole_left, group)
+    # a new positive beats the negatives below it; a new negative loses to the positives above it
+    beats = F.col("_rp") * (F.col("_un") - F.col("_ln") / 2)
+    loses = F.when(F.col("_level") < 0, F.lit(0.0)).otherwise(F.col("_rn") * (F.col("_all_p") - F.col("_up") + F.col("_lp") / 2))
+    gained = met.groupBy(*keys, "_at").agg(F.sum(beats + loses).alias("_area"))
+    counts = placed.groupBy(*keys, "_at").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_step = _null_safe(_null_safe(order, counts, [*keys, "_at"]), gained, [*keys, "_at"])
+    positives, negatives = F.sum("_p").over(upto), F.sum("_n").over(upto)
+    both = positives.cast("double") * negatives.cast("double")
+    return per_step.select(
+        *keys, F.col("_step").alias(step), positives.alias("positives"), negatives.alias("negatives"),
+        F.when(both > 0, F.sum(F.coalesce("_area", F.lit(0.0))).over(upto) / both).alias("auroc"))
+
+
 def average_precision_from_steps(steps: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of precision times recall step; null when a group has no positive."""
     gain = F.sum(F.col("p") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
@@ -157,7 +214,8 @@ def malicious_only_metrics(pred: DataFrame, keys: list[str], label: str = "label
     hard = multiclass_metrics(bad, keys, label)
     soft = macro(multiclass_ranking(bad, keys, logits, label), keys)
     names = ["accuracy_micro", "f1_micro", "accuracy_macro", "f1_macro", "auroc", "average_precision"]
-    return pred.select(*keys).distinct().join(hard.join(soft, keys), keys, "left").na.fill(0.0, names)
+    groups = pred.select(*keys).distinct()
+    return _null_safe(_null_safe(groups, hard, keys), soft, keys).na.fill(0.0, names)
 
 
 def bce_loss(pred: DataFrame, keys: list[str], logit: str, label: str) -> DataFrame:

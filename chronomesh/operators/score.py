@@ -6,6 +6,8 @@ the join; what is left per edge is one dot product.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,22 +115,86 @@ def pair_bilinear_scores(
     return scored.withColumn("class_logits", logits)
 
 
+@dataclass(frozen=True)
+class EdgeClassifier:
+    """A fitted classifier. ``labels`` are those it learned; ``trials`` says how every regularisation went."""
+
+    model: object
+    labels: list[int]
+    reg: float
+    trials: list[dict]
+
+    def transform(self, edges: DataFrame) -> DataFrame:
+        """``edges`` with ``prediction``, one of the learned labels."""
+        if self.model is None:
+            return edges.withColumn("prediction", F.lit(self.labels[0]))
+        return self.model.transform(edges).withColumn("prediction", F.element_at(F.lit(self.labels), F.col("prediction").cast("int") + 1))
+
+
+def _class_weight(label: str, benign_weight: float, other_weight: float):
+    return F.when(F.col(label) == 0, F.lit(benign_weight)).otherwise(F.lit(other_weight))
+
+
+def classifier_gradient(
+    train: DataFrame, fitted: EdgeClassifier, features: str = "features", label: str = "y", benign_weight: float = 1.0, other_weight: float = 5.0
+) -> DataFrame:
+    """(label, feature, observed, expected): the weighted means that must agree where the loss is least.
+
+    ``observed`` is the weighted mean of a feature over the edges of a class, ``expected`` the same under the model's
+    probabilities plus the regularisation's part, which the solver applies to standardised features; their difference is the
+    gradient. The last feature is the intercept. Made from the data by sums that combine on the map side, whatever the solver did.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    scored = fitted.model.transform(train).select(
+        _class_weight(label, benign_weight, other_weight).alias("_w"), F.col(label).alias("_y"), vector_to_array("probability").alias("_p"),
+        F.posexplode(F.concat(vector_to_array(features), F.array(F.lit(1.0)))).alias("feature", "_x"),
+    )
+    wx = F.col("_w") * F.col("_x")
+    sums = scored.groupBy("feature").agg(
+        F.sum("_w").alias("_total"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"), F.sum(wx).alias("_sum"), F.sum(wx * F.col("_x")).alias("_squares"),
+        F.array(*[F.sum(F.when(F.col("_y") == c, wx).otherwise(0.0)) for c in fitted.labels]).alias("_o"),
+        F.array(*[F.sum(wx * F.element_at("_p", i + 1)) for i in range(len(fitted.labels))]).alias("_e"),
+    )
+    coefficients = fitted.model.coefficientMatrix.toArray()
+    penalty = F.lit([[*(float(fitted.reg) * row).tolist(), 0.0] for row in coefficients])
+    each = F.arrays_zip(F.lit(fitted.labels).alias("label"), F.col("_o"), F.col("_e"), penalty.alias("_b"))
+    variance = (F.col("_squares") - F.col("_sum") * F.col("_sum") / F.col("_total")) / (F.col("_total") - F.col("_w2") / F.col("_total"))
+    return sums.select("feature", "_total", variance.alias("_var"), F.inline(each)).select(
+        "label", "feature", (F.col("_o") / F.col("_total")).alias("observed"),
+        (F.col("_e") / F.col("_total") + F.element_at("_b", F.col("feature") + 1) * F.col("_var")).alias("expected"))
+
+
 def fit_edge_classifier(
     train: DataFrame, validation: DataFrame, features: str = "features", label: str = "y",
-    benign_weight: float = 1.0, other_weight: float = 5.0, reg_params: tuple[float, ...] = (0.01, 0.1), max_iter: int = 10,
-):
-    """Weighted multinomial classifier; the regularisation that does best on validation wins."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    benign_weight: float = 1.0, other_weight: float = 5.0, reg_params: tuple[float, ...] = (0.01, 0.1), max_iter: int = 1000, tol: float = 1e-9,
+) -> EdgeClassifier:
+    """Weighted multinomial classifier; the regularisation that does best on validation wins, the first one if there is nothing to validate on.
 
-    weighted = train.withColumn("_w", F.when(F.col(label) == 0, F.lit(benign_weight)).otherwise(F.lit(other_weight)))
-    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="logLoss", probabilityCol="probability")
-    best, best_loss = None, None
+    The solver goes on until a step gains less than ``tol``; ``trials`` has its steps, the largest entry of the gradient at its
+    result (see ``classifier_gradient``) and the validation loss. Without training edges there is nothing to learn, which raises.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    labels = sorted(r[0] for r in train.select(label).distinct().collect())  # classes
+    if not labels:
+        raise ValueError("no training edges")
+    if len(labels) == 1:
+        return EdgeClassifier(None, labels, reg_params[0], [])
+    code = F.array_position(F.lit(labels), F.col(label)) - 1
+    weighted = train.withColumns({"_w": _class_weight(label, benign_weight, other_weight), "_code": code.cast("double")})
+    tries = []
     for reg in reg_params:
         model = LogisticRegression(
-            featuresCol=features, labelCol=label, weightCol="_w", family="multinomial", regParam=reg, maxIter=max_iter
+            featuresCol=features, labelCol="_code", weightCol="_w", family="multinomial", regParam=reg, maxIter=max_iter, tol=tol
         ).fit(weighted)
-        loss = judge.evaluate(model.transform(validation))
-        if best is None or loss < best_loss:
-            best, best_loss = model, loss
-    return best
+        fitted = EdgeClassifier(model, labels, reg, [])
+        own = F.coalesce(F.try_element_at(vector_to_array("probability"), (code + 1).cast("int")), F.lit(0.0))
+        own = F.when(code < 0, 0.0).otherwise(own)
+        loss = model.transform(validation).agg(F.avg(-F.log(F.greatest(own, F.lit(1e-15))))).first()[0]
+        gap = F.max(F.abs(F.col("expected") - F.col("observed")))
+        gradient = classifier_gradient(train, fitted, features, label, benign_weight, other_weight).agg(gap).first()[0]
+        tries.append((fitted, {"reg": reg, "steps": model.summary.totalIterations, "gradient": gradient, "validation_loss": loss}))
+    best = min(tries, key=lambda t: float("inf") if t[1]["validation_loss"] is None else t[1]["validation_loss"])[0]
+    return EdgeClassifier(best.model, labels, best.reg, [t for _, t in tries])

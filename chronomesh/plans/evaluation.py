@@ -65,6 +65,19 @@ def auroc_total(spark, sf_dir):
     return _round(metrics.auroc(views.pred(spark, sf_dir), []), "auroc")
 
 
+@query("auroc_running", """
+SELECT CAST(b.batch AS BIGINT) AS batch, sum(CASE WHEN p.label = 1 THEN 1 ELSE 0 END)::BIGINT AS positives, sum(CASE WHEN p.label = 0 THEN 1 ELSE 0 END)::BIGINT AS negatives,
+       round((sum(r) FILTER (p.label = 1) - sum(CASE WHEN p.label = 1 THEN 1 ELSE 0 END) * (sum(CASE WHEN p.label = 1 THEN 1 ELSE 0 END) + 1) / 2)
+             / nullif(sum(CASE WHEN p.label = 1 THEN 1 ELSE 0 END)::DOUBLE * sum(CASE WHEN p.label = 0 THEN 1 ELSE 0 END), 0), 6) AS auroc
+FROM (SELECT b.batch, p.label, rank() OVER w + (count(*) OVER (PARTITION BY b.batch, p.score) - 1) / 2 AS r
+      FROM (SELECT DISTINCT batch FROM pred) b JOIN pred p ON p.batch <= b.batch WINDOW w AS (PARTITION BY b.batch ORDER BY p.score)) p
+JOIN (SELECT DISTINCT batch FROM pred) b USING (batch) GROUP BY b.batch
+""")
+def auroc_running(spark, sf_dir):
+    """After each batch, over all batches so far."""
+    return _round(whole(metrics.ranking_over_time(views.pred(spark, sf_dir), [], "batch"), "batch"), "auroc")
+
+
 @query("average_precision", f"SELECT {_KEY}, round({_AP}, 6) AS average_precision FROM pred_steps GROUP BY batch")
 def average_precision(spark, sf_dir):
     return _round(metrics.average_precision(views.pred(spark, sf_dir), K), "average_precision")

@@ -13,7 +13,7 @@ from chronomesh.plans.graphs import SCALE, scaled_columns, scaled_sql, timelines
 from chronomesh.plans.inputs import BATCH_KEYS, KEYS, shared, whole
 from chronomesh.plans.parts import binned
 from chronomesh.plans.parts import split as split_sql
-from chronomesh.plans.registry import part, query
+from chronomesh.plans.registry import PARTS, part, query
 from chronomesh.sources import views
 
 B, WINDOW = views.CONN_BATCH, views.WINDOW
@@ -77,10 +77,10 @@ def _xs(n, prefix="x"):
 part("node_x", "SELECT file_id, batch, bin, node, " + ", ".join(
     f"CAST(CAST({c} AS INT) AS DOUBLE) AS x{i}" for i, c in enumerate(NODE_X)
 ) + " FROM degrees JOIN flags ON node = host_id")
-def gcn_parts(prefix: str, nodes: str) -> None:
+def gcn_parts(prefix: str, nodes: str, edges: str = "edges") -> None:
     """Check SQL of the convolution over the rows of ``nodes``; the result is ``{prefix}_round3``."""
     part(f"{prefix}_full", f"""
-SELECT file_id, batch, bin, src, dst, CAST(count(*) AS DOUBLE) AS w FROM edges WHERE src <> dst GROUP BY ALL
+SELECT file_id, batch, bin, src, dst, CAST(count(*) AS DOUBLE) AS w FROM {edges} WHERE src <> dst GROUP BY ALL
 UNION ALL SELECT file_id, batch, bin, node, node, 1.0 FROM {nodes}
 """)
     part(f"{prefix}_degree", f"SELECT file_id, batch, bin, dst AS node, sum(w) AS d FROM {prefix}_full GROUP BY ALL")
@@ -395,31 +395,43 @@ def link_class_score(spark, sf_dir):
     return out.select("conn_id", "src", "dst", *[F.round(F.element_at("class_logits", i + 1), 5).alias(f"c{i}") for i in range(CLASSES)])
 
 
-@query("edge_classifier_predictions", None)
-def edge_classifier_predictions(spark, sf_dir):
-    """Fit on the training batches, choose on validation, score the test batches.
+DEGREE_SCALE = 10.0
+_ENDS = [*_xs(HIDDEN, "g"), "in", "out"]
+CLASSIFIER = [*graph.CONN_FEATURES, *[f"{side}_{n}" for side in ("src", "dst") for n in _ENDS], "intercept"]
+
+
+def classifier_inputs(spark, sf_dir):
+    """Edges with their stage and features: their own, and the degrees and convolution of both ends.
 
     Batches of eight bins, so that every weekly file has some for each stage.
     """
     from pyspark.ml.feature import VectorAssembler
 
-    hosts = inputs.hosts(spark, sf_dir)
-    coded = inputs.expanded(graph.conn_codes(dims.encode_hosts(inputs.relative(spark, sf_dir), hosts)))
+    hosts = shared(dims.enrich_hosts(inputs.hosts(spark, sf_dir)), "hosts")
+    coded = inputs.expanded(graph.conn_codes(dims.encode_hosts(inputs.relative(spark, sf_dir), hosts.select("host_id", "host"))))
     events = timebin.bin_events(coded, "ts", views.CONN_BIN, 8)
-    columns = graph.feature_columns(graph.CONN_FEATURES)
-    edges = events.select(*KEYS, "conn_id", "piece", "src", "dst", "y", *[c.alias(f"f{i}") for i, c in enumerate(columns)])
-    edges = shared(edges, "edges")
-    degrees = shared(graph.node_degrees(edges, KEYS), "degrees")
+    own = [c.alias(a) for a, c in scaled_columns(graph.CONN_FEATURES).items()]
+    edges = shared(events.select(*KEYS, "conn_id", "piece", "src", "dst", "y", *own), "edges")
+    nodes = shared(graph.node_features(graph.node_degrees(edges, KEYS), hosts, KEYS), "nodes")
+    vectors = nodes.select(*KEYS, "node", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(NODE_X)])
+    convolved = propagate.gcn_propagate(vectors, edges, KEYS, WIDTH, GCN_LAYERS)
+    degrees = [(F.col(f"{n}_degree") / F.lit(DEGREE_SCALE)).alias(n) for n in ("in", "out")]
+    ends = shared(convolved.join(nodes.select(*KEYS, "node", *degrees), [*KEYS, "node"]), "ends")
     joined = edges
     for side in ("src", "dst"):
-        own = degrees.select(*KEYS, F.col("node").alias(side), F.col("in_degree").alias(f"{side}_in"), F.col("out_degree").alias(f"{side}_out"))
-        joined = joined.join(own, [*KEYS, side])
-    names = [*[f"f{i}" for i in range(len(columns))], "src_in", "src_out", "dst_in", "dst_out"]
+        values = [F.col(f"x{i}").alias(f"{side}_g{i}") for i in range(HIDDEN)] + [F.col(n).alias(f"{side}_{n}") for n in ("in", "out")]
+        joined = joined.join(ends.select(*KEYS, F.col("node").alias(side), *values), [*KEYS, side])
     staged = with_stage(joined, inputs.conn_split(edges), BATCH_KEYS)
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(staged)
-    data = shared(data.select(*KEYS, "conn_id", "piece", "y", "stage", "features"), "features")
-    model = score.fit_edge_classifier(data.filter("stage = 0"), data.filter("stage = 1"))
-    out = model.transform(data.filter("stage = 2"))
+    data = VectorAssembler(inputCols=CLASSIFIER[:-1], outputCol="features").transform(staged)
+    return shared(data.select(*KEYS, "conn_id", "piece", "y", "stage", "features"), "features")
+
+
+@query("edge_classifier_predictions", None)
+def edge_classifier_predictions(spark, sf_dir):
+    """Fit on the training batches, choose on validation, score the test batches."""
+    data = classifier_inputs(spark, sf_dir)
+    fitted = score.fit_edge_classifier(data.filter("stage = 0"), data.filter("stage = 1"))
+    out = fitted.transform(data.filter("stage = 2"))
     return whole(out.select(*KEYS, "conn_id", "piece", "y", F.col("prediction").cast("bigint").alias("prediction")), "file_id", "bin", "y")
 
 
@@ -427,6 +439,41 @@ part("eights", binned("expanded", "ts", views.CONN_BIN, 8))
 part("eights_split", split_sql("eights", "file_id"))
 
 
+part("eight_encoded", PARTS["encoded"].replace("FROM binned", "FROM eights"))
+part("eight_edges", PARTS["edges"].replace("FROM encoded", "FROM eight_encoded"))
+part("eight_degrees", PARTS["degrees"].replace("FROM edges", "FROM eight_edges"))
+part("eight_x", PARTS["node_x"].replace("FROM degrees", "FROM eight_degrees"))
+gcn_parts("eight", "eight_x", "eight_edges")
+part("eight_ends", f"SELECT g.file_id, g.batch, g.bin, g.node, {', '.join(f'g.x{i} AS g{i}' for i in range(HIDDEN))}, "
+     + ", ".join(f'd.{n}_degree / CAST({DEGREE_SCALE} AS DOUBLE) AS "{n}"' for n in ("in", "out"))
+     + " FROM eight_round3 g JOIN eight_degrees d ON d.file_id = g.file_id AND d.batch = g.batch AND d.bin = g.bin AND d.node = g.node")
+part("eight_train", "SELECT e.y, CASE WHEN e.y = 0 THEN 1.0 ELSE 5.0 END::DOUBLE AS w, "
+     + ", ".join(f"{v} AS {a}" for a, v in scaled_sql([f"{c}" for c in graph.CONN_FEATURES]).items()) + ", "
+     + ", ".join(f'{side[0]}."{n}" AS {side}_{n}' for side in ("src", "dst") for n in _ENDS) + """, 1.0::DOUBLE AS intercept
+FROM eight_edges e JOIN eights_split p ON p.file_id = e.file_id AND p.batch = e.batch AND p.stage = 0
+JOIN eight_ends s ON s.file_id = e.file_id AND s.batch = e.batch AND s.bin = e.bin AND s.node = e.src
+JOIN eight_ends d ON d.file_id = e.file_id AND d.batch = e.batch AND d.bin = e.bin AND d.node = e.dst""")
+TOLERANCE = 1e-5
+
+
+@query("edge_classifier_optimality", " UNION ALL ".join(
+    f"SELECT y AS label, '{f}' AS feature, round(sum(w * {f}) / (SELECT sum(w) FROM eight_train), 6) AS observed, TRUE AS optimal FROM eight_train GROUP BY y"
+    for f in CLASSIFIER
+))
+def edge_classifier_optimality(spark, sf_dir):
+    """The fit is checked without a second fit: at its weights no entry of the gradient exceeds the tolerance.
+
+    The weighted class means of every feature are those of the data, and the model's agree with them.
+    """
+    data = classifier_inputs(spark, sf_dir)
+    train = data.filter("stage = 0")
+    fitted = score.fit_edge_classifier(train, data.filter("stage = 1"))
+    out = score.classifier_gradient(train, fitted)
+    return whole(out.select(
+        "label", F.element_at(F.lit(CLASSIFIER), F.col("feature") + 1).alias("feature"), F.round("observed", 6).alias("observed"),
+        (F.abs(F.col("expected") - F.col("observed")) <= TOLERANCE).alias("optimal")), "label")
+
+
 @query("edge_classifier_scored_once", f"""
 SELECT {_KEYS_SQL}, count(*) AS scored, count(DISTINCT (conn_id, piece)) AS edges FROM eights JOIN eights_split USING (file_id, batch) WHERE stage = 2 GROUP BY ALL
 """)

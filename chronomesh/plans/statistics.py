@@ -242,6 +242,28 @@ def class_time_quartiles(spark, sf_dir):
     return stats.time_quartiles(label.malicious_flag(inputs.conn_plain_binned(spark, sf_dir)), ["mal"], "bin_abs")
 
 
+part("density_counts", "SELECT mal, bin_abs::DOUBLE AS v, count(*) AS n FROM marked_bins GROUP BY ALL")
+part("density_widths", """
+SELECT mal, count(*) AS total, greatest(0.9::DOUBLE * CASE WHEN q3 > q1 THEN least(dev, (q3 - q1) / 1.34::DOUBLE) ELSE dev END * pow(count(*), -0.2::DOUBLE), 0.5::DOUBLE) AS h
+FROM marked_bins JOIN (SELECT mal, quantile_cont(bin_abs, 0.25) AS q1, quantile_cont(bin_abs, 0.75) AS q3, stddev_pop(bin_abs) AS dev FROM marked_bins GROUP BY mal) USING (mal)
+GROUP BY mal, q1, q3, dev
+""")
+part("density_points", """
+SELECT mal, v, n, total, k, exp(-pow((k - v) / h, 2) / 2) AS w FROM (
+  SELECT *, unnest(generate_series(CAST(ceil(v - 4 * h) AS BIGINT), CAST(floor(v + 4 * h) AS BIGINT))) AS k FROM density_counts JOIN density_widths USING (mal))
+""")
+
+
+@query("class_time_density", """
+SELECT mal, k::DOUBLE AS point, round(sum(n * w / given / total), 9) AS density
+FROM (SELECT *, sum(w) OVER (PARTITION BY mal, v) AS given FROM density_points) GROUP BY mal, k
+""")
+def class_time_density(spark, sf_dir):
+    """How events of both kinds spread over the bins; the densities of a kind add up to 1."""
+    marked = label.malicious_flag(inputs.conn_plain_binned(spark, sf_dir))
+    return stats.time_density(marked, ["mal"], "bin_abs").withColumn("density", F.round("density", 9))
+
+
 @query("auth_time_quartiles", """
 SELECT malicious, count(*) AS events, quantile_cont(bin_abs, 0.25) AS q1, quantile_cont(bin_abs, 0.5) AS median, quantile_cont(bin_abs, 0.75) AS q3
 FROM auth_marked GROUP BY malicious

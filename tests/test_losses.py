@@ -97,3 +97,21 @@ def test_the_log_is_scanned_once(spark, tiny, name, most, monkeypatch):
     assert isinstance(out, DataFrame)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert sum(p.count("event_id#") > 0 and p.count("/events.parquet") for p in plans) == most
+
+
+def test_density_adds_up_and_follows_the_kernel(spark):
+    from chronomesh.operators import stats
+
+    rows = [("a", float(v)) for v in [3, 3, 3, 10, 50, 51, 52, 90] * 20] + [(None, 7.0)] * 5 + [("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = stats.time_density(df, ["g"], "v", step=0.5).toPandas()
+    sums = got.groupby(got.g.fillna("null")).density.sum() * 0.5
+    assert abs(sums - 1).max() < 1e-9 and len(sums) == 2
+    import numpy as np
+    v = np.array([x for g, x in rows if g == "a" and x is not None and x == x])
+    q = np.percentile(v, [25, 75])
+    h = 0.9 * min(v.std(), (q[1] - q[0]) / 1.34) * len(v) ** -0.2
+    mine = got[got.g == "a"].set_index("point").density
+    for point in (3.0, 30.0, 51.0):
+        want = np.exp(-((point - v) / h) ** 2 / 2).mean() / (h * np.sqrt(2 * np.pi))
+        assert abs(mine[point] - want) < 2e-4

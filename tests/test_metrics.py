@@ -1,3 +1,4 @@
+import numpy as np
 import math
 
 import pytest
@@ -90,3 +91,26 @@ def test_losses(spark):
 def test_share_has_a_floor(spark, share, floor):
     df = spark.createDataFrame([(int(share), [0.0, 0.0], 0.0, 1)], "label int, logits array<double>, x double, y int")
     assert metrics.combined_losses(df, [], "logits", "label", "x", "y").first()["share"] == floor
+
+
+@pytest.mark.parametrize("steps", [1, 2, 5, 9])
+def test_running_auroc_against_one_ranking_a_step(spark, steps):
+    draw = np.random.default_rng(steps)
+    rows = [(g, int(draw.integers(steps)), float(draw.integers(6)), int(draw.integers(2))) for g in ("a", None) for _ in range(120)]
+    rows += [("one", s, 0.5, 1) for s in range(steps)]
+    df = spark.createDataFrame(rows, "g string, step int, score double, label int").repartition(5)
+    got = {(r.g, r.step): r for r in metrics.ranking_over_time(df, ["g"], "step").collect()}
+    assert len(got) == len({(r[0], r[1]) for r in rows})
+    for (g, step), r in got.items():
+        p = [x[2] for x in rows if x[0] == g and x[1] <= step and x[3] == 1]
+        n = [x[2] for x in rows if x[0] == g and x[1] <= step and x[3] == 0]
+        assert (r.positives, r.negatives) == (len(p), len(n))
+        area = sum((a > b) + (a == b) / 2 for a in p for b in n)
+        assert r.auroc == (pytest.approx(area / (len(p) * len(n))) if p and n else None)
+
+
+def test_null_groups_keep_their_malicious_metrics(spark):
+    rows = [(None, 1, [0.0, 5.0]), (None, 1, [0.0, 3.0]), ("b", 0, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "batch string, label int, logits array<double>")
+    got = {r.batch: r for r in metrics.malicious_only_metrics(df, ["batch"]).collect()}
+    assert got[None].accuracy_micro == 1.0 and got["b"].accuracy_micro == 0.0
