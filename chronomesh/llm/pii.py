@@ -32,8 +32,9 @@ ROUNDS = 8
 #: The days from 1900-01-01 to 2100-01-02: 319 * 229.
 FIRST_DAY, DAY_HALVES = "1900-01-01", (319, 229)
 
-# How each kind is written.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# How each kind is written. Groups repeat a bounded number of times (a domain has at most 127 dots), since the
+# matcher descends a level for each repetition.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d]|-\d)"
 DAY_DATE = r"(?<![\d./-])\d{1,2}[./-]\d{1,2}[./-]\d{4}(?!\d|[./-]\d)"
@@ -213,15 +214,15 @@ def _pieces(text: Column, pattern: str, treat: Callable[[Column], Column]) -> Co
 
 
 def _merged(pieces: Column) -> Column:
-    """Neighbours of null kind become one piece."""
-    kind = "array<struct<kind:string,text:string>>"
-    piece = lambda text: F.array(F.struct(F.lit(None).cast("string").alias("kind"), text.alias("text")))
-    return F.aggregate(
-        pieces, F.struct(F.array().cast(kind).alias("done"), F.lit("").alias("open")),
-        lambda s, p: F.when(p["kind"].isNull(), F.struct(s["done"].alias("done"), F.concat(s["open"], p["text"]).alias("open")))
-        .otherwise(F.struct(F.concat(s["done"], piece(s["open"]), F.array(p)).alias("done"), F.lit("").alias("open"))),
-        lambda s: F.concat(s["done"], piece(s["open"])),
-    )
+    """Neighbours of null kind become one piece: what stands before each value, and the value. ``pieces`` is a plain column."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), lambda i: F.get(pieces, i - 1)["kind"].isNotNull())
+    starts, ends = F.concat(F.array(F.lit(0)), places), F.concat(places, F.array(F.size(pieces) + 1))
+
+    def part(start: Column, end: Column) -> Column:
+        between = F.array_join(F.transform(F.slice(pieces, start + 1, end - start - 1), lambda p: p["text"]), "")
+        return F.array(F.struct(F.lit(None).cast("string").alias("kind"), between.alias("text")), F.get(pieces, end - 1))
+
+    return F.filter(F.flatten(F.zip_with(starts, ends, part)), lambda p: p.isNotNull())
 
 
 def _replace(docs: DataFrame, key: str, text_col: str, counts: bool, inverse: bool) -> DataFrame:
@@ -244,16 +245,18 @@ def _replace(docs: DataFrame, key: str, text_col: str, counts: bool, inverse: bo
     columns = [
         F.when(F.col(name).isNotNull(), joined).otherwise(text).alias(c) if c == text_col else F.col(c) for c in docs.columns
     ]
-    return marked.select(*columns, *([_count_of(name, kind) for kind in KINDS] if counts else []))
+    named = dict(zip(KINDS, unused(docs, *[f"n_{kind}" for kind in KINDS])))
+    return marked.select(*columns, *([_count_of(name, kind).alias(own) for kind, own in named.items()] if counts else []))
 
 
 def _count_of(name: str, kind: str) -> Column:
     found = F.size(F.filter(F.col(name), lambda t: t["kind"] == kind))
-    return F.when(F.col(name).isNotNull(), found).otherwise(0).cast("long").alias(f"n_{kind}")
+    return F.when(F.col(name).isNotNull(), found).otherwise(0).cast("long")
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:
-    """``docs`` with pseudonyms in the text; with ``counts``, also the number of values replaced by kind (n_email, ...)."""
+    """``docs`` with pseudonyms in the text; with ``counts``, also the number of values replaced by kind (n_email, ..., with a
+    longer name where ``docs`` has such a column)."""
     return _replace(docs, key, text_col, counts, False)
 
 
