@@ -26,6 +26,24 @@ def build_map(df: DataFrame, ends: list[list[str]], names: list[str], id_name: s
     return dense_index(distinct_ends(df, ends, names), list(names), id_name).select(id_name, *names)
 
 
+def new_entries(known: DataFrame, df: DataFrame, ends: list[list[str]], names: list[str], id_name: str) -> DataFrame:
+    """Values that ``known`` lacks, numbered after its highest id in sorted order: the rows to append to it.
+
+    Ids of known values stay, so edges stored with them stay valid when a further load arrives.
+    """
+    values = distinct_ends(df, ends, names)
+    same = [F.col(n).eqNullSafe(F.col(f"_k_{n}")) for n in names]
+    fresh = values.join(known.select(*[F.col(n).alias(f"_k_{n}") for n in names]), same, "left_anti")
+    start = known.agg(F.max(id_name)).first()[0]
+    numbered = dense_index(fresh, list(names), id_name)
+    return numbered.select((F.col(id_name) + F.lit(0 if start is None else start + 1)).alias(id_name), *names)
+
+
+def extend_map(known: DataFrame, df: DataFrame, ends: list[list[str]], names: list[str], id_name: str) -> DataFrame:
+    """``known`` and its new entries."""
+    return known.select(id_name, *names).unionByName(new_entries(known, df, ends, names, id_name))
+
+
 def host_map(conn: DataFrame) -> DataFrame:
     return build_map(conn, [["src_ip"], ["dest_ip"]], ["host"], "host_id")
 

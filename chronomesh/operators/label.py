@@ -7,28 +7,23 @@ from pyspark.sql import functions as F
 
 from chronomesh.operators.scaling import stage
 
-_KEYS = ["time", "user_name", "src_computer", "dst_computer"]
+_PLACE = ["time", "src_computer", "dst_computer"]
 
 
 def label_redteam(events: DataFrame, redteam: DataFrame, staged: bool = True) -> DataFrame:
     """Add ``malicious``: the listed user acted at that time between these computers,
     as source or as destination user. Repeated list rows cannot multiply events.
+
+    The list becomes one row per time and computers with its users, so both sides of an event are settled by one join: the log
+    is exchanged once, or not at all while the list is under the broadcast threshold.
     """
-    listed = redteam.select(*_KEYS).distinct()
+    listed = redteam.groupBy(*[F.col(k).alias(f"_{k}") for k in _PLACE]).agg(F.collect_set("user_name").alias("_users"))
     if staged:
         listed = stage(listed, "redteam")
-    out = events
-    for side in ("src", "dst"):
-        flagged = listed.select(*[F.col(k).alias(f"_{k}") for k in _KEYS], F.lit(True).alias(f"_{side}_hit"))
-        match = [
-            F.col("time") == F.col("_time"),
-            F.col(f"{side}_user") == F.col("_user_name"),
-            F.col("src_computer") == F.col("_src_computer"),
-            F.col("dst_computer") == F.col("_dst_computer"),
-        ]
-        out = out.join(flagged, match, "left").drop(*[f"_{k}" for k in _KEYS])
-    hit = F.coalesce("_src_hit", F.lit(False)) | F.coalesce("_dst_hit", F.lit(False))
-    return out.withColumn("malicious", hit).drop("_src_hit", "_dst_hit")
+    out = events.join(listed, [F.col(k) == F.col(f"_{k}") for k in _PLACE], "left")
+    acted = [F.array_contains("_users", F.col(f"{side}_user")) for side in ("src", "dst")]
+    hit = F.coalesce(acted[0], F.lit(False)) | F.coalesce(acted[1], F.lit(False))
+    return out.withColumn("malicious", hit).drop("_users", *[f"_{k}" for k in _PLACE])
 
 
 def is_malicious(label: str = "label_tactic", benign: str = "none") -> Column:

@@ -8,6 +8,7 @@ task holds is then set by the number of partitions, never by a hot key.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,15 +18,28 @@ from pyspark.sql import functions as F
 _POSITION_MASK = (1 << 33) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables of this application, below ``spark.checkpoint.dir``.
+_LOCAL: list[str] = []
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which every executor must reach.
 
-    Whoever runs the application removes the folder afterwards.
+    The setting belongs to the session's builder; a running session cannot take it. Where a local session leaves it unset, as in
+    tests, one temporary folder of this process stands in; on a cluster that raises.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach, or call session.configure")
-    return f"{configured.rstrip('/')}/chronomesh-{spark.sparkContext.applicationId}"
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir, when the session is built, to a folder every executor can reach")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="chronomesh-"))
+    return _LOCAL[0]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for intermediate tables of this application. Whoever runs the application removes it afterwards."""
+    return f"{checkpoint_folder(spark)}/chronomesh-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, tag: str) -> str:

@@ -10,7 +10,7 @@ from chronomesh.operators.graph import HOST_FLAGS
 from chronomesh.plans import inputs
 from chronomesh.plans.inputs import whole
 from chronomesh.plans.parts import code
-from chronomesh.plans.registry import query
+from chronomesh.plans.registry import part, query
 from chronomesh.sources import schemas, views
 
 
@@ -24,6 +24,42 @@ def service_map(spark, sf_dir):
     return whole(dims.service_map(views.conn(spark, sf_dir)), "port")
 
 
+_FIRST_LOAD = "(SELECT * FROM conn WHERE file_id < 1)"
+
+
+def _extended_sql(names: str, ends: list[str], id_name: str) -> str:
+    """Ids of the first load, then those of what the second one adds."""
+    both = [" UNION ".join(f"SELECT {e} FROM {source}" for e in ends) for source in (_FIRST_LOAD, "conn")]
+    return f"""
+WITH first_load AS (SELECT row_number() OVER (ORDER BY {names}) - 1 AS {id_name}, {names} FROM ({both[0]}))
+SELECT * FROM first_load UNION ALL
+SELECT row_number() OVER (ORDER BY {names}) - 1 + (SELECT count(*) FROM first_load), {names}
+FROM (SELECT {names} FROM ({both[1]}) EXCEPT SELECT {names} FROM first_load)
+"""
+
+
+def _two_loads(spark, sf_dir, build, ends, names, id_name):
+    conn = views.conn(spark, sf_dir)
+    known = inputs.shared(build(conn.filter("file_id < 1")), "known")
+    return dims.extend_map(known, conn, ends, names, id_name)
+
+
+part("hosts_extended", _extended_sql("host", ["src_ip AS host", "dest_ip"], "host_id"))
+part("services_extended", _extended_sql("host, port", ["src_ip AS host, src_port AS port", "dest_ip, dest_port"], "service_id"))
+
+
+@query("host_map_extended", "SELECT * FROM hosts_extended")
+def host_map_extended(spark, sf_dir):
+    """The second week's hosts get numbers behind those of the first, which stay."""
+    return _two_loads(spark, sf_dir, dims.host_map, [["src_ip"], ["dest_ip"]], ["host"], "host_id")
+
+
+@query("service_map_extended", "SELECT service_id, host, CAST(port AS BIGINT) AS port FROM services_extended")
+def service_map_extended(spark, sf_dir):
+    ends = [["src_ip", "src_port"], ["dest_ip", "dest_port"]]
+    return whole(_two_loads(spark, sf_dir, dims.service_map, ends, ["host", "port"], "service_id"), "port")
+
+
 @query("auth_host_map", "SELECT host_id, host FROM auth_hosts")
 def auth_host_map(spark, sf_dir):
     return dims.auth_host_map(views.auth(spark, sf_dir))

@@ -62,6 +62,14 @@ def auth_ingest_until(spark, sf_dir):
     return files.read_csv_until(spark, _auth_csv(spark, sf_dir), schemas.AUTH, 100000000)
 
 
+@query("auth_ingest_stop", f"SELECT {_AUTH_OUT} FROM auth WHERE time <= 100000000")
+def auth_ingest_stop(spark, sf_dir):
+    """The log comes in time-ordered parts; those that begin after the limit are not opened."""
+    log = views.auth(spark, sf_dir).select(*schemas.AUTH.names).repartitionByRange(16, "time").sortWithinPartitions("time")
+    path = files.write_csv(log, new_path(spark, "auth-parts"))
+    return files.read_csv_ordered_until(spark, path, schemas.AUTH, 100000000)
+
+
 @query("auth_csv_to_parquet", f"SELECT {_AUTH_OUT} FROM auth")
 def auth_csv_to_parquet(spark, sf_dir):
     dictionaries = {

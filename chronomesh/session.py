@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: Runtime settings. AQE measures shuffle sizes before it picks a join strategy, so a
@@ -24,13 +22,11 @@ RUNTIME = {
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session and return it.
 
-    Intermediate tables go to ``spark.checkpoint.dir``, which every executor must reach. Where a
-    session leaves it unset, as in tests, a temporary folder is set.
+    Intermediate tables go to ``spark.checkpoint.dir``, which every executor must reach and which the session's builder sets;
+    ``scaling.checkpoint_folder`` says what happens without.
     """
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="chronomesh-"))
     return spark
 
 

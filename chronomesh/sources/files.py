@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 from dataclasses import dataclass
@@ -97,6 +98,52 @@ def read_csv_until(spark: SparkSession, path: str, schema: T.StructType, limit,
     return read_csv(spark, path, schema).filter(F.col(ts) <= F.lit(limit))
 
 
+def _parts(spark: SparkSession, path: str) -> list:
+    """Data files below ``path`` in the order of their names, as Hadoop paths."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    return [s.getPath() for s in sorted(found, key=lambda s: s.getPath().getName()) if s.isFile() and s.getPath().getName()[0] not in "_."]
+
+
+def _first_line(spark: SparkSession, part) -> str | None:
+    """The first line of a part, unpacked by the codec its name asks for; any store that Spark reads will do."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    raw = part.getFileSystem(conf).open(part)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(part)
+        stream = raw if codec is None else codec.createInputStream(raw)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        raw.close()
+
+
+def parts_until(spark: SparkSession, path: str, schema: T.StructType, limit, ts: str = "time") -> list[str]:
+    """The parts of a time-ordered log that can hold rows up to ``limit``; it stops at the first part that begins after it.
+
+    Parts follow each other in the order of their names. Of each part one line is looked at, and of those behind the
+    first that begins after ``limit`` none.
+    """
+    kept, place = [], schema.names.index(ts)
+    for part in _parts(spark, path):
+        line = _first_line(spark, part)
+        if line and float(next(csv.reader([line]))[place]) > limit:
+            break
+        kept.append(part.toString())
+    return kept
+
+
+def read_csv_ordered_until(spark: SparkSession, path: str, schema: T.StructType, limit, ts: str = "time") -> DataFrame:
+    """CSV rows up to and including a time, from a log in time-ordered parts: later parts are not opened.
+
+    Unlike ``read_csv_until``, which reads the whole log whatever its order. The last part kept is read to its end.
+    """
+    parts = parts_until(spark, path, schema, limit, ts)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("header", False).option("mode", "FAILFAST").csv(parts).filter(F.col(ts) <= F.lit(limit))
+
+
 def csv_to_parquet(
     spark: SparkSession, csv_path: str, parquet_path: str, schema: T.StructType,
     dictionaries: dict[str, list[str]], order_by: list[str], row_group_bytes: int = 128 << 20, compression: str = "zstd",

@@ -1,9 +1,13 @@
+import gzip
+import os
+import subprocess
+import sys
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from chronomesh.operators import stats, timebin
+from chronomesh.operators import scaling, stats, timebin
 from chronomesh.operators.scaling import new_path, shared_dir
 from chronomesh.plans import inputs
 from chronomesh.sources import files, schemas, views
@@ -67,6 +71,51 @@ def test_shared_dir_follows_the_session(spark):
     assert new_path(spark, "a") != new_path(spark, "a")
 
 
+def test_folder_for_intermediates_without_the_setting(tmp_path):
+    """With an empty configuration folder nothing sets spark.checkpoint.dir: a local session works, and the builder's setting counts."""
+    script = (
+        "import sys; from pyspark.sql import SparkSession; from chronomesh.session import configure; from chronomesh.operators import scaling\n"
+        "b = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false')\n"
+        "b = b.config('spark.checkpoint.dir', sys.argv[1]) if len(sys.argv) > 1 else b\n"
+        "spark = configure(b.getOrCreate())\n"
+        "print('FOUND', scaling.stage(spark.range(3), 'x').count(), scaling.shared_dir(spark))\n"
+    )
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    for more in ([], [str(tmp_path / "own")]):
+        ran = subprocess.run([sys.executable, "-c", script, *more], env=env, capture_output=True, text=True, timeout=120)
+        assert "FOUND 3" in ran.stdout, ran.stderr[-2000:]
+        assert not more or more[0] in ran.stdout
+
+
+def test_a_cluster_must_name_the_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scaling.checkpoint_folder(Session)
+
+
+def test_later_parts_are_not_opened(spark, tmp_path):
+    log = spark.range(100).select(
+        F.expr("id div 2").alias("time"), *[F.lit(n).alias(n) for n in schemas.AUTH.names[1:]]).repartitionByRange(5, "time").sortWithinPartitions("time")
+    path = files.write_csv(log, str(tmp_path / "log"))
+    parts = sorted(p for p in os.listdir(path) if p.endswith(".gz"))
+    assert len(parts) == 5
+    firsts = [int(gzip.open(f"{path}/{p}", "rt").readline().split(",")[0]) for p in parts]
+    for part in parts[3:]:
+        (tmp_path / "log" / part).write_bytes(b"no gzip")
+        (tmp_path / "log" / f".{part}.crc").unlink(missing_ok=True)
+    limit = firsts[2] - 1
+    got = files.read_csv_ordered_until(spark, path, schemas.AUTH, limit)
+    assert sorted(r.time for r in got.collect()) == sorted(t // 2 for t in range(100) if t // 2 <= limit)
+    assert [os.path.basename(p) for p in files.parts_until(spark, path, schemas.AUTH, firsts[1])] == parts[:2]
+    assert files.read_csv_ordered_until(spark, path, schemas.AUTH, -1).collect() == []
+
+
 def test_manifest_takes_the_longest_entry_and_rejects_strangers(spark, tmp_path):
     manifest = {}
     for n, name in enumerate(("w", "w/inner", "w2", "x/w")):

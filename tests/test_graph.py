@@ -228,3 +228,13 @@ def test_pair_scores_against_matrices(spark):
         p = 1 / (1 + np.exp(-r["link_logit"]))
         h = np.maximum(cf @ np.concatenate([z[r["src"]], z[r["dst"]], [p]]) + b1, 0)
         assert np.allclose(r["class_logits"], cs @ h + cb)
+
+
+def test_ids_of_known_values_stay(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "src_ip string, dest_ip string")
+    ends, first = [["src_ip"], ["dest_ip"]], dims.host_map(frame([("b", "d"), ("d", None)]))
+    second = dims.extend_map(first, frame([("a", "d"), ("e", "b"), ("a", "c")]), ends, ["host"], "host_id")
+    assert {r.host: r.host_id for r in second.collect()} == {"b": 0, "d": 1, "a": 2, "c": 3, "e": 4}
+    assert dims.new_entries(second, frame([("a", "e")]), ends, ["host"], "host_id").count() == 0
+    nothing = dims.host_map(frame([(None, None)]))
+    assert [r.host_id for r in dims.extend_map(nothing, frame([("x", "y")]), ends, ["host"], "host_id").orderBy("host").collect()] == [0, 1]

@@ -76,3 +76,16 @@ def test_redteam_list_stays_whole_under_skew(forced):
     listed = log.filter("auth_id % 3 = 0").select("time", F.col("src_user").alias("user_name"), "src_computer", "dst_computer")
     out = label_redteam(log, listed)
     assert out.count() == 9000 and out.filter("malicious").count() == 3000
+
+
+def test_redteam_labels_exchange_the_log_once(forced):
+    log = forced.range(0, 3000, 1, 4).select(
+        F.col("id").alias("auth_id"), (F.col("id") % 50).alias("time"), F.concat(F.lit("u"), F.col("id") % 7).alias("src_user"),
+        F.concat(F.lit("u"), F.col("id") % 5).alias("dst_user"), F.lit("a").alias("src_computer"), F.lit("b").alias("dst_computer"))
+    listed = forced.createDataFrame([(3, "u1", "a", "b"), (3, "u2", "a", "b"), (4, None, "a", "b"), (None, "u1", "a", "b")],
+                                    "time long, user_name string, src_computer string, dst_computer string")
+    out = label_redteam(log, listed)
+    rows = out.collect()
+    assert all(r.malicious == (r.time == 3 and bool({r.src_user, r.dst_user} & {"u1", "u2"})) for r in rows) and len(rows) == 3000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 4  # log and list, in the first and the final plan
