@@ -3,8 +3,11 @@
 Chosen and rejected conversations of a pair share their longest common prefix of turns (equal role and
 text, nulls equal to nulls). The prefix is rendered once as the prompt, the rest of either side as
 its completion. A mask lists the character ranges of a completion that carry loss: what the
-assistant says and its end mark. Only DataFrame operations; a pair's turns meet in one row, which is
-the size of its result.
+assistant says and its end mark. Only DataFrame operations.
+
+Turns stay rows until the end: repeated ones go by a distinct, the first one that differs is found by a join on (pair, place) and a
+minimum, and ranges come from running sums. Only the finished pieces of a pair meet in one row, which is its result, so a pair that
+holds most turns costs a sort, not a comparison of all its turns.
 
 Defined results: turns are ordered by turn number (null first), then role, then text, so repeated numbers
 have a fixed order; a turn repeated in all three counts once; rows without a pair id belong to no
@@ -15,74 +18,67 @@ are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronomesh.llm.store import staged
+
 LEARNED_ROLE = "assistant"
 
 
-def _head(turn: Column) -> Column:
+def _head(turn: DataFrame) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(turn["role"], F.lit("")), F.lit("|>\n"))
 
 
-def _said(turn: Column) -> Column:
+def _said(turn: DataFrame) -> Column:
     return F.concat(F.coalesce(turn["text"], F.lit("")), F.lit("<|end|>"))
 
 
-def render(turns: Column) -> Column:
-    """All turns as one text."""
-    return F.array_join(F.transform(turns, lambda t: F.concat(_head(t), _said(t), F.lit("\n"))), "")
-
-
-def mask(turns: Column, role: str) -> Column:
-    """Ranges start:end of what ``role`` says in the rendered turns, joined by commas; code points, end exclusive."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("ranges"))
-
-    def step(s: Column, t: Column) -> Column:
-        lo = s["at"] + F.length(_head(t))
-        hi = lo + F.length(_said(t))
-        entry = F.array(F.concat_ws(":", lo.cast("string"), hi.cast("string")))
-        return F.struct((hi + 1).alias("at"), F.when(t["role"] == role, F.concat(s["ranges"], entry)).otherwise(s["ranges"]).alias("ranges"))
-
-    return F.array_join(F.aggregate(turns, start, step)["ranges"], ",")
+def _turns(turns: DataFrame, side: str, pair_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """(side, pair_id, role, text, p) of the distinct turns; p is a turn's place in its conversation."""
+    rows = turns.filter(F.col(pair_col).isNotNull()).select(
+        F.lit(side).alias("side"), F.col(pair_col).alias("pair_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),
+        F.col(text_col).alias("text")).distinct()
+    order = Window.partitionBy("pair_id").orderBy("turn", "role", "text")  # nulls first
+    return rows.withColumn("p", F.row_number().over(order)).drop("turn")
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Number of leading turns in which two conversations agree."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(
-        x.isNotNull() & y.isNotNull() & x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]), F.lit(False)))
-    at = F.array_position(same, False)
-    return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("int")
+def shared_turns(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """(pair_id, k): the number of leading turns in which the two conversations of a pair agree."""
+    a = good.select(F.col("pair_id"), "p", F.col("role").alias("_role"), F.col("text").alias("_text"), F.lit(True).alias("_a"))
+    b = bad.select("pair_id", "p", "role", "text", F.lit(True).alias("_b"))
+    agree = F.col("_a") & F.col("_b") & F.col("role").eqNullSafe(F.col("_role")) & F.col("text").eqNullSafe(F.col("_text"))
+    first = F.min(F.when(~F.coalesce(agree, F.lit(False)), F.col("p")))
+    return a.join(b, ["pair_id", "p"], "full").groupBy("pair_id").agg(
+        F.coalesce(first - 1, F.max("p")).cast("int").alias("k"))
 
 
-def _conversations(turns: DataFrame, name: str, pair_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    rows = turns.filter(F.col(pair_col).isNotNull()).select(
-        F.col(pair_col).alias("pair_id"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).alias("t"))
-    return rows.groupBy("pair_id").agg(F.array_sort(F.array_distinct(F.collect_list("t")), _order).alias(name))
+def rendered(turns: DataFrame, role: str) -> DataFrame:
+    """Adds to every turn its text ``s`` and, where ``role`` speaks, the range of what it says: start:end in the rendered
+    part (``shared`` or not) of its side, in code points, end exclusive."""
+    whole = F.concat(_head(turns), _said(turns), F.lit("\n"))
+    before = Window.partitionBy("side", "pair_id", "shared").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = turns.withColumn("s", whole).withColumn("stop", F.sum(F.length("s")).over(before))
+    low = F.col("stop") - F.length("s") + F.length(_head(turns))
+    return out.withColumn("range", F.when(F.col("role") == role, F.concat_ws(":", low.cast("string"), (F.col("stop") - 1).cast("string"))))
 
 
-def _order(a: Column, b: Column) -> Column:
-    out = F.lit(0)
-    for name in ("text", "role", "turn"):
-        x, y = a[name], b[name]
-        out = (
-            F.when(x.eqNullSafe(y), out).when(x.isNull(), -1).when(y.isNull(), 1).when(x < y, -1).otherwise(1)
-        )
-    return out
+def _together(column: str, which: Column, mark: str) -> Column:
+    """The values of the chosen turns, in order, as one text."""
+    listed = F.array_sort(F.collect_list(F.when(which & F.col(column).isNotNull(), F.struct("p", F.col(column).alias("v")))))
+    return F.array_join(F.transform(listed, lambda x: x["v"]), mark)
 
 
 def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "pair_id", turn_col: str = "turn", role_col: str = "role",
                      text_col: str = "text", learned_role: str = LEARNED_ROLE) -> DataFrame:
     """(pair_id, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask), one row a pair."""
     columns = (pair_col, turn_col, role_col, text_col)
-    good, bad = _conversations(chosen, "good", *columns), _conversations(rejected, "bad", *columns)
-    none = F.array().cast(good.schema["good"].dataType)
-    pairs = good.join(bad, "pair_id", "full").select(
-        "pair_id", F.coalesce("good", none).alias("good"), F.coalesce("bad", none).alias("bad"))
-    pairs = pairs.withColumn("k", common_prefix(F.col("good"), F.col("bad")))
-    rest = {name: F.slice(name, F.col("k") + 1, F.greatest(F.size(name) - F.col("k"), F.lit(0))) for name in ("good", "bad")}
-    return pairs.select(
-        "pair_id", F.col("k").alias("n_prompt_turns"), render(F.slice("good", F.lit(1), F.col("k"))).alias("prompt"),
-        render(rest["good"]).alias("chosen"), mask(rest["good"], learned_role).alias("chosen_mask"),
-        render(rest["bad"]).alias("rejected"), mask(rest["bad"], learned_role).alias("rejected_mask"),
-    )
+    good = staged(_turns(chosen, "chosen", *columns), "chosen-turns")
+    bad = staged(_turns(rejected, "rejected", *columns), "rejected-turns")
+    k = staged(shared_turns(good, bad), "shared-turns")
+    both = good.unionByName(bad).join(k, "pair_id").withColumn("shared", F.col("p") <= F.col("k"))
+    turns = rendered(both, learned_role)
+    own = {side: (F.col("side") == side) & ~F.col("shared") for side in ("chosen", "rejected")}
+    return turns.groupBy("pair_id").agg(
+        F.max("k").alias("n_prompt_turns"), _together("s", (F.col("side") == "chosen") & F.col("shared"), "").alias("prompt"),
+        *[c for side, which in own.items() for c in (_together("s", which, "").alias(side), _together("range", which, ",").alias(f"{side}_mask"))])

@@ -65,3 +65,10 @@ def test_empty_tables_and_plan(spark):
     out = chat.preference_pairs(frame(spark, CHOSEN), none)
     assert {r.n_prompt_turns for r in out.collect()} == {0}
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_pair_that_holds_most_turns(spark):
+    chosen = [(1, i, "assistant" if i % 2 else "user", f"turn {i % 7}") for i in range(4000)] * 2 + [(2, 0, "user", "other")]
+    rejected = [(1, i, "assistant" if i % 2 else "user", f"turn {i % 7}" if i != 2500 else "else") for i in range(4000)]
+    got = chat.preference_pairs(frame(spark, chosen), frame(spark, rejected))
+    assert sorted(map(repr, map(tuple, got.collect()))) == brute(chosen, rejected)
