@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronomesh.llm import kernels
+from chronomesh.llm.store import unused
 
 #: Pre-tokens a worker remembers before it forgets them all; it changes the speed only.
 CACHE_ENTRIES = 400_000
@@ -107,9 +108,13 @@ class Codec:
             (ranks[token[:k]] << 32 | ranks[token[k:]], rank)
             for token, rank in ranks.items() for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks
         ]
-        self.pair_key, self.pair_rank = (np.array(x, np.int64) for x in zip(*sorted(pairs)))
+        pairs.sort()
+        self.pair_key, self.pair_rank = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of tokens, -1 if their bytes are no token."""
+        if not len(self.pair_key):  # bytes only
+            return np.full(len(a), -1, np.int64)
         key = a << 32 | b
         slot = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         return np.where(self.pair_key[slot] == key, self.pair_rank[slot], -1)
@@ -237,7 +242,8 @@ def codec_of(shared: Broadcast, pattern: str) -> Codec:
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``docs`` with the token ids of each text in ``ids_col``."""
+    """``docs`` with the token ids of each text in ``ids_col``, which gets a longer name where ``docs`` has such a column."""
+    (ids_col,) = unused(docs, ids_col)
     shared, at = shared_vocabulary(docs, vocabulary), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +265,9 @@ def _ddl(docs: DataFrame) -> str:
 
 
 def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
-    """``tokens`` with the bytes that each row's ids stand for in ``bytes_col``; null ids decode to nothing."""
+    """``tokens`` with the bytes that each row's ids stand for in ``bytes_col``, which gets a longer name where ``tokens`` has such a
+    column; null ids decode to nothing."""
+    (bytes_col,) = unused(tokens, bytes_col)
     shared, at = shared_vocabulary(tokens, vocabulary), tokens.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

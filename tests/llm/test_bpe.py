@@ -85,3 +85,16 @@ def test_digests_and_round_trip(spark, edge, reference, empty):
     assert back.columns == [*edge.columns, "token_ids", "decoded"]
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in back.collect())
     assert bpe.round_trip(empty, PATH, PATTERN).collect() == []
+
+
+def test_bytes_only_vocabulary_and_clashing_names(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "bytes.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(bytes([b])) + f" {b}\n".encode() for b in range(256)))
+    df = spark.createDataFrame([(1, "héllo " + "x" * 500, "mine", "yours")], "doc_id int, text string, token_ids string, decoded string")
+    ids = bpe.encode(df, str(path), public_tokenizers.PATTERN)
+    back = bpe.decode(ids, str(path), public_tokenizers.PATTERN, "token_ids_")
+    row = back.first()
+    assert (row.token_ids, row.decoded) == ("mine", "yours") and list(row.token_ids_) == list(row.text.encode())
+    assert bytes(row.decoded_) == row.text.encode() and len(set(back.columns)) == len(back.columns)
