@@ -165,7 +165,8 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def mask_secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source",
                  size_col: str | None = "n_chars", kinds: tuple[Kind, ...] = KINDS,
                  example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``docs`` with every reported span replaced by ``MASK``; overlapping spans are one. ``size_col`` follows the new text."""
+    """``docs`` with every reported span replaced by ``MASK``; overlapping spans are one. ``size_col``, if there is
+    such a column, follows the new text."""
     found = classified(docs, text_col, repo_col, owner_col, kinds, example_owners)
     key, cuts = unused(docs, "_key", "_cuts")
     order = Window.partitionBy("key").orderBy("start", "end")
@@ -187,7 +188,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", repo_col: str = "doc_i
          - F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)["end"])).cast("int"),
     ))
     masked = joined.withColumn(text_col, F.when(F.col(cuts).isNotNull(), F.array_join(pieces, MASK)).otherwise(F.col(text_col)))
-    if size_col:
+    if size_col in docs.columns:
         kind = docs.schema[size_col].dataType
         masked = masked.withColumn(size_col, F.when(F.col(cuts).isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(size_col)))
     return docs.filter(~suspicious(text, kinds)).unionByName(masked.select(*columns))

@@ -62,3 +62,9 @@ def test_no_python_in_the_plan(spark, edge):
 
 def test_empty_table(spark, empty):
     assert secrets.secret_report(empty).collect() == [] and secrets.mask_secrets(empty).collect() == []
+
+
+def test_masking_needs_no_other_columns(spark):
+    df = spark.createDataFrame([(1, "s0", "password = hunter2hunter2"), (2, None, None)], "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in secrets.mask_secrets(df).collect()}
+    assert secrets.MASK in got[1] and "hunter2" not in got[1] and got[2] is None
