@@ -152,7 +152,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = math.ceil(total / block_bytes)
     for block in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block).collect()
         rows.sort(key=lambda r: (str(r["item_id"]), r["text"] or ""))
         yield [r["item_id"] for r in rows], [(r["text"] or "").encode() for r in rows]
 
@@ -176,7 +176,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 of, found = kernels.texts_of(batch.column(1)), []
                 for lo, hi in kernels.blocks(of):
                     found += [(lo + d, ids[i], *rest) for d, i, *rest in leaks(of[lo:hi], shared.value, min_share)]
-                rows = list(dict.fromkeys(found))
+                best: dict[tuple, tuple] = {}  # an item may stand for several texts; they are in one block
+                for row in found:
+                    if row[:2] not in best or (row[2:4], best[row[:2]][4]) > (best[row[:2]][2:4], row[4]):
+                        best[row[:2]] = row
+                rows = list(best.values())
                 column = list(zip(*rows)) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(column[0], pa.int64())), pa.array(column[1], arrow_kind),

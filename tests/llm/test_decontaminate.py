@@ -103,3 +103,12 @@ def test_regions_do_not_depend_on_how_many_hits_are_laid_out(monkeypatch):
     whole = decontaminate.leaks(texts, seeds, 0.5)
     monkeypatch.setattr(decontaminate, "_ENTRIES", 1)
     assert decontaminate.leaks(texts, seeds, 0.5) == whole and {d for d, *_ in whole} == {1, 2, 4}
+
+
+def test_an_item_with_two_texts_gives_one_row_a_document(spark):
+    words = [f"word{i}" for i in range(24)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words[:12])), (7, " ".join(words[4:24])), (7, None), (8, " ".join(words[3:15]))], "item_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 1):
+        got = sorted((r.doc_id, r.item_id, r.start_word, r.end_word) for r in decontaminate.find_leaks(docs, items, block_bytes=size).collect())
+        assert got == [(1, 7, 4, 24), (1, 8, 3, 15)]
