@@ -5,7 +5,7 @@ text, nulls equal to nulls). The prefix is rendered once as the prompt, the rest
 its completion. A mask lists the character ranges of a completion that carry loss: what the
 assistant says and its end mark. Only DataFrame operations.
 
-Turns stay rows until the end: repeated ones go by a distinct, the first one that differs is found by a join on (pair, place) and a
+Turns stay rows until the end: repeated ones are neighbours in a pair's order, the first one that differs is found by a join on (pair, place) and a
 minimum, and ranges come from running sums. Only the finished pieces of a pair meet in one row, which is its result, so a pair that
 holds most turns costs a sort, not a comparison of all its turns.
 
@@ -38,16 +38,23 @@ def _turns(turns: DataFrame, side: str, pair_col: str, turn_col: str, role_col:
     """(side, pair_id, role, text, p) of the distinct turns; p is a turn's place in its conversation."""
     rows = turns.filter(F.col(pair_col).isNotNull()).select(
         F.lit(side).alias("side"), F.col(pair_col).alias("pair_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),
-        F.col(text_col).alias("text")).distinct()
+        F.col(text_col).alias("text"))
     order = Window.partitionBy("pair_id").orderBy("turn", "role", "text")  # nulls first
-    return rows.withColumn("p", F.row_number().over(order)).drop("turn")
+    # equal turns are neighbours; only the first of them has a place
+    again = F.row_number().over(order) > 1
+    for c in ("turn", "role", "text"):
+        again &= F.col(c).eqNullSafe(F.lag(c).over(order))
+    placed = rows.withColumn("again", again)
+    return placed.withColumn("p", F.count_if(~F.col("again")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("not again").drop(
+        "turn", "again")
 
 
 def shared_turns(good: DataFrame, bad: DataFrame) -> DataFrame:
-    """(pair_id, k): the number of leading turns in which the two conversations of a pair agree."""
-    a = good.select(F.col("pair_id"), "p", F.col("role").alias("_role"), F.col("text").alias("_text"), F.lit(True).alias("_a"))
-    b = bad.select("pair_id", "p", "role", "text", F.lit(True).alias("_b"))
-    agree = F.col("_a") & F.col("_b") & F.col("role").eqNullSafe(F.col("_role")) & F.col("text").eqNullSafe(F.col("_text"))
+    """(pair_id, k): the number of leading turns in which the two conversations of a pair agree. Digests travel, not texts."""
+    same = F.md5(F.concat_ws("|", F.when(F.col("role").isNull(), "n").otherwise(F.concat(F.octet_length("role"), F.lit("="), F.col("role"))),
+                             F.when(F.col("text").isNull(), "n").otherwise(F.concat(F.lit("="), F.col("text")))))
+    a, b = good.select("pair_id", "p", same.alias("_a")), bad.select("pair_id", "p", same.alias("_b"))
+    agree = F.col("_a") == F.col("_b")
     first = F.min(F.when(~F.coalesce(agree, F.lit(False)), F.col("p")))
     return a.join(b, ["pair_id", "p"], "full").groupBy("pair_id").agg(
         F.coalesce(first - 1, F.max("p")).cast("int").alias("k"))
@@ -57,7 +64,7 @@ def rendered(turns: DataFrame, role: str) -> DataFrame:
     """Adds to every turn its text ``s`` and, where ``role`` speaks, the range of what it says: start:end in the rendered
     part (``shared`` or not) of its side, in code points, end exclusive."""
     whole = F.concat(_head(turns), _said(turns), F.lit("\n"))
-    before = Window.partitionBy("side", "pair_id", "shared").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("pair_id", "side", "shared").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = turns.withColumn("s", whole).withColumn("stop", F.sum(F.length("s")).over(before))
     low = F.col("stop") - F.length("s") + F.length(_head(turns))
     return out.withColumn("range", F.when(F.col("role") == role, F.concat_ws(":", low.cast("string"), (F.col("stop") - 1).cast("string"))))
@@ -77,6 +84,7 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "pa
     bad = staged(_turns(rejected, "rejected", *columns), "rejected-turns")
     k = staged(shared_turns(good, bad), "shared-turns")
     both = good.unionByName(bad).join(k, "pair_id").withColumn("shared", F.col("p") <= F.col("k"))
+    both = both.repartition("pair_id")  # for the running sums and the final grouping alike
     turns = rendered(both, learned_role)
     own = {side: (F.col("side") == side) & ~F.col("shared") for side in ("chosen", "rejected")}
     return turns.groupBy("pair_id").agg(
