@@ -21,7 +21,7 @@ CONN_FEATURES = [
 HETERO_FEATURES = [c for c in CONN_FEATURES if c not in ("src_port", "dest_port")]
 #: Feature order of the authentication graph.
 AUTH_FEATURES = ["auth_type_code", "logon_type_code", "orientation_code", "result_code"]
-#: Node flags in feature order.
+#: Node flags, in the order in which trained models expect them.
 HOST_FLAGS = ["internal", "broadcast", "multicast", "ipv4", "ipv6", "valid"]
 
 #: Candidate block length for negative sampling; one block is one task's unit of work.
