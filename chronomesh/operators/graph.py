@@ -12,14 +12,14 @@ from chronomesh.operators.scaling import stage
 from chronomesh.operators.split import seeded
 from chronomesh.sources import schemas
 
-#: Feature order of the homogeneous connection graph.
+#: Feature order of the homogeneous connection graph.
 CONN_FEATURES = [
     "status_code", "src_port", "dest_port", "orig_bytes", "orig_pkts", "resp_bytes", "resp_pkts",
     "missed_bytes", "local_orig", "local_resp", "duration", "proto_code", "service_code", "conn_state_code",
 ]
 #: Feature order on the service-to-service edges of the heterogeneous graph.
 HETERO_FEATURES = [c for c in CONN_FEATURES if c not in ("src_port", "dest_port")]
-#: Feature order of the authentication graph.
+#: Feature order of the authentication graph.
 AUTH_FEATURES = ["auth_type_code", "logon_type_code", "orientation_code", "result_code"]
 #: Node flags, in the order in which trained models expect them.
 HOST_FLAGS = ["internal", "broadcast", "multicast", "ipv4", "ipv6", "valid"]
