@@ -357,21 +357,38 @@ def _bloom_places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bloom(entries: DataFrame, bits: int) -> np.ndarray:
-    """Bloom filter of the bigrams of ``entries``: as many bits whatever their number."""
+    """Bloom filter of the bigrams of ``entries``: as many bits whatever their number. Each task fills one of its own, which travels in packed pieces."""
+    size = bits // 64
+    piece = min(size, 1 << 15)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, np.uint64)
         for batch in batches:
             h, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
             at = np.unique(np.concatenate(_bloom_places(pair_key(h, w), bits)))
-            word, first = np.unique(at >> 6, return_index=True)
-            flags = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)), first) if len(at) else at
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(flags.view(np.int64))], ["word", "flags"])
+            word = at >> 6
+            first = _runs(word)
+            if len(first):
+                own[word[first]] |= np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)), first)
+        rows = [(i, pack(own[i:i + piece])) for i in range(0, size, piece) if own[i:i + piece].any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["start", "flags"])
 
-    got = entries.select("h", "w").mapInArrow(words, "word long, flags long").groupBy("word").agg(F.bit_or("flags").alias("flags")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[got["word"].to_numpy()] = got["flags"].to_numpy().view(np.uint64)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}  # as many pieces as the filter has, at most
+        for batch in batches:
+            for start, flags in zip(*(c.to_pylist() for c in batch.columns)):
+                own[start] = own.get(start, np.uint64(0)) | unpack(flags)
+        for start, flags in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([pack(flags)])], ["start", "flags"])
+
+    kind, out = "start long, flags binary", np.zeros(size, np.uint64)
+    got = entries.select("h", "w").mapInArrow(filled, kind).repartition("start").mapInArrow(merged, kind).toArrow()
+    for start, flags in zip(got["start"].to_pylist(), got["flags"].to_pylist()):
+        out[start:start + piece] = unpack(flags)
     return out
 
+
 class Head:
     """What every scoring task holds: the frequent words' numbers by code, the frequent bigrams' values, and the filter for the others."""
 
@@ -423,7 +440,10 @@ def _unique_rows(doc: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndar
 
 
 _PACKED = "bucket int, side int, h binary, w binary, c binary, v binary"
+_ANSWER = "home long, side int, rows binary, known binary, logs binary, values binary"
 _QUERY, _OWN = 1, 2
+#: Rows whose numbers agree beyond these bits are put together in one place.
+_HOME = 16
 
 
 def _pack_entries(lexicon: Broadcast, buckets: int):
@@ -477,6 +497,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     own_names, packed_names = ["row", "doc_id", "n_tokens", "n_known", "base", "score"], ["bucket", "side", "h", "w", "c", "v"]
     id_kind = to_arrow_type(pair.schema["doc_id"].dataType)
     own_kinds = [pa.int64(), id_kind, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    answer_names = ["home", "side", "rows", "known", "logs", "values"]
+    answer_kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     packed_kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,9 +551,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         found, now, held, keys, counts, values = head.value, None, [], None, None, None
         for batch in batches:
             side = batch.column(1).to_numpy()
-            mine = batch.filter(pa.array(side == _OWN))
+            mine = batch.filter(pa.array(side == _OWN)).select(own_names)
             if mine.num_rows:
-                yield mine.select(own_names)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(mine.column(0).to_numpy() >> _HOME), pa.array(np.zeros(mine.num_rows, np.int32)),
+                    *[pa.nulls(mine.num_rows, pa.binary())] * 4, *mine.columns], answer_names + own_names)
             for bucket, kind_, h, w, c, v in zip(*(x.to_pylist() for x in batch.filter(pa.array(side != _OWN)).columns[:6])):
                 if bucket != now:
                     now, held, keys = bucket, [], None
@@ -550,12 +574,47 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 met_count, met_value = np.zeros(len(h)), np.where(rare, unknown, 0.0)
                 met_count[hit], met_value[hit] = counts[at[hit]], values[at[hit]]
                 which, slot = np.unique(rows, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(which), pa.nulls(len(which), id_kind), pa.nulls(len(which), pa.int64()),
-                    pa.array(np.bincount(slot, n * (rare & hit), len(which)).astype(np.int64)),
-                    pa.array(np.bincount(slot, n * np.where(rare, np.log10(met_count + 1.0), 0.0), len(which))),
-                    pa.array(np.bincount(slot, n * met_value, len(which))),
-                ], own_names)
+                sums = [np.bincount(slot, n * x, len(which)) for x in (rare & hit, np.where(rare, np.log10(met_count + 1.0), 0.0), met_value)]
+                some = reduce(np.logical_or, [x != 0 for x in sums])
+                out = [(home, 1, pack(_steps(r.view(np.uint64))), *map(pack, x))
+                       for home, (r, *x) in _dealt(which[some] >> _HOME, which[some], *(x[some] for x in sums))]
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, k) for x, k in zip(zip(*out), answer_kinds)] + [pa.nulls(len(out), k) for k in own_kinds],
+                        answer_names + own_names)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the answers to their rows' own sums, which come before them."""
+        now, held, rows, added = None, [], None, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                table = pa.Table.from_batches(held)
+                more = [0, 0.0, 0.0] if rows is None else [x[np.argsort(np.argsort(table["row"].to_numpy()))] for x in added]
+                known, base, value = (table[name].to_numpy() + x for name, x in zip(("n_known", "base", "score"), more))
+                yield pa.RecordBatch.from_arrays(
+                    [table["doc_id"].combine_chunks(), table["n_tokens"].combine_chunks(), pa.array(known.astype(np.int64)), pa.array(base), pa.array(value)],
+                    own_names[1:])
+
+        for batch in batches:
+            home = batch.column(0).to_numpy()
+            first = _runs(home)
+            for lo, hi in zip(first.tolist(), np.append(first[1:], len(home)).tolist()):
+                if home[lo] != now:
+                    yield from flush()
+                    now, held, rows = home[lo], [], None
+                part = batch.slice(lo, hi - lo)
+                answers = part.column(1).to_numpy() == 1
+                if not answers.all():
+                    held.append(part.filter(pa.array(~answers)).select(own_names))
+                for r, *sums in zip(*(x.to_pylist() for x in part.filter(pa.array(answers)).columns[2:6])):
+                    if rows is None:
+                        rows = np.sort(np.concatenate([x.column(0).to_numpy() for x in held]))
+                        added = [np.zeros(len(rows)) for _ in range(3)]
+                    at = np.searchsorted(rows, np.cumsum(unpack(r)).view(np.int64))
+                    for total, x in zip(added, sums):
+                        total[at] += unpack(x, np.float64)
+        yield from flush()
 
     # entries with an unnumbered word are joined with what their value is made of
     names = words.select("w", "p", "alpha", "total")
@@ -569,12 +628,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     entries = numbered.filter(F.col("c") < cut).mapInArrow(pack_entries, _PACKED).unionByName(tail.mapInArrow(pack_entries, _PACKED))
     settled = (
         asked.unionByName(entries, allowMissingColumns=True)
-        .repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(settle, own)
+        .repartition("bucket").sortWithinPartitions("bucket", "side").mapInArrow(settle, f"{_ANSWER}, {own}")
+        .repartition("home").sortWithinPartitions("home", "side").mapInArrow(gather, own.removeprefix("row long, "))
     )
     share = float(np.log10(model.tokens + model.vocabulary + 1))
-    return settled.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")],
-    ).select("doc_id", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * F.lit(share)).alias("base_score"), "score")
+    return settled.select("doc_id", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * F.lit(share)).alias("base_score"), "score")
 
 
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2,
