@@ -1,6 +1,11 @@
+import math
 import random
+import re
+import zlib
+from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from chronomesh.llm import kernels, toxicity
 from tests.llm.conftest import SCHEMA, edge_rows
@@ -60,3 +65,46 @@ def test_defined_results(spark, edge, empty):
     some = spark.createDataFrame([(None, 1), (1, None), (6, 0), (6, 1), (3, 0)], "doc_id long, toxic int")
     assert toxicity.fit_and_score(edge, some).count() == len(edge_rows())
     assert toxicity.fit_and_score(empty, some).collect() == []
+
+
+def brute_scores(docs, labels, order, train, epochs):
+    """FTRL-proximal over words, pairs and skips as plain tuples, one coordinate at a time."""
+    def features(text):
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        return ["bias", *sorted({(w,) for w in words} | {("", *p) for p in zip(words, words[1:])} | {("", "", *p) for p in zip(words, words[2:])})]
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        l1 = 0.0 if f == "bias" else 0.5
+        if abs(z[f]) <= l1:
+            return 0.0
+        return -(z[f] - math.copysign(l1, z[f])) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    def chance(text):
+        return 1 / (1 + math.exp(-sum(weight(f) for f in features(text))))
+
+    for _ in range(epochs):
+        for d in order:
+            if d in train:
+                g = chance(docs[d]) - labels[d]
+                for f, w in [(f, weight(f)) for f in features(docs[d])]:
+                    z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA * w
+                    n[f] += g * g
+    return {d: chance(text) for d, text in docs.items()}
+
+
+def test_scores_equal_brute_force(spark):
+    draw = random.Random(3)
+    docs = {i: " ".join(draw.choice(["Nasty", "fair", "blue", "sky", "vile", "tree", "river", "stone"]) for _ in range(12)) for i in range(60)}
+    docs[60] = ""
+    labels = {d: int("Nasty vile" in t or "vile Nasty" in t) for d, t in docs.items()}
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    order = [r.doc_id for r in table.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    train = {d for d in docs if zlib.crc32(str(d).encode()) % 4 != 2}
+    at, w = toxicity.fit(table, marks, "doc_id", "text", "toxic", toxicity._fold(F.col("doc_id"), 4) != 2, bits=22, epochs=3, l1=0.5)
+    got = {r.doc_id: r.score for r in toxicity.score(table, at, w, bits=22).collect()}
+    want = brute_scores(docs, labels, order, train, 3)
+    assert 0 < sum(labels.values()) < len(docs) and len(at) > 8
+    assert all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in docs)
