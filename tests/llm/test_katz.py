@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from chronomesh.llm import katz, queries_katz
@@ -65,6 +66,21 @@ def test_real_prose_equals_brute_force(spark, tiny):
     assert found(katz.fit_and_score(docs, head_words=200, head_bigrams=200)) == brute([tuple(r) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("head_words", [8, 1000])
+def test_frequent_histories_over_many_buckets(spark, edge, monkeypatch, head_words):
+    monkeypatch.setattr(katz, "HOT", 1)  # every history met twice is dealt out, unnumbered ones too
+    monkeypatch.setattr(katz, "GATHER", 64)  # on the driver: many buckets
+    assert found(katz.fit_and_score(edge, head_words=head_words, head_bigrams=4)) == brute([r[:2] for r in edge_rows()])
+
+
+def test_packing():
+    for values in ([], [0], [1, 2, 1 << 63], list(range(1000))):
+        x = np.array(values, np.uint64)
+        assert katz.unpack(katz.pack(x)).tolist() == values
+        assert np.cumsum(katz.unpack(katz.pack(katz._steps(x)))).tolist() == values
+    assert katz.unpack(katz.pack(np.array([-1.5, 0.0])), np.float64).tolist() == [-1.5, 0.0]
+
+
 def test_without_training_rows(spark, empty):
     assert katz.fit_and_score(empty).collect() == []
     only = next(i for i in range(100) if held(i))
