@@ -6,9 +6,9 @@ import tiktoken
 from chronomesh.llm import bpe
 from tests.llm.conftest import SCHEMA, edge_rows
 from tests.llm.test_decontaminate import brute_score
+from tests.llm.test_near_copies import brute_groups
 from tests.llm.test_quality import verdict
 from tests.llm.test_secrets import base_spans
-from tests.llm.test_simhash import brute_print, classes
 
 
 def test_stages(spark):
@@ -20,11 +20,9 @@ def test_result_equals_brute_force(spark, tiny):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     items = [r.text for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
     kept = [d for d, r in docs.items() if verdict(r.text)[1]]
-    prints = {d: brute_print(docs[d].text) for d in kept}
-    of = classes(list(prints.values()))
     first = {}
-    for d in sorted(kept):
-        first.setdefault(of[prints[d]], d)
+    for d, group in brute_groups([(d, docs[d].text) for d in sorted(kept)])[0]:
+        first.setdefault(group, d)
     clean = []
     for d in first.values():
         words = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in docs[d].text.lower().encode()).split()
