@@ -238,3 +238,31 @@ def test_ids_of_known_values_stay(spark):
     assert dims.new_entries(second, frame([("a", "e")]), ends, ["host"], "host_id").count() == 0
     nothing = dims.host_map(frame([(None, None)]))
     assert [r.host_id for r in dims.extend_map(nothing, frame([("x", "y")]), ends, ["host"], "host_id").orderBy("host").collect()] == [0, 1]
+
+
+def test_a_worker_encodes_few_timelines_at_a_time(spark):
+    limit = 512
+
+    class Few(np.ndarray):
+        """A bias that refuses to be added to more rows at once."""
+
+        def __array_ufunc__(self, ufunc, method, *inputs, **kwargs):
+            inputs = [np.asarray(x) for x in inputs]
+            assert all(len(x) <= limit for x in inputs if x.ndim > 1)
+            return getattr(ufunc, method)(*inputs, **kwargs)
+
+    rng = np.random.default_rng(6)
+    matrices = [rng.normal(size=s) for s in ((9, 2), (9, 3), 9, 9)]
+    plain = propagate.RecurrentLayer(*matrices)
+    layer = propagate.RecurrentLayer(matrices[0], matrices[1], matrices[2].view(Few), matrices[3])
+    lines = rng.normal(size=(1300, 5, 2))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(lines)], "node long, timeline array<array<double>>").coalesce(1)
+    got = {(r.node, r.target): r.state for r in propagate.recurrent_states(frame, 5, 3, 2, [layer]).collect()}
+    assert len(got) == 2600
+    for target in (3, 4):
+        want = propagate.run_layer(lines[:, target - 3:target], plain, "gru")[:, -1]
+        assert np.allclose([got[i, target] for i in range(1300)], want)
+    rows = frame.selectExpr("node", "slice(timeline, 1, 3) AS seq")
+    states = {r.node: r.state for r in propagate.recurrent_encode(rows, "seq", 3, 2, [layer]).collect()}
+    assert np.allclose([states[i] for i in range(1300)], propagate.run_layer(lines[:, :3], plain, "gru")[:, -1])
+    assert propagate.recurrent_states(frame, 5, 5, 2, [layer]).count() == 0
