@@ -266,3 +266,26 @@ def test_a_worker_encodes_few_timelines_at_a_time(spark):
     states = {r.node: r.state for r in propagate.recurrent_encode(rows, "seq", 3, 2, [layer]).collect()}
     assert np.allclose([states[i] for i in range(1300)], propagate.run_layer(lines[:, :3], plain, "gru")[:, -1])
     assert propagate.recurrent_states(frame, 5, 5, 2, [layer]).count() == 0
+
+
+def test_pair_scores_run_no_function_per_element(spark, capsys):
+    rng = np.random.default_rng(8)
+    z, shape = rng.normal(size=(7, 4)), [(5, 4), 5, 5, (5, 5), 5, (3, 5), 3]
+    first, b1, second, cf, cb1, cs, cb2 = (rng.normal(size=s) for s in shape)
+    pairs = spark.createDataFrame([(i, r[:2].tolist(), r[2:].tolist()) for i, r in enumerate(z)], "i int, zs array<double>, zd array<double>")
+    listed = lambda *arrays: [a.tolist() for a in arrays]
+    scored = score.pair_scores(pairs, 2, *listed(first, b1, second), 0.25, *listed(cf, cb1, cs, cb2))
+    for r in scored.collect():
+        link = np.maximum(first @ z[r.i] + b1, 0) @ second + 0.25
+        inner = np.maximum(cf @ np.append(z[r.i], 1 / (1 + np.exp(-link))) + cb1, 0)
+        assert np.isclose(r.link_logit, link) and np.allclose(r.class_logits, cs @ inner + cb2)
+    w, bf = rng.normal(size=(2, 2)), rng.normal(size=(5, 4))
+    bilinear = score.pair_bilinear_scores(pairs, w.tolist(), 0.5, *listed(bf, cb1, cs, cb2))
+    for r in bilinear.collect():
+        assert np.isclose(r.link_logit, z[r.i, :2] @ w @ z[r.i, 2:] + 0.5)
+        assert np.allclose(r.class_logits, cs @ np.maximum(bf @ z[r.i] + cb1, 0) + cb2)
+    for frame in (scored, bilinear):
+        capsys.readouterr()
+        frame.explain()
+        assert "lambdafunction" not in capsys.readouterr().out
+        assert frame.columns == ["i", "zs", "zd", "link_logit", "class_logits"]
