@@ -1,10 +1,15 @@
 """Near copies: documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from the covering tables of ``simhash`` over fingerprints of the same shingles, and,
+First candidates come from the covering tables of ``simhash`` over fingerprints of the same shingles, and,
 because a similarity of 0.8 moves about ten of 64 fingerprint bits, from bands of minimum hashes as
 well: 16 bands of 6 find a pair at 0.8 with probability 0.99, closer pairs more surely. Each
 candidate is then held to the shingle sets themselves, so nothing is linked by an estimate.
 
+What these miss is found exactly. Sets of a similarity t share a shingle among the first n - ceil(t n) + 1
+of their n in any order that all sets follow (by hash; crowded shingles last). Points of different
+classes that share as many of those as the threshold asks for are held to their sets too. Points
+that the first candidates have joined need no further pair, so a large group of copies stays cheap here.
+
 Rows with the same words are one point. A bucket of a band names no pairs one by one: its points, in
 parts of about ``part_rows``, give the maximum spanning tree of their estimated similarities, cut
 where the estimate lies far below the threshold. Such a tree links what any set of pairs above a
@@ -19,7 +24,8 @@ shingle; repeated rows are one point; an empty table stays empty.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,8 @@ PART_ROWS = 1024
 HUBS = 16
 #: Estimates this far below the threshold are not looked at: over three standard errors of 96 minimum hashes.
 MARGIN = 0.14
+#: Shingles that so many points of several classes have among their first go behind all others; it changes the speed only.
+CROWDED = 32
 _draw = random.Random(simhash.SEED)
 _FACTOR = np.array([_draw.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], np.uint64)
 _SHIFT = np.array([_draw.getrandbits(64) for _ in range(BANDS * ROWS)], np.uint64)
@@ -58,6 +66,22 @@ def shingle_hashes(words: list[bytes], size: int = SIZE) -> np.ndarray:
     return np.unique(np.fromiter((digest(norm[a:b], simhash.SEED) for a, b in zip(start, end[size - 1:].tolist())), np.uint64, len(start)))
 
 
+def _parts(similarity: float) -> tuple[int, int]:
+    """The similarity as a fraction of whole numbers, so that no pair at the threshold hangs on rounding."""
+    return Fraction(similarity).limit_denominator(10 ** 6).as_integer_ratio()
+
+
+def _long(hashes: np.ndarray) -> np.ndarray:
+    """The hashes as signed numbers in the same order."""
+    return (hashes ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def first_length(n: int, similarity: float = SIMILARITY) -> int:
+    """How many of the first shingles of a set of ``n`` hold one of any set of this similarity."""
+    num, den = _parts(similarity)
+    return n - -(-num * n // den) + 1 if n else 0
+
+
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The minimum of each keyed permutation (upper 32 bits); no hashes, the largest number."""
     out = np.full(len(_FACTOR), 0xFFFFFFFF, np.uint64)
@@ -71,9 +95,14 @@ def _signed(x: int) -> int:
     return simhash.signed(x)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """(doc_id, text_hash, rep, fp, bands, low) of every row: rep is the hash of its words, fp the SimHash
-    fingerprint, bands the band keys, low the lower 16 bits of the minima."""
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, rep, fp, bands, low, n, first) of every row: rep is the hash of its words, fp the SimHash
+    fingerprint, bands the band keys, low the lower 16 bits of the minima, n the number of shingles, first the least hashes."""
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -82,20 +111,24 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                reps, fps, keys, lows = [], [], [], []
+                reps, fps, keys, lows, counts, firsts = [], [], [], [], [], []
                 for text in kernels.texts_of(part.column(2)):
                     words = text.lower().split()
-                    least = minima(shingle_hashes(words, size)).astype("<u4")
+                    hashes = shingle_hashes(words, size)
+                    least = minima(hashes).astype("<u4")
+                    counts.append(len(hashes))
+                    firsts.append(_long(hashes[:first_length(len(hashes), similarity)]))
                     reps.append(_signed(xxhash.xxh64_intdigest(b" ".join(words), simhash.SEED)))
                     fps.append(_signed(simhash.fingerprint(text, size)))
                     keys.append([_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, ROWS))])
                     lows.append((least & 0xFFFF).astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(reps, pa.int64()), pa.array(fps, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary()),
-                ], ["doc_id", "text_hash", "rep", "fp", "bands", "low"])
+                    pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary()), pa.array(counts, pa.int64()), _lists(firsts),
+                ], ["doc_id", "text_hash", "rep", "fp", "bands", "low", "n", "first"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, text_hash long, rep long, fp long, bands array<long>, low binary")
+    kinds = f"doc_id {id_type}, text_hash long, rep long, fp long, bands array<long>, low binary, n long, first array<long>"
+    return rows.mapInArrow(run, kinds)
 
 
 def spanning_tree(low: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -162,15 +195,13 @@ def print_candidates(points: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """(rep, hashes) of rows (rep, text): the shingle set as an array of longs."""
+    """(rep, hashes) of rows (rep, text): the shingle set as an ascending array of longs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                sets = [shingle_hashes(t.lower().split(), size).view(np.int64) for t in kernels.texts_of(part.column(1))]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                values = pa.array(np.concatenate(sets))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["rep", "hashes"])
+                sets = [_long(shingle_hashes(t.lower().split(), size)) for t in kernels.texts_of(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], ["rep", "hashes"])
 
     return rows.mapInArrow(run, "rep long, hashes array<long>")
 
@@ -180,27 +211,80 @@ def verified(candidates: DataFrame, sets: DataFrame, similarity: float = SIMILAR
     one = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("one"))
     other = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("other"))
     both = candidates.join(one, "a").join(other, "b")
-    common = F.size(F.array_intersect("one", "other"))
-    return both.filter(common >= similarity * (F.size("one") + F.size("other") - common)).select("a", "b")
+    common = F.size(F.array_intersect("one", "other")).cast("long")
+    num, den = _parts(similarity)
+    return both.filter(common * den >= (F.size("one") + F.size("other") - common) * num).select("a", "b")
+
+
+def _met(known: DataFrame) -> DataFrame:
+    """(token, m): first shingles that points of more than one class have, and how many points."""
+    spread = known.select("cls", F.explode("first").alias("token"))
+    met = spread.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("m"))
+    return staged(met.filter("lo < hi").select("token", "m"), "first-shingles")
+
+
+def first_candidates(known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of points (columns rep, cls, n, first) of different classes, among them all of the similarity.
+
+    ``sets_of`` gives the shingle sets (rep, hashes) of the points it is handed. Two points share as many of their first
+    shingles as the overlap that the threshold asks for leaves when all later ones of the one are shared, one at least.
+    """
+    num, den = _parts(similarity)
+    met = _met(known)
+    crowded = met.filter(F.col("m") > CROWDED)
+    if crowded.limit(1).count():
+        # any order that all sets follow will do: the crowded shingles go last, by their number
+        touched = known.select("rep", F.explode("first").alias("token")).join(crowded, "token", "left_semi").select("rep").distinct()
+        sets = sets_of(staged(touched, "crowded-points"))
+        last = sets.select("rep", F.explode("hashes").alias("token")).join(crowded, "token")
+        last = last.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("last"))
+        order = F.concat(F.array_except("hashes", "last.token"), F.col("last.token"))
+        moved = sets.join(last, "rep").select("rep", order.alias("order"))
+        kept = F.when(F.col("order").isNull(), F.col("first")).otherwise(F.slice("order", 1, F.size("first")))
+        known = staged(known.join(moved, "rep", "left").select("rep", "cls", "n", kept.alias("first")), "reordered")
+        met = _met(known)
+    entries = staged(known.select("rep", "cls", "n", F.explode("first").alias("token")).join(met.select("token"), "token"), "first-entries")
+    one = entries.select("token", *[F.col(c).alias(f"a_{c}") for c in ("rep", "cls", "n")])
+    other = entries.select("token", F.col("cls").alias("b_cls"), F.col("rep").alias("b_rep"), F.col("n").alias("b_n"))
+    # by class first: the points of one large class are never paired with each other
+    pairs = one.join(other.select("token", "b_cls").distinct(), "token").filter("a_cls < b_cls").join(other, ["token", "b_cls"])
+    pairs = pairs.filter(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
+    shared = pairs.groupBy(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), "a_n", "b_n").agg(F.count("*").alias("shared"))
+    overlap = F.ceil((F.col("a_n") + F.col("b_n")) * num / (num + den) - F.lit(1e-6))
+    later = F.floor((F.greatest("a_n", "b_n") * num - 1) / den + F.lit(1e-6))
+    return shared.filter(F.col("shared") >= overlap - later).select("a", "b")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY,
                 part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, text_hash, rep, root, component_id) of every row; component_id is the smallest id reachable over near copies."""
-    rows = staged(sketches(docs, id_col, text_col, size), "sketches")
+    rows = staged(sketches(docs, id_col, text_col, size, similarity), "sketches")
     points = staged(rows.groupBy("rep").agg(
         F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"),
-        F.first("bands").alias("bands"), F.first("low").alias("low"),
+        F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("n").alias("n"), F.first("first").alias("first"),
     ), "points")
-    pairs = band_candidates(points, similarity, part_rows).unionByName(print_candidates(points.select("rep", "fp"))).filter("a <> b")
-    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    # one text of each point that a candidate names
-    named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    named = points.select("rep", "text_hash").join(named, "rep", "left_semi")
     hashed = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
-    texts = hashed.join(named, "text_hash").dropDuplicates(["rep"]).select("rep", "text")
-    links = verified(pairs, staged(_sets(texts, size), "shingle-sets"), similarity)
-    roots = staged(components(links), "roots")
+
+    def sets_of(named: DataFrame) -> DataFrame:
+        """Shingle sets of the named points, by one text of each."""
+        named = points.select("rep", "text_hash").join(named, "rep", "left_semi")
+        texts = hashed.join(named, "text_hash").dropDuplicates(["rep"]).select("rep", "text")
+        return staged(_sets(texts, size), "shingle-sets")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "candidates")
+        named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        return staged(verified(pairs, sets_of(named), similarity), "links")
+
+    pairs = band_candidates(points, similarity, part_rows).unionByName(print_candidates(points.select("rep", "fp"))).filter("a <> b")
+    links = links_of(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    classes = staged(components(links), "classes-so-far")
+    known = points.select("rep", "n", "first").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    known = staged(known.select("rep", F.coalesce("root", "rep").alias("cls"), "n", "first"), "first-of-points")
+    further = links_of(first_candidates(known, sets_of, similarity))
+    if further.limit(1).count():
+        classes = staged(components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further)), "roots")
+    roots = classes
     placed = points.select("rep", "least").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     placed = staged(placed, "placed")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))

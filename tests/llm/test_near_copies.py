@@ -129,3 +129,67 @@ def test_edge_rows_equal_all_pairs(spark, edge):
 def test_empty_table(spark, empty):
     kept = near_copies.drop_near_copies(empty)
     assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")] and kept.count() == 0
+
+
+def cut_pairs(count=400):
+    """Texts of 150 words, each with a copy whose last 16 are others: 130 of 162 shingles are shared, close to the threshold."""
+    draw = random.Random(21)
+    rows = []
+    for _ in range(count):
+        text = [f"w{draw.randrange(10 ** 6)}" for _ in range(150)]
+        rows += [" ".join(text), " ".join(text[:-16] + [f"x{draw.randrange(10 ** 6)}" for _ in range(16)])]
+    return list(enumerate(rows))
+
+
+def classes_of(docs):
+    return {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+
+
+def expected_classes(rows):
+    want, links = brute_groups(rows)
+    least = {}
+    for i, g in want:
+        least[g] = min(i, least.get(g, i))
+    return {i: least[g] for i, g in want}, links
+
+
+def test_no_pair_near_the_threshold_is_left_out(spark):
+    rows = cut_pairs()
+    want, links = expected_classes(rows)
+    assert links == 400
+    assert classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+
+
+def test_pairs_at_the_threshold_with_crowded_shingles(spark, monkeypatch):
+    """One passage in all texts; beside it 20 families at a similarity of 0.8 exactly and just below it."""
+    monkeypatch.setattr(near_copies, "CROWDED", 3)
+    draw = random.Random(5)
+    fresh = lambda n: [f"w{draw.randrange(10 ** 6)}" for _ in range(n)]
+    passage, rows = fresh(100), []
+    for _ in range(20):
+        text = passage + fresh(12)  # 108 shingles
+        rows += [text, text[:-12] + fresh(12), text[:-13] + fresh(13), text + fresh(27), text + fresh(28)]
+    rows = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    want, links = expected_classes(rows)
+    assert links > 20 and len(set(want.values())) > 1
+    assert classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+
+
+def test_first_shingles_hold_one_of_every_similar_set():
+    draw = np.random.default_rng(2)
+    for n in range(1, 60):
+        full = draw.choice(1000, n, replace=False)
+        for m in range(1, n + 1):
+            if 5 * m >= 4 * n:  # a subset of the similarity
+                part = np.sort(draw.choice(full, m, replace=False))
+                assert set(np.sort(full)[:near_copies.first_length(n)]) & set(part[:near_copies.first_length(m)])
+
+
+def test_points_join_only_across_classes(spark, monkeypatch):
+    """Crowded shingles go last; pairs of one class are not named again."""
+    monkeypatch.setattr(near_copies, "CROWDED", 2)
+    sets = {1: [1, 2, 3, 10, 11], 2: [1, 2, 3, 10, 11], 3: [1, 2, 3, 10, 12], 4: [1, 2, 3, 13, 14]}
+    table = spark.createDataFrame(list(sets.items()), "rep long, hashes array<long>")
+    known = spark.createDataFrame([(r, 1 if r < 3 else r, 5, s[:2]) for r, s in sets.items()], "rep long, cls long, n long, first array<long>")
+    got = near_copies.first_candidates(known, lambda named: table.join(named, "rep", "left_semi"))
+    assert sorted(map(tuple, got.collect())) == [(1, 3), (2, 3)]
