@@ -46,7 +46,7 @@ HUBS = 16
 #: Estimates this far below the threshold are not looked at: over three standard errors of 96 minimum hashes.
 MARGIN = 0.14
 #: Shingles that so many points of several classes have among their first go behind all others; it changes the speed only.
-CROWDED = 32
+CROWDED = 64
 _draw = random.Random(simhash.SEED)
 _FACTOR = np.array([_draw.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], np.uint64)
 _SHIFT = np.array([_draw.getrandbits(64) for _ in range(BANDS * ROWS)], np.uint64)
@@ -76,6 +76,11 @@ def _long(hashes: np.ndarray) -> np.ndarray:
     return (hashes ^ np.uint64(1 << 63)).view(np.int64)
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The upper 32 bits, in the same order: what points meet by. Two shingles that share them only name a pair too many."""
+    return (_long(hashes) >> 32).astype(np.int32)
+
+
 def first_length(n: int, similarity: float = SIMILARITY) -> int:
     """How many of the first shingles of a set of ``n`` hold one of any set of this similarity."""
     num, den = _parts(similarity)
@@ -102,7 +107,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, rep, fp, bands, low, n, first) of every row: rep is the hash of its words, fp the SimHash
-    fingerprint, bands the band keys, low the lower 16 bits of the minima, n the number of shingles, first the least hashes."""
+    fingerprint, bands the band keys, low the lower 16 bits of the minima, n the number of shingles, first the least hashes in short."""
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -117,7 +122,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                     hashes = shingle_hashes(words, size)
                     least = minima(hashes).astype("<u4")
                     counts.append(len(hashes))
-                    firsts.append(_long(hashes[:first_length(len(hashes), similarity)]))
+                    firsts.append(_short(hashes[:first_length(len(hashes), similarity)]))
                     reps.append(_signed(xxhash.xxh64_intdigest(b" ".join(words), simhash.SEED)))
                     fps.append(_signed(simhash.fingerprint(text, size)))
                     keys.append([_signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, ROWS))])
@@ -127,7 +132,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                     pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary()), pa.array(counts, pa.int64()), _lists(firsts),
                 ], ["doc_id", "text_hash", "rep", "fp", "bands", "low", "n", "first"])
 
-    kinds = f"doc_id {id_type}, text_hash long, rep long, fp long, bands array<long>, low binary, n long, first array<long>"
+    kinds = f"doc_id {id_type}, text_hash long, rep long, fp long, bands array<long>, low binary, n long, first array<int>"
     return rows.mapInArrow(run, kinds)
 
 
@@ -194,16 +199,16 @@ def print_candidates(points: DataFrame, radius: int = 3) -> DataFrame:
     return same.unionByName(near)
 
 
-def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """(rep, hashes) of rows (rep, text): the shingle set as an ascending array of longs."""
+def _sets(rows: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray] = _long, kind: str = "long") -> DataFrame:
+    """(rep, hashes) of rows (rep, text): the shingle set as an ascending array of ``kind``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                sets = [_long(shingle_hashes(t.lower().split(), size)) for t in kernels.texts_of(part.column(1))]
+                sets = [of(shingle_hashes(t.lower().split(), size)) for t in kernels.texts_of(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], ["rep", "hashes"])
 
-    return rows.mapInArrow(run, "rep long, hashes array<long>")
+    return rows.mapInArrow(run, f"rep long, hashes array<{kind}>")
 
 
 def verified(candidates: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -223,36 +228,52 @@ def _met(known: DataFrame) -> DataFrame:
     return staged(met.filter("lo < hi").select("token", "m"), "first-shingles")
 
 
-def first_candidates(known: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+def _last(similarity: float):
+    """The first shingles when some (column last) go behind the others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part, firsts = batch.slice(at, 128), []
+                for hashes, last in zip(part.column(1), part.column(2)):
+                    own, last = (np.asarray(x.values, np.int32) for x in (hashes, last))
+                    firsts.append(np.concatenate([own[~np.isin(own, last)], last])[:first_length(len(own), similarity)])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(firsts)], ["rep", "moved"])
+
+    return run
+
+
+def first_candidates(known: DataFrame, shorts_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of points (columns rep, cls, n, first) of different classes, among them all of the similarity.
 
-    ``sets_of`` gives the shingle sets (rep, hashes) of the points it is handed. Two points share as many of their first
+    ``shorts_of`` gives the short hashes (rep, hashes) of the points it is handed. Two points share as many of their first
     shingles as the overlap that the threshold asks for leaves when all later ones of the one are shared, one at least.
     """
     num, den = _parts(similarity)
     met = _met(known)
-    crowded = met.filter(F.col("m") > CROWDED)
+    crowded = staged(met.filter(F.col("m") > CROWDED), "crowded")
     if crowded.limit(1).count():
         # any order that all sets follow will do: the crowded shingles go last, by their number
         touched = known.select("rep", F.explode("first").alias("token")).join(crowded, "token", "left_semi").select("rep").distinct()
-        sets = sets_of(staged(touched, "crowded-points"))
-        last = sets.select("rep", F.explode("hashes").alias("token")).join(crowded, "token")
+        shorts = shorts_of(staged(touched, "crowded-points"))
+        last = shorts.select("rep", F.explode("hashes").alias("token")).join(crowded, "token")
         last = last.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("last"))
-        order = F.concat(F.array_except("hashes", "last.token"), F.col("last.token"))
-        moved = sets.join(last, "rep").select("rep", order.alias("order"))
-        kept = F.when(F.col("order").isNull(), F.col("first")).otherwise(F.slice("order", 1, F.size("first")))
+        moved = shorts.join(last, "rep").select("rep", "hashes", F.col("last.token").alias("last"))
+        moved = moved.mapInArrow(_last(similarity), "rep long, moved array<int>")
+        kept = F.coalesce("moved", "first")
         known = staged(known.join(moved, "rep", "left").select("rep", "cls", "n", kept.alias("first")), "reordered")
         met = _met(known)
     entries = staged(known.select("rep", "cls", "n", F.explode("first").alias("token")).join(met.select("token"), "token"), "first-entries")
-    one = entries.select("token", *[F.col(c).alias(f"a_{c}") for c in ("rep", "cls", "n")])
-    other = entries.select("token", F.col("cls").alias("b_cls"), F.col("rep").alias("b_rep"), F.col("n").alias("b_n"))
+    # a point cannot share more of its first shingles than it has of those met
+    entries = entries.join(entries.groupBy("rep").agg(F.count("*").alias("c")), "rep")
+    one, other = (entries.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "cls", "n", "c")]) for x in "ab")
     # by class first: the points of one large class are never paired with each other
     pairs = one.join(other.select("token", "b_cls").distinct(), "token").filter("a_cls < b_cls").join(other, ["token", "b_cls"])
     pairs = pairs.filter(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
-    shared = pairs.groupBy(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), "a_n", "b_n").agg(F.count("*").alias("shared"))
     overlap = F.ceil((F.col("a_n") + F.col("b_n")) * num / (num + den) - F.lit(1e-6))
     later = F.floor((F.greatest("a_n", "b_n") * num - 1) / den + F.lit(1e-6))
-    return shared.filter(F.col("shared") >= overlap - later).select("a", "b")
+    pairs = pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), (overlap - later).alias("asked"), F.least("a_c", "b_c").alias("most"))
+    shared = pairs.filter("asked <= most").groupBy("a", "b", "asked").agg(F.count("*").alias("shared"))
+    return shared.filter("shared >= asked").select("a", "b")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY,
@@ -261,27 +282,30 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = staged(sketches(docs, id_col, text_col, size, similarity), "sketches")
     points = staged(rows.groupBy("rep").agg(
         F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("fp").alias("fp"),
-        F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("n").alias("n"), F.first("first").alias("first"),
+        F.first("bands").alias("bands"), F.first("low").alias("low"),
     ), "points")
     hashed = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
 
-    def sets_of(named: DataFrame) -> DataFrame:
-        """Shingle sets of the named points, by one text of each."""
+    def rows_of(named: DataFrame, values: DataFrame) -> DataFrame:
+        """The row of ``values``, which has one column beside text_hash, for each of the named points."""
         named = points.select("rep", "text_hash").join(named, "rep", "left_semi")
-        texts = hashed.join(named, "text_hash").dropDuplicates(["rep"]).select("rep", "text")
-        return staged(_sets(texts, size), "shingle-sets")
+        return values.join(named, "text_hash").dropDuplicates(["rep"]).select("rep", *[c for c in values.columns if c != "text_hash"])
+
+    def shorts_of(named: DataFrame) -> DataFrame:
+        # half as long as the texts, so they are made before they are dealt out
+        return rows_of(named, _sets(hashed, size, _short, "int").withColumnRenamed("rep", "text_hash"))
 
     def links_of(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs, "candidates")
         named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        return staged(verified(pairs, sets_of(named), similarity), "links")
+        return staged(verified(pairs, staged(_sets(rows_of(named, hashed), size), "shingle-sets"), similarity), "links")
 
     pairs = band_candidates(points, similarity, part_rows).unionByName(print_candidates(points.select("rep", "fp"))).filter("a <> b")
     links = links_of(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     classes = staged(components(links), "classes-so-far")
-    known = points.select("rep", "n", "first").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    known = rows.groupBy("rep").agg(F.first("n").alias("n"), F.first("first").alias("first")).join(classes.withColumnRenamed("node", "rep"), "rep", "left")
     known = staged(known.select("rep", F.coalesce("root", "rep").alias("cls"), "n", "first"), "first-of-points")
-    further = links_of(first_candidates(known, sets_of, similarity))
+    further = links_of(first_candidates(known, shorts_of, similarity))
     if further.limit(1).count():
         classes = staged(components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further)), "roots")
     roots = classes

@@ -189,7 +189,7 @@ def test_points_join_only_across_classes(spark, monkeypatch):
     """Crowded shingles go last; pairs of one class are not named again."""
     monkeypatch.setattr(near_copies, "CROWDED", 2)
     sets = {1: [1, 2, 3, 10, 11], 2: [1, 2, 3, 10, 11], 3: [1, 2, 3, 10, 12], 4: [1, 2, 3, 13, 14]}
-    table = spark.createDataFrame(list(sets.items()), "rep long, hashes array<long>")
-    known = spark.createDataFrame([(r, 1 if r < 3 else r, 5, s[:2]) for r, s in sets.items()], "rep long, cls long, n long, first array<long>")
+    table = spark.createDataFrame(list(sets.items()), "rep long, hashes array<int>")
+    known = spark.createDataFrame([(r, 1 if r < 3 else r, 5, s[:2]) for r, s in sets.items()], "rep long, cls long, n long, first array<int>")
     got = near_copies.first_candidates(known, lambda named: table.join(named, "rep", "left_semi"))
     assert sorted(map(tuple, got.collect())) == [(1, 3), (2, 3)]
