@@ -35,11 +35,13 @@ from chronomesh.llm import kernels
 from chronomesh.llm.store import unused
 
 #: Pre-tokens a worker remembers before it forgets them all; it changes the speed only.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Longer pre-tokens are not remembered.
 CACHE_BYTES = 64
 #: Text that is encoded together.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Unknown short pre-tokens that are merged together; the linked list takes some hundred bytes for each of these.
+MERGE_BYTES = 128 << 10
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -103,6 +105,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.token = {rank: token for token, rank in ranks.items()}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.same = {rank: rank for rank in ranks.values()}  # one number object a rank, however many pre-tokens are remembered
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = [
             (ranks[token[:k]] << 32 | ranks[token[k:]], rank)
@@ -190,7 +193,7 @@ class Codec:
             for r, i in zip(found.tolist(), near.tolist()):
                 if r >= 0:
                     self.queue.push(r, i)
-        ids = token[:n][alive[:n]].tolist()
+        ids = list(map(self.same.__getitem__, token[:n][alive[:n]].tolist()))
         ends = np.cumsum(np.bincount(owner[alive[:n]], minlength=len(pieces))).tolist()
         return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
@@ -210,8 +213,8 @@ class Codec:
             else:
                 known[piece] = (rank,)
         short = [(p, d) for p, d in merging if len(d) <= CACHE_BYTES]
-        if short:
-            known.update(zip([p for p, _ in short], self.merge([d for _, d in short])))
+        for lo, hi in kernels.blocks([d for _, d in short], MERGE_BYTES):
+            known.update(zip([p for p, _ in short[lo:hi]], self.merge([d for _, d in short[lo:hi]])))
         known.update((p, self.merge_long(d)) for p, d in merging if len(d) > CACHE_BYTES)
         out = [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
         for piece in [p for p, d in merging if len(d) > CACHE_BYTES]:

@@ -98,3 +98,21 @@ def test_bytes_only_vocabulary_and_clashing_names(spark, tmp_path):
     row = back.first()
     assert (row.token_ids, row.decoded) == ("mine", "yours") and list(row.token_ids_) == list(row.text.encode())
     assert bytes(row.decoded_) == row.text.encode() and len(set(back.columns)) == len(back.columns)
+
+
+def test_unknown_pre_tokens_are_merged_in_small_lots(monkeypatch):
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258, b"cab": 259}
+    lots = []
+
+    class Watched(bpe.Codec):
+        def merge(self, pieces):
+            lots.append(sum(map(len, pieces)))
+            return super().merge(pieces)
+
+    monkeypatch.setattr(bpe, "MERGE_BYTES", 200, raising=False)
+    codec = Watched(ranks, r"\S+|\s+")
+    draw = random.Random(1)
+    words = ["".join(draw.choice("abcx") for _ in range(draw.randrange(5, 40))) for _ in range(500)]
+    got = codec.encode_all([" ".join(words)])[0]
+    want = [i for k, w in enumerate(words) for i in ([*([32] if k else []), *codec.merge_long(w.encode())])]
+    assert got == want and max(lots) <= 200 and len(lots) > 10
