@@ -28,6 +28,8 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 8
 #: Rows of the sample that rates the rules. It affects the order of the rules only.
 SAMPLE_ROWS = 2000
+#: Texts judged together; the counts of a block take many times its bytes.
+BLOCK_BYTES = 1 << 19
 
 
 class Block:
@@ -147,7 +149,7 @@ def rate_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
         seconds, rejected, n = [0.0] * len(rules), [0] * len(rules), 0
         for batch in batches:
             texts = kernels.texts_of(batch.column(0))
-            for lo, hi in kernels.blocks(texts):
+            for lo, hi in kernels.blocks(texts, BLOCK_BYTES):
                 n += hi - lo
                 for i, rule in enumerate(rules):
                     began = time.thread_time()
@@ -190,7 +192,7 @@ def run_cascade(block: Block, rules: list[Rule]) -> np.ndarray:
 
 def _verdicts(texts: list[bytes], rules: list[Rule], counts: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
     parts: dict[str, list[np.ndarray]] = {name: [] for name in (*counts, "kept")}
-    for lo, hi in kernels.blocks(texts):
+    for lo, hi in kernels.blocks(texts, BLOCK_BYTES):
         block = Block(texts[lo:hi])
         for name in counts:
             parts[name].append(block[name])

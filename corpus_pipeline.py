@@ -8,6 +8,7 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,27 +18,45 @@ from chronomesh.llm.store import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Bytes of the Arrow batches that go to Python workers. Spark's 64 MB are held several times over, by the executor and by each of its workers.
+BATCH_BYTES = 4 << 20
 
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage with Arrow batches of ``BATCH_BYTES``; a longer row is a batch of its own. The setting stays, as the rows are made later."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@in_small_batches
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule of the cascade rejects go."""
     return quality.quality_filter(docs)
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
     return near_copies.drop_near_copies(docs)
 
 
+@in_small_batches
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item, edited or not, go."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@in_small_batches
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; no document goes."""
     return secrets.mask_secrets(docs)
 
 
+@in_small_batches
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids join the columns; their decoding is compared with the text."""
     return bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

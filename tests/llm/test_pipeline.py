@@ -1,5 +1,6 @@
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -54,3 +55,20 @@ def test_every_stage_takes_odd_rows(spark, tiny, rows):
         assert out.columns == docs.columns, name
         assert out.count() <= docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, tiny).count() == docs.count()
+
+
+def test_stages_hand_small_batches_to_python_workers(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    docs = spark.createDataFrame([(i, "x" * 100_000) for i in range(200)], "doc_id long, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        stage = corpus_pipeline.in_small_batches(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "bytes long"))
+        got = [r.bytes for r in stage(spark, docs, "").collect()]
+        assert sum(got) > 20_000_000 and max(got) < corpus_pipeline.BATCH_BYTES + 200_000
+        assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
+    finally:
+        spark.conf.set(key, before)
