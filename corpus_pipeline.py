@@ -23,10 +23,12 @@ BATCH_BYTES = 4 << 20
 
 
 def in_small_batches(stage: Stage) -> Stage:
-    """The stage with Arrow batches of ``BATCH_BYTES``; a longer row is a batch of its own. The setting stays, as the rows are made later."""
+    """The stage with Arrow batches of ``BATCH_BYTES``; a longer row is a batch of its own. Shuffle files go with the job that wrote
+    them, not when the driver collects garbage. The settings stay, as the rows are made later."""
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         return stage(spark, docs, sf_dir)
 
     return run_stage

@@ -1,3 +1,5 @@
+import time
+
 import corpus_pipeline
 import public_tokenizers
 import pyarrow as pa
@@ -72,3 +74,19 @@ def test_stages_hand_small_batches_to_python_workers(spark):
         assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
     finally:
         spark.conf.set(key, before)
+
+
+def test_shuffle_files_of_a_stage_go_with_its_jobs(spark, tiny, tmp_path):
+    """Near duplicates are many jobs; what all of them shuffle must not lie on the disk at once."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(60)
+    before = shuffled()
+    dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, tiny).write.parquet(str(tmp_path / "out"))
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:  # executors are told, not waited for
+        time.sleep(0.5)
+    assert not shuffled() - before
