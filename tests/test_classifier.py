@@ -4,6 +4,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from chronomesh.operators import score
+from chronomesh.plans import models
 
 
 def edges(spark, n=400, labels=(0, 3, 7)):
@@ -44,3 +45,11 @@ def test_stages_without_edges(spark):
     assert {r.prediction for r in one.transform(df).select("prediction").collect()} == {3}
     unseen = df.withColumn("y", F.when(F.col("y") == 7, 9).otherwise(F.col("y")))
     assert score.fit_edge_classifier(df, unseen).labels == [0, 3, 7]
+
+
+def test_inputs_of_some_stages_are_those_of_all(spark, tiny):
+    """The gradient needs no test batches, so they are not convolved."""
+    every = models.classifier_inputs(spark, tiny).filter("stage < 2").select("conn_id", "piece", "stage", "features")
+    some = models.classifier_inputs(spark, tiny, stages=(0, 1)).select("conn_id", "piece", "stage", "features")
+    rows = lambda df: sorted((r.conn_id, r.piece, r.stage, tuple(np.round(r.features.toArray(), 9))) for r in df.collect())
+    assert rows(some) == rows(every)

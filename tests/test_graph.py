@@ -289,3 +289,30 @@ def test_pair_scores_run_no_function_per_element(spark, capsys):
         frame.explain()
         assert "lambdafunction" not in capsys.readouterr().out
         assert frame.columns == ["i", "zs", "zd", "link_logit", "class_logits"]
+
+
+def test_convolution_joins_anew_only_pairs_of_senders_that_receive(spark, monkeypatch):
+    """Hosts 0 to 4 only send; 5 and 6 receive, and only 5 -> 6 has a sender whose state depends on others."""
+    staged = {}
+    write = propagate.stage
+    monkeypatch.setattr(propagate, "stage", lambda df, tag: staged.setdefault(tag, []).append(write(df, tag)) or staged[tag][-1])
+    rows = [(0, 5), (1, 5), (2, 5), (2, 5), (3, 6), (4, 4), (5, 6)]
+    edges = spark.createDataFrame([(0, s, d) for s, d in rows], "bin int, src long, dst long")
+    draw = np.random.default_rng(9)
+    x = draw.standard_normal((7, 3))
+    nodes = spark.createDataFrame([(0, i, *map(float, v), f"n{i}") for i, v in enumerate(x)], "bin int, node long, x0 double, x1 double, x2 double, name string")
+    layers = [(draw.standard_normal((2, 3)).tolist(), [0.1, -0.2]), (draw.standard_normal((2, 2)).tolist(), [0.3, 0.1])]
+    got = {r.node: r for r in propagate.gcn_states(nodes, edges, ["bin"], 3, layers, ["name"]).collect()}
+    adjacency = {(r.src, r.dst) for r in staged["gcn-adjacency"][0].collect()}
+    assert adjacency == {(5, 6), (5, 5), (6, 6)}
+    weights = np.eye(7)
+    for s, d in rows:
+        weights[d, s] += s != d
+    degree = weights.sum(axis=1)
+    norm = weights / np.sqrt(np.outer(degree, degree))
+    for i, (w, b) in enumerate(layers):
+        x = norm @ x @ np.array(w).T + b
+        x = np.maximum(x, 0) if i == 0 else x
+    assert sorted(got) == list(range(7))
+    for i in range(7):
+        assert [got[i].x0, got[i].x1] == pytest.approx(x[i].tolist()) and got[i].d == degree[i] and got[i].name == f"n{i}"
