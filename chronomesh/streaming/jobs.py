@@ -90,7 +90,7 @@ class FirstSightings(StatefulProcessor):
     a value unseen for longer is new again; a timer forgets it once every bin that could still have known it has closed.
     """
 
-    SCHEMA = "field string, value string, bin_start long, inside timestamp"
+    SCHEMA = "field string, inside timestamp"  # what the counts need; a row costs Python by its columns
 
     def __init__(self, bin_size: int, expiry: int | None):
         self.bin_size, self.expiry = bin_size, expiry
@@ -108,7 +108,7 @@ class FirstSightings(StatefulProcessor):
         last = known
         for row in sorted(rows, key=lambda r: r.bin_start):  # one row a bin that has closed since the last trigger
             if last is None or (self.expiry is not None and row.bin_start - last > self.expiry):
-                yield Row(field=key[0], value=key[1], bin_start=row.bin_start, inside=row.inside)
+                yield Row(field=key[0], inside=row.inside)
             last = row.bin_start
         self.last.update((last,))
         if self.expiry is not None:

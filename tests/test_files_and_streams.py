@@ -5,6 +5,7 @@ import sys
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from chronomesh.operators import scaling, stats, timebin
@@ -271,3 +272,33 @@ def test_values_expire_from_the_state(spark, tmp_path, expiry):
         stream = jobs.novelty(jobs.read_conn_stream(spark, folder, 1), 3600, {"hosts": ["src_ip"]}, expiry=expiry * 3600)
         got = jobs.run_to_table(stream, str(tmp_path / name / "out"), str(tmp_path / name / "state")).collect()
         assert {(r["bin_start"] - 1704067200) // 3600: r["new_values"] for r in got} == want
+
+
+def test_first_sightings_pass_on_what_is_counted():
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, row):
+            self.held = row
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+            self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+        def getValueState(self, name, schema):
+            return Value()
+
+    sightings = jobs.FirstSightings(10, 30)
+    sightings.init(Handle())
+    rows = lambda *bins: iter([Row(field="hosts", value="a", bin_start=b, inside=f"in {b}") for b in bins])
+    new = [tuple(r) for r in sightings.handleInputRows(("hosts", "a"), rows(40, 0, 10), None)]
+    assert new == [("hosts", "in 0")]  # 40 is 30 after 10, which still knows it
+    new = [r.asDict() for r in sightings.handleInputRows(("hosts", "a"), rows(70, 110), None)]
+    assert new == [{"field": "hosts", "inside": "in 110"}] and sightings.handle.timers == {1000 * 150}
