@@ -6,9 +6,10 @@ well: 16 bands of 6 find a pair at 0.8 with probability 0.99, closer pairs more
 candidate is then held to the shingle sets themselves, so nothing is linked by an estimate.
 
 What these miss is found exactly. Sets of a similarity t share a shingle among the first n - ceil(t n) + 1
-of their n in any order that all sets follow (by hash; crowded shingles last). Points of different
-classes that share as many of those as the threshold asks for are held to their sets too. Points
-that the first candidates have joined need no further pair, so a large group of copies stays cheap here.
+of their n in any order that all sets follow (by hash; crowded and frequent shingles last). Points of different
+classes that share as many of those as the threshold asks for, the first of them early enough, are held to their
+sets too. Points that the first candidates have joined need no further pair, and the others of a large group
+of copies meet by what few of them hold, not by what the whole group does, so it stays cheap here.
 
 Rows with the same words are one point. A bucket of a band names no pairs one by one: its points, in
 parts of about ``part_rows``, give the maximum spanning tree of their estimated similarities, cut
@@ -47,6 +48,8 @@ HUBS = 16
 MARGIN = 0.14
 #: Shingles that so many points of several classes have among their first go behind all others; it changes the speed only.
 CROWDED = 64
+#: Shingles that more of the points with crowded ones hold go behind all others, too; speed only.
+FREQUENT = 8
 _draw = random.Random(simhash.SEED)
 _FACTOR = np.array([_draw.getrandbits(64) | 1 for _ in range(BANDS * ROWS)], np.uint64)
 _SHIFT = np.array([_draw.getrandbits(64) for _ in range(BANDS * ROWS)], np.uint64)
@@ -242,38 +245,95 @@ def _last(similarity: float):
     return run
 
 
+def _dealt(bits: int):
+    """The short hashes of the rows (hashes) by their upper ``bits``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                own = np.sort(np.asarray(batch.slice(at, 512).column(0).flatten(), np.int32))
+                bucket = (own >> (32 - bits)).astype(np.int32)
+                starts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
+                ends = np.append(starts, len(own)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.ListArray.from_arrays(pa.array(ends), pa.array(own))], ["bucket", "tokens"])
+
+    return run
+
+
+def _often(part: pa.Table) -> pa.Table:
+    """(token, m): the numbers of one bucket that stand in it more than ``FREQUENT`` times."""
+    own = np.concatenate([np.asarray(c.flatten(), np.int32) for c in part.column("tokens").chunks])
+    tokens, counts = np.unique(own, return_counts=True)
+    often = counts > FREQUENT
+    return pa.table({"token": pa.array(tokens[often], pa.int32()), "m": pa.array(counts[often], pa.int64())})
+
+
+def frequent(shorts: DataFrame, total: int) -> DataFrame:
+    """(token, m): the short hashes that more than ``FREQUENT`` of the points (column hashes, ``total`` entries) hold, and how many do.
+
+    They are counted in buckets of about a million, a few bytes each, since nearly all of them stand in one text only.
+    """
+    bits = min(24, max(10, (total >> 20).bit_length()))
+    dealt = shorts.select("hashes").mapInArrow(_dealt(bits), "bucket int, tokens array<int>")
+    return dealt.groupBy("bucket").applyInArrow(_often, "token int, m long")
+
+
+def rarest_first(known: DataFrame, shorts_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """``known`` (columns rep, cls, n, first) with crowded and frequent shingles behind all others, by their number.
+
+    Any order that all sets follow will do, so points without such shingles among their first keep them. What is frequent is counted
+    over all shingles of the points that have a crowded one: behind the crowded ones of a group of copies come others that all of it holds.
+    """
+    crowded = staged(_met(known).filter(F.col("m") > CROWDED), "crowded")
+    if not crowded.limit(1).count():
+        return known
+    firsts = known.select("rep", F.explode("first").alias("token"))
+    touched = staged(firsts.join(crowded, "token", "left_semi").select("rep").distinct(), "crowded-points")
+    total = known.join(touched, "rep", "left_semi").agg(F.sum("n")).first()[0]
+    often = crowded.unionByName(frequent(shorts_of(touched), total)).groupBy("token").agg(F.max("m").alias("m"))
+    often = staged(often, "frequent")
+    changed = staged(firsts.join(often, "token", "left_semi").select("rep").distinct(), "points-to-order")
+    shorts = shorts_of(changed)
+    last = shorts.select("rep", F.explode("hashes").alias("token")).join(often, "token")
+    last = last.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("last"))
+    moved = shorts.join(last, "rep").select("rep", "hashes", F.col("last.token").alias("last"))
+    moved = moved.mapInArrow(_last(similarity), "rep long, moved array<int>")
+    return staged(known.join(moved, "rep", "left").select("rep", "cls", "n", F.coalesce("moved", "first").alias("first")), "reordered")
+
+
 def first_candidates(known: DataFrame, shorts_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of points (columns rep, cls, n, first) of different classes, among them all of the similarity.
 
-    ``shorts_of`` gives the short hashes (rep, hashes) of the points it is handed. Two points share as many of their first
-    shingles as the overlap that the threshold asks for leaves when all later ones of the one are shared, one at least.
+    ``shorts_of`` gives the short hashes (rep, hashes) of the points it is handed. At the first shingle that two points share, both
+    have as many left, that one included, as the threshold asks them to share. They also share as many of their first
+    shingles as that overlap leaves when all later ones of the one are shared, one at least.
     """
     num, den = _parts(similarity)
+    known = rarest_first(known, shorts_of, similarity)
     met = _met(known)
-    crowded = staged(met.filter(F.col("m") > CROWDED), "crowded")
-    if crowded.limit(1).count():
-        # any order that all sets follow will do: the crowded shingles go last, by their number
-        touched = known.select("rep", F.explode("first").alias("token")).join(crowded, "token", "left_semi").select("rep").distinct()
-        shorts = shorts_of(staged(touched, "crowded-points"))
-        last = shorts.select("rep", F.explode("hashes").alias("token")).join(crowded, "token")
-        last = last.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("last"))
-        moved = shorts.join(last, "rep").select("rep", "hashes", F.col("last.token").alias("last"))
-        moved = moved.mapInArrow(_last(similarity), "rep long, moved array<int>")
-        kept = F.coalesce("moved", "first")
-        known = staged(known.join(moved, "rep", "left").select("rep", "cls", "n", kept.alias("first")), "reordered")
-        met = _met(known)
-    entries = staged(known.select("rep", "cls", "n", F.explode("first").alias("token")).join(met.select("token"), "token"), "first-entries")
-    # a point cannot share more of its first shingles than it has of those met
-    entries = entries.join(entries.groupBy("rep").agg(F.count("*").alias("c")), "rep")
-    one, other = (entries.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "cls", "n", "c")]) for x in "ab")
-    # by class first: the points of one large class are never paired with each other
-    pairs = one.join(other.select("token", "b_cls").distinct(), "token").filter("a_cls < b_cls").join(other, ["token", "b_cls"])
-    pairs = pairs.filter(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
+    entries = known.select("rep", "cls", "n", F.posexplode("first").alias("pos", "token")).withColumn("rest", F.col("n") - F.col("pos"))
+    entries = staged(entries.drop("pos").join(met.select("token"), "token"), "first-entries")
+    groups = entries.groupBy("token", "cls", "n").agg(F.max("rest").alias("rest"))
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("token", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "token"])
+
+    def enough(a: str, b: str):
+        return F.least(a, b) * (num + den) >= (F.col("a_n") + F.col("b_n")) * num
+
+    # classes and sizes first, the smaller set as a: the points of one class are never paired with each other, and of the
+    # smaller one only shingles count that leave it enough for a set of its own size
+    small = side(groups.filter(F.col("rest") * (num + den) >= F.col("n") * (2 * num)), "a")
+    once = (F.col("a_n") < F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & (F.col("a_cls") < F.col("b_cls"))
+    pairs = small.join(side(groups, "b"), "token").filter((F.col("a_cls") != F.col("b_cls")) & once & enough("a_rest", "b_rest"))
+    pairs = pairs.drop("a_rest").join(side(entries, "a"), ["token", "a_cls", "a_n"]).filter(enough("a_rest", "b_rest"))
+    pairs = pairs.drop("b_rest").join(side(entries, "b"), ["token", "b_cls", "b_n"]).filter(enough("a_rest", "b_rest"))
+    pairs = staged(pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), "a_n", "b_n").distinct(), "first-pairs")
+    firsts = known.select("rep", "first")
+    pairs = pairs.join(firsts.toDF("a", "a_first"), "a").join(firsts.toDF("b", "b_first"), "b")
     overlap = F.ceil((F.col("a_n") + F.col("b_n")) * num / (num + den) - F.lit(1e-6))
-    later = F.floor((F.greatest("a_n", "b_n") * num - 1) / den + F.lit(1e-6))
-    pairs = pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), (overlap - later).alias("asked"), F.least("a_c", "b_c").alias("most"))
-    shared = pairs.filter("asked <= most").groupBy("a", "b", "asked").agg(F.count("*").alias("shared"))
-    return shared.filter("shared >= asked").select("a", "b")
+    later = F.floor((F.col("b_n") * num - 1) / den + F.lit(1e-6))
+    shared = F.size("a_first") - F.size(F.array_except("a_first", "b_first"))
+    return pairs.filter(shared >= overlap - later).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY,

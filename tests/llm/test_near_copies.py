@@ -193,3 +193,21 @@ def test_points_join_only_across_classes(spark, monkeypatch):
     known = spark.createDataFrame([(r, 1 if r < 3 else r, 5, s[:2]) for r, s in sets.items()], "rep long, cls long, n long, first array<int>")
     got = near_copies.first_candidates(known, lambda named: table.join(named, "rep", "left_semi"))
     assert sorted(map(tuple, got.collect())) == [(1, 3), (2, 3)]
+
+
+def test_group_of_looser_copies_names_few_pairs(spark, monkeypatch):
+    """Copies of one text with so many words changed that most pairs lie below the threshold: they share shingles, not links."""
+    draw = random.Random(11)
+    text = [f"w{draw.randrange(10 ** 6)}" for _ in range(150)]
+    rows = [(i, " ".join(edited(draw, text, draw.randrange(2, 20)))) for i in range(700)]
+    want, links = expected_classes(rows)
+    assert links > 100 and len(set(want.values())) > 300
+    named, verified = [], near_copies.verified
+
+    def counted(candidates, *args):
+        named.append(candidates.count())
+        return verified(candidates, *args)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    assert classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+    assert named[1] < 3 * len(rows)  # by first shingles; not their square
