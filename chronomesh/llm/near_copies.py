@@ -232,15 +232,20 @@ def _met(known: DataFrame) -> DataFrame:
 
 
 def _last(similarity: float):
-    """The first shingles when some (column last) go behind the others."""
+    """The first shingles when some (column last) go behind the others, from the leading ones of all n; none where those are too few."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                part, firsts = batch.slice(at, 128), []
-                for hashes, last in zip(part.column(1), part.column(2)):
+                part, reps, firsts = batch.slice(at, 128), [], []
+                for rep, n, hashes, last in zip(*part.columns):
+                    n, least = n.as_py(), first_length(n.as_py(), similarity)
                     own, last = (np.asarray(x.values, np.int32) for x in (hashes, last))
-                    firsts.append(np.concatenate([own[~np.isin(own, last)], last])[:first_length(len(own), similarity)])
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(firsts)], ["rep", "moved"])
+                    others = own[~np.isin(own, last)]
+                    if len(others) >= least or len(own) == n:
+                        reps.append(rep.as_py())
+                        firsts.append(np.concatenate([others, last])[:least])
+                if reps:
+                    yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), _lists(firsts)], ["rep", "moved"])
 
     return run
 
@@ -291,12 +296,23 @@ def rarest_first(known: DataFrame, shorts_of: Callable[[DataFrame], DataFrame],
     total = known.join(touched, "rep", "left_semi").agg(F.sum("n")).first()[0]
     often = crowded.unionByName(frequent(shorts_of(touched), total)).groupBy("token").agg(F.max("m").alias("m"))
     often = staged(often, "frequent")
-    changed = staged(firsts.join(often, "token", "left_semi").select("rep").distinct(), "points-to-order")
-    shorts = shorts_of(changed)
-    last = shorts.select("rep", F.explode("hashes").alias("token")).join(often, "token")
-    last = last.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("last"))
-    moved = shorts.join(last, "rep").select("rep", "hashes", F.col("last.token").alias("last"))
-    moved = moved.mapInArrow(_last(similarity), "rep long, moved array<int>")
+    late = firsts.join(often, "token", "left_semi").groupBy("rep").agg(F.count("*").alias("c"))
+    lengths = known.select("rep", "n", F.size("first").alias("f"))
+    # the rest holds such shingles in about the same share, so few points need all of theirs looked up
+    part = F.ceil(F.col("f") * F.col("f") / F.greatest(F.col("f") - F.col("c"), F.lit(1)) * 1.25) + 16
+    todo = staged(lengths.join(late, "rep").select("rep", "n", F.least("n", part).cast("int").alias("upto")), "points-to-order")
+
+    def ordered(todo: DataFrame) -> DataFrame:
+        shorts = shorts_of(todo).join(todo, "rep").select("rep", "n", F.slice("hashes", F.lit(1), F.col("upto")).alias("hashes"))
+        last = shorts.select("rep", F.explode("hashes").alias("token")).join(often, "token")
+        last = last.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("last"))
+        placed = shorts.join(last, "rep").select("rep", "n", "hashes", F.col("last.token").alias("last"))
+        return staged(placed.mapInArrow(_last(similarity), "rep long, moved array<int>"), "ordered")
+
+    moved = ordered(todo)
+    short = staged(todo.join(moved, "rep", "left_anti").withColumn("upto", F.col("n").cast("int")), "points-left")
+    if short.limit(1).count():
+        moved = moved.unionByName(ordered(short))
     return staged(known.join(moved, "rep", "left").select("rep", "cls", "n", F.coalesce("moved", "first").alias("first")), "reordered")
 
 
